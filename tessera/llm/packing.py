@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialize
+from tessera.llm.store import arrow_map, materialize
 from tessera.llm.tokens import default_tokenizer, encode_texts, ids_crc32
 
 CAPACITY = 4096
@@ -66,7 +66,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                     ["part", "doc_id", "piece", "start", "length", "ids_crc32", "rank"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return arrow_map(texts, cut, PIECE_SCHEMA)
 
 
 def best_configuration(lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
@@ -223,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import new_path
+from tessera.llm.store import arrow_map, new_path
 from tessera.llm.tokens import default_tokenizer, encode_texts, ids_crc32
 
 FILE_SCHEMA = "doc_id long, file_range int, before long, n_tokens long, ids array<int>"
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(encode, FILE_SCHEMA)
+        arrow_map(ordered, encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
@@ -92,7 +92,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_token_files(spark, path).select("doc_id", "file_range", "before", "ids")
-    out = rows.mapInArrow(digest, "doc_id long, file_range int, before long, n_tokens long, ids_crc32 long")
+    out = arrow_map(rows, digest, "doc_id long, file_range int, before long, n_tokens long, ids_crc32 long")
     # One row per file: the number of files bounds what is broadcast.
     return out.join(F.broadcast(file_starts(spark, path)), "file_range").select(
         "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
