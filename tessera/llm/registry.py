@@ -1,12 +1,16 @@
 """Queries of this subpackage by name, and the SQL that some of them equal."""
 
-from tessera.llm import lines, mixing, packing, quality, token_files
+from tessera.llm import caps, jaccard, lines, mixing, packing, quality, substring, token_files, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_line_dedup": lines.op3_line_dedup,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op6_vector_caps": caps.op6_vector_caps,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_packing": packing.op10_packing,
 }
 
