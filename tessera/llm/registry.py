@@ -1,8 +1,9 @@
 """Queries of this subpackage by name, and the SQL that some of them equal."""
 
-from tessera.llm import caps, jaccard, lines, mixing, packing, quality, substring, token_files, toxicity
+from tessera.llm import caps, jaccard, lines, mixing, ngram, packing, quality, substring, token_files, toxicity
 
 QUERIES = {
+    "op1_lm_score": ngram.op1_lm_score,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
