@@ -1,4 +1,576 @@
-"""Driver queries of the engine's operators and the SQL they must equal."""
+"""Driver queries of the engine's operators and the SQL they must equal.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each query registers the tables it needs, whole, and runs through the language or the fluent form.
+Writes go to a store of their own in the shared folder.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.lang import tree as t
+from tessera.operators import nearest as vectors
+from tessera.session import Session
+from tessera.streaming import drain, event_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def put(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return put
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Session:
+    """A session over the given tables, with their keys; nothing is read before a query runs."""
+    s = Session(spark)
+    at = lambda name: f"{sf_dir}/{name}.parquet"
+    s.register("orders", at("orders"), unique="o_orderkey", cluster="o_custkey")
+    s.register("customer", at("customer"), unique="c_custkey")
+    s.register("lineitem", at("lineitem"), id_field="l_orderkey", cluster="l_orderkey")
+    s.register("nation", at("nation"), unique="n_nationkey")
+    s.register("events", at("events"), unique="event_id", cluster="user_id", json_fields={"props": "k INT"})
+    s.register("documents", at("documents"), unique="doc_id")
+    s.register("labels", at("labels"), id_field="doc_id")
+    s.register("pages", at("pages"), unique="page_id")
+    s.register("conversations", at("conversations"), id_field="turn", cluster="conv_id")
+    s.register("embeddings", at("embeddings"), unique="vec_id", cluster="label", vector="embedding")
+    return s
+
+
+def entity(spark: SparkSession, sf_dir: str) -> Session:
+    """Customers and orders in one dataset of two record types: fields of the one are missing in the other."""
+    s = tables(spark, sf_dir)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("_type", F.lit("Customer")).withColumn("custkey", F.col("c_custkey"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("_type", F.lit("Order")).withColumn("custkey", F.col("o_custkey"))
+    both = customers.unionByName(orders, allowMissingColumns=True)
+    return s.register("entity", both.withColumn("eid", F.concat("_type", F.lit(":"), F.coalesce("c_custkey", "o_orderkey").cast("string"))), unique="eid", cluster="custkey")
+
+
+def store(spark: SparkSession) -> Session:
+    """A session with an empty store in the shared folder; a temporary one where none is named."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    return Session(spark, f"{root.rstrip('/')}/tessera/store-{uuid.uuid4().hex[:12]}")
+
+
+_ENTITY = """(SELECT *, 'Customer' AS _type, c_custkey AS custkey, NULL AS o_orderkey, NULL AS o_custkey, NULL AS o_orderstatus, NULL AS o_totalprice,
+   NULL AS o_orderdate, NULL AS o_orderpriority FROM customer
+ UNION ALL BY NAME SELECT *, 'Order' AS _type, o_custkey AS custkey FROM orders)"""
+
+
+# --- scans and predicates ---
+
+
+@_query("SELECT count(*) AS n, CAST(sum(o_custkey) AS DOUBLE) AS s FROM orders")
+def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).scan("orders").df().agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_custkey").cast("double")).alias("s"))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' OR o_orderpriority = '3-MEDIUM') AND o_totalprice > 100000")
+def scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = tables(spark, sf_dir).scan("orders").where('(o_orderstatus = "F" OR o_orderpriority = "3-MEDIUM") AND o_totalprice > 100000')
+    return q.shape("o_orderkey", "o_totalprice").df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey > 10 ORDER BY o_orderkey LIMIT 40 OFFSET 40")
+def scan_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    first = s.run('SCAN "orders" WHERE o_custkey > 10 LIMIT 40')
+    return s.run(f'SCAN "orders" WHERE o_custkey > 10 LIMIT 40 CURSOR "{first.cursor}"').df.select("o_orderkey")
+
+
+@_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey = 7")
+def scan_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "o"; GRAVITY BY o_custkey IN "o"')
+    s.append("o", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return s.scan("o").where("o_custkey = 7").df().select("o_orderkey", "o_orderstatus")
+
+
+@_query("SELECT event_id, value FROM events WHERE user_id = 5 AND event_type = 'click'")
+def scan_by_subkey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "e"; GRAVITY BY user_id IN "e"; SATELLITE BY event_type IN "e"')
+    s.append("e", spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return s.scan("e").where('user_id = 5 AND event_type = "click"').df().select("event_id", "value")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_totalprice <= 50000 AND o_orderstatus <> 'F'")
+def pred_cmp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = tables(spark, sf_dir).scan("orders").where('o_orderdate >= @"1997-01-01" AND o_totalprice <= 50000 AND o_orderstatus != "F"')
+    return q.shape("o_orderkey").df()
+
+
+@_query(f"SELECT _type, count(*) AS n FROM {_ENTITY} WHERE NOT coalesce(o_orderstatus = 'F', false) GROUP BY _type")
+def pred_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity(spark, sf_dir).scan("entity").where('NOT o_orderstatus = "F"').group_by("_type").aggregate("count() AS n").df()
+
+
+@_query(f"SELECT _type, count(*) AS n FROM {_ENTITY} WHERE o_totalprice IS NULL OR c_acctbal IS NOT NULL GROUP BY _type")
+def pred_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity(spark, sf_dir).scan("entity").where("o_totalprice IS NULL OR c_acctbal IS NOT NULL").group_by("_type").aggregate("count() AS n").df()
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_custkey IN (1, 2, 3, 5, 8, 13)")
+def pred_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).scan("orders").where('o_orderpriority IN ["1-URGENT", "5-LOW"] AND o_custkey IN (1, 2, 3, 5, 8, 13)').shape("o_orderkey").df()
+
+
+@_query("SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events WHERE CAST(props->>'$.k' AS INTEGER) > 50")
+def pred_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).scan("events").where("props.k > 50").df().select("event_id", F.col("props.k").alias("k"))
+
+
+@_query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), (SELECT string_split(p_name, ' ')[1] FROM part WHERE p_partkey = 1))")
+def pred_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("words", F.split("p_name", " "))
+    word = part.filter("p_partkey = 1").select(F.col("words")[0]).first()[0]
+    s = Session(spark).register("part", part, unique="p_partkey")
+    return s.scan("part").where(t.Leaf("words", "contains", word)).shape("p_partkey").df()
+
+
+@_query("SELECT page_id, url FROM pages")
+def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).scan("pages").shape("page_id", "url", "nowhere").df()
+
+
+# --- lookups ---
+
+
+@_query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+def find_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('FIND "orders" WHERE o_orderkey = 42 | SHAPE {o_orderkey, o_custkey, o_totalprice}').df
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
+def find_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('FIND "orders" WHERE o_custkey = $key AND o_totalprice > 1000 | SHAPE {o_orderkey, o_totalprice}', {"key": 7}).df
+
+
+@_query("SELECT n_name AS name FROM nation WHERE n_nationkey = 3")
+def find_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.append("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    lid = s.scan("nation").where("n_nationkey = 3").df().first()["_lid"]
+    return s.run(f'FIND LID("{lid}")').df.select(F.col("n_name").alias("name"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey LIMIT 3 OFFSET 3")
+def find_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    first = s.run('FIND "orders" WHERE o_custkey = 7 LIMIT 3')
+    if not first.has_more:
+        return first.df.limit(0).select("o_orderkey")
+    return s.run(f'FIND "orders" WHERE o_custkey = 7 LIMIT 3 CURSOR "{first.cursor}"').df.select("o_orderkey")
+
+
+# --- order and limits ---
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "orders" ORDER BY o_totalprice DESC LIMIT 20 | SHAPE {o_orderkey, o_totalprice}').df
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_totalprice, o_orderkey LIMIT 5")
+def top_k_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "orders" WHERE o_custkey = 7 ORDER BY o_totalprice LIMIT 5 | SHAPE {o_orderkey, o_totalprice}').df
+
+
+@_query("SELECT CAST(17 AS BIGINT) AS n")
+def limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "lineitem" LIMIT 17').df.agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- aggregates ---
+
+
+@_query("""SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total, round(avg(l_discount), 6) AS discount,
+           min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'""")
+def agg_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'SCAN "lineitem" WHERE l_shipdate < @"1998-01-01" | AGGREGATE count() AS n, sum(l_extendedprice) AS total, avg(l_discount) AS discount, min(l_quantity) AS least, max(l_quantity) AS most'
+    return tables(spark, sf_dir).run(text).df.withColumns({"total": F.round("total", 2), "discount": F.round("discount", 6)})
+
+
+@_query("SELECT count(*) AS \"count\" FROM lineitem WHERE l_quantity > 25")
+def agg_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "lineitem" WHERE l_quantity > 25 | AGGREGATE count(*)').df
+
+
+@_query("SELECT round(sum(l_quantity), 2) AS s, CAST(0 AS DOUBLE) AS none FROM lineitem")
+def agg_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables(spark, sf_dir).run('SCAN "lineitem" | AGGREGATE sum(l_quantity) AS s, sum(l_returnflag) AS none').df
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("SELECT round(avg(l_tax), 6) AS a, CAST(0 AS DOUBLE) AS none FROM lineitem")
+def agg_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables(spark, sf_dir).run('SCAN "lineitem" | AGGREGATE avg(l_tax) AS a, avg(l_comment) AS none').df
+    return df.withColumn("a", F.round("a", 6))
+
+
+@_query("SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem")
+def agg_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "lineitem" | AGGREGATE min(l_extendedprice) AS lo, max(l_extendedprice) AS hi').df
+
+
+@_query("""SELECT l_returnflag, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'O') AS open, count(*) FILTER (WHERE l_linestatus = 'F') AS done,
+  round(coalesce(sum(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 0), 2) AS open_sum, round(coalesce(sum(l_extendedprice) FILTER (WHERE l_discount > 0.05), 0), 2) AS cheap_sum,
+  round(coalesce(avg(l_tax) FILTER (WHERE l_quantity > 40), 0), 6) AS big_tax, max(l_quantity) FILTER (WHERE l_linestatus = 'F' AND l_tax < 0.02) AS top
+  FROM lineitem GROUP BY l_returnflag""")
+def agg_conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = """SCAN "lineitem" | GROUP BY l_returnflag | AGGREGATE count() AS total, count() AS open WHERE l_linestatus = "O", count() AS done WHERE l_linestatus = "F",
+      sum(l_extendedprice) AS open_sum WHERE l_linestatus = "O", sum(l_extendedprice) AS cheap_sum WHERE l_discount > 0.05,
+      avg(l_tax) AS big_tax WHERE l_quantity > 40, max(l_quantity) AS top WHERE l_linestatus = "F" AND l_tax < 0.02"""
+    return tables(spark, sf_dir).run(text).df.withColumns({"open_sum": F.round("open_sum", 2), "cheap_sum": F.round("cheap_sum", 2), "big_tax": F.round("big_tax", 6)})
+
+
+@_query("SELECT o_custkey, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY o_custkey, o_orderstatus")
+def group_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables(spark, sf_dir).run('SCAN "orders" | GROUP BY o_custkey, o_orderstatus | AGGREGATE count() AS n, sum(o_totalprice) AS s').df
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 200000 GROUP BY o_orderpriority")
+def group_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "orders" WHERE o_orderstatus = "F" OR o_totalprice > 200000 | GROUP BY o_orderpriority | AGGREGATE count() AS n').df
+
+
+@_query("SELECT o_orderstatus, count(*) AS n FROM " + _ENTITY + " GROUP BY o_orderstatus")
+def group_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity(spark, sf_dir).run('SCAN "entity" | GROUP BY o_orderstatus | AGGREGATE count() AS n').df
+
+
+@_query("""SELECT o_custkey, round(sum(o_totalprice), 2) AS exposure, count(*) AS "count" FROM orders WHERE o_orderstatus IN ('F', 'O')
+           GROUP BY o_custkey ORDER BY sum(o_totalprice) DESC, o_custkey LIMIT 100""")
+def take_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'SCAN "orders" WHERE o_orderstatus IN ["F", "O"] | GROUP BY o_custkey | AGGREGATE sum(o_totalprice) AS exposure, count() | TAKE 100 BY exposure DESC'
+    return tables(spark, sf_dir).run(text).df.withColumn("exposure", F.round("exposure", 2))
+
+
+@_query("SELECT CAST(9 AS BIGINT) AS n")
+def take_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "orders" WHERE o_totalprice > 0 | TAKE 9').df.agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- expansion ---
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000)")
+def follow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = 'SCAN "orders" WHERE o_orderstatus = "F" AND o_totalprice > 150000 | FOLLOW o_custkey TO "customer" ON c_custkey | SHAPE {c_custkey, c_name}'
+    return tables(spark, sf_dir).run(text).df
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def follow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "labels" WHERE toxic = 1 | FOLLOW doc_id TO "documents" ON doc_id | SHAPE {doc_id, lang}').df
+
+
+@_query(f"SELECT _type, CAST(custkey AS BIGINT) AS custkey, count(*) AS n FROM {_ENTITY} WHERE custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) GROUP BY _type, custkey")
+def pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = entity(spark, sf_dir)
+    return s.scan("entity").where("o_totalprice > 250000").pull().df().groupBy("_type", "custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
+def pull_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity(spark, sf_dir).run('SCAN "entity" WHERE o_totalprice > 250000 | PULL depth=1 only=Customer | SHAPE {c_custkey, c_name}').df
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
+def pull_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "conversations" WHERE role = "system" | PULL | SHAPE {conv_id, turn}').df
+
+
+@_query("""SELECT CAST(1 AS BIGINT) AS parents, count(*) AS children, CAST(1 + count(*) AS BIGINT) AS pulled FROM nation WHERE n_regionkey = 1""")
+def pull_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "geo"; GRAVITY BY root IN "geo"')
+    s.run('PUT {root: "r1", _type: "Region", key: 1} IN "geo"')
+    nations = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey = 1").collect()]
+    rows = tuple({"_type": "Nation", "name": n} for n in nations)
+    s.run(t.Put("geo", rows, ((),) * len(rows), True, t.LinkTo("geo", t.Leaf("key", "=", 1), "in_region")))
+    df = s.run('FIND "geo" WHERE key = 1 | PULL').df
+    one = lambda kind: F.count(F.when(F.col("_type") == kind, 1))
+    return df.agg(one("Region").alias("parents"), one("Nation").alias("children"), F.count(F.lit(1)).alias("pulled"))
+
+
+@_query(f"""WITH RECURSIVE e AS (SELECT * FROM orders WHERE o_custkey = 7)
+  SELECT (SELECT count(*) FROM customer WHERE c_custkey = 7) AS customers, count(*) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM e""")
+def fetch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    s.register("who", spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("key", F.col("c_custkey")), unique="key")
+    s.register("what", spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("key", F.col("o_custkey")), unique="o_orderkey", cluster="key")
+    df = s.run('FETCH "who", "what" WHERE key = 7 AS {customers, orders}').df
+    total = F.aggregate("orders", F.lit(0.0), lambda a, o: a + F.coalesce(o["o_totalprice"], F.lit(0.0)))
+    return df.select(F.size("customers").cast("long").alias("customers"), F.size("orders").cast("long").alias("orders"), F.round(total, 2).alias("total"))
+
+
+# --- vector search ---
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
+    row = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id = 0").select("embedding").first()
+    return [float(x) for x in row[0]]
+
+
+def _near(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    df = s.run(text, {"q": _probe(spark, sf_dir)}).df
+    return df.select("vec_id", "label")
+
+
+_PROBE = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+
+
+@_query(f"SELECT vec_id, label FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id LIMIT 25")
+def nearest_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, 'SCAN "embeddings" | NEAREST 25 BY embedding TO $q USING cosine')
+
+
+@_query(f"SELECT vec_id, label FROM embeddings ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id LIMIT 25")
+def nearest_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, 'SCAN "embeddings" | NEAREST(embedding, $q, 25, dot)')
+
+
+@_query(f"SELECT vec_id, label FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {_PROBE}), vec_id LIMIT 25")
+def nearest_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, 'SCAN "embeddings" | NEAREST 25 BY embedding TO $q USING l2')
+
+
+@_query(f"SELECT vec_id, label FROM embeddings WHERE label = 3 AND vec_id > 50 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id LIMIT 10")
+def nearest_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, 'SCAN "embeddings" WHERE label = 3 AND vec_id > 50 | NEAREST 10 BY embedding TO $q')
+
+
+@_query(f"SELECT vec_id, label FROM embeddings WHERE vec_id <> 0 ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id LIMIT 10")
+def nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('SCAN "embeddings" | NEAREST(embedding, REF "0", 10, cosine)').df.select("vec_id", "label")
+
+
+@_query(f"""SELECT label, vec_id, rank FROM (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label
+   ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id) AS INTEGER) AS rank FROM embeddings) WHERE rank <= 3""")
+def nearest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables(spark, sf_dir).dataset("embeddings")
+    out = vectors.nearest_per_key(df, "label", "embedding", _probe(spark, sf_dir), 3, "vec_id")
+    return out.select("label", "vec_id", F.col("_rank").cast("int").alias("rank"))
+
+
+@_query(f"""SELECT count(*) AS n, round(avg(label), 6) AS mean FROM (SELECT label FROM embeddings
+   ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id LIMIT 50)""")
+def nearest_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = tables(spark, sf_dir).run('SCAN "embeddings" | NEAREST 50 BY embedding TO $q | AGGREGATE count() AS n, avg(label) AS mean', {"q": _probe(spark, sf_dir)}).df
+    return df.withColumn("mean", F.round("mean", 6))
+
+
+# --- writes ---
+
+
+def _customers(spark: SparkSession, sf_dir: str, more: str = "") -> Session:
+    s = store(spark)
+    s.run(f'LOBE "c"; ANCHOR "c_custkey" UNIQUE IN "c"; GRAVITY BY c_nationkey IN "c"{more}')
+    s.append("c", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return s
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45")
+def ingest_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.append("l", spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return s.scan("l").where("l_quantity > 45").df().select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@_query("""SELECT c_custkey, CASE WHEN c_custkey IN (1, 2) THEN 'renamed' ELSE c_name END AS c_name, c_acctbal FROM customer
+   UNION ALL SELECT -1, 'new', CAST(NULL AS DOUBLE)""")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    s.run('PUT BATCH IN "c" [{c_custkey: 1, c_name: "renamed"}, {c_custkey: 2, c_name: "renamed"}, {c_custkey: -1, c_name: "new"}] ON CONFLICT UPDATE')
+    return s.scan("c").df().select("c_custkey", "c_name", "c_acctbal")
+
+
+@_query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment,
+   CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 24 ELSE c_nationkey END AS c_nationkey FROM customer""")
+def set_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    s.run('SET "c" c_mktsegment = "X", c_nationkey = 24 WHERE c_mktsegment = "BUILDING" OR c_acctbal < 0')
+    return s.scan("c").df().select("c_custkey", "c_mktsegment", F.col("c_nationkey").cast("int").alias("c_nationkey"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE NOT (c_nationkey = 3 OR c_acctbal > 9000)")
+def delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    s.run('DELETE "c" WHERE c_nationkey = 3; SCAN "c" WHERE c_acctbal > 9000 | DELETE')
+    return s.scan("c").df().select("c_custkey")
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS left_over, CAST(1 AS BIGINT) AS added")
+def purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    s.run('PURGE "c"')
+    left = s.scan("c").df().agg(F.count(F.lit(1)).alias("left_over"))
+    s.run('PUT {c_custkey: 5, c_nationkey: 1} IN "c"')
+    return left.crossJoin(s.scan("c").df().agg(F.count(F.lit(1)).alias("added")))
+
+
+@_query("""SELECT n.n_name AS name, r.r_name AS region FROM nation n JOIN region r ON r.r_regionkey = 2 WHERE n.n_regionkey = 2""")
+def link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.append("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    s.append("region", spark.read.parquet(f"{sf_dir}/region.parquet"))
+    s.run('LINK "nation" WHERE n_regionkey = 2 TO "region" WHERE r_regionkey = 2 AS "lies_in"')
+    return s.run('SCAN "nation" WHERE _link_lies_in IS NOT NULL | FOLLOW _link_lies_in TO "region" ON _lid').df.select(F.col("r_name").alias("region")).crossJoin(
+        s.scan("nation").where("_link_lies_in IS NOT NULL").df().select(F.col("n_name").alias("name"))
+    )
+
+
+# --- views ---
+
+
+def _orders_store(spark: SparkSession, sf_dir: str) -> Session:
+    s = store(spark)
+    s.run('LOBE "o"; ANCHOR "o_orderkey" UNIQUE IN "o"; GRAVITY BY o_custkey IN "o"')
+    s.append("o", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return s
+
+
+_TOTALS = """CREATE GHOST "totals" FROM "o" WHERE o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority
+  | AGGREGATE count(), sum(o_totalprice), avg(o_totalprice), min(o_totalprice), max(o_totalprice) | TAKE BY sum(o_totalprice) DESC"""
+
+
+@_query("SELECT o_orderkey, o_totalprice, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def scan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run('CREATE GHOST "dear" FROM "o" WHERE o_orderstatus = "F" | TAKE BY o_totalprice DESC | EMBED o_orderkey, o_totalprice, o_custkey')
+    df = s.run('SCAN GHOST "dear" WHERE o_totalprice > 200000').df
+    return df.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice", "o_custkey")
+
+
+@_query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey, o_orderpriority")
+def view_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run(_TOTALS)
+    df = s.run('SCAN "o" WHERE o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority | AGGREGATE count() AS n, sum(o_totalprice) AS s').df
+    assert list(s.routed) == ["totals"]
+    return df.select("o_custkey", "n", F.round("s", 2).alias("s"))
+
+
+_AFTER = """(SELECT o_orderkey, o_custkey, CASE WHEN o_custkey = 7 THEN 'F' ELSE o_orderstatus END AS o_orderstatus,
+   CASE WHEN o_custkey = 7 THEN 5.5 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE NOT (o_totalprice > 280000 OR o_orderkey < 100)
+   UNION ALL SELECT -1, 1, 'F', 123.25, '1-URGENT')"""
+
+
+def _changed(spark: SparkSession, sf_dir: str, view: str) -> Session:
+    s = _orders_store(spark, sf_dir)
+    s.run(view)
+    s.run('PUT {o_orderkey: -1, o_custkey: 1, o_orderstatus: "F", o_totalprice: 123.25, o_orderpriority: "1-URGENT"} IN "o"')
+    s.run('DELETE "o" WHERE o_totalprice > 280000 OR o_orderkey >= 0 AND o_orderkey < 100')
+    s.run('SET "o" o_orderstatus = "F", o_totalprice = 5.5 WHERE o_custkey = 7')
+    return s
+
+
+@_query(f"SELECT o_custkey, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS s, round(avg(o_totalprice), 4) AS a FROM {_AFTER} WHERE o_orderstatus = 'F' GROUP BY o_custkey, o_orderpriority")
+def view_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _changed(spark, sf_dir, 'CREATE GHOST "v" FROM "o" WHERE o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority | AGGREGATE count(), sum(o_totalprice), avg(o_totalprice) | TAKE BY count()')
+    df = s.run('SCAN "o" WHERE o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority | AGGREGATE count() AS n, sum(o_totalprice) AS s, avg(o_totalprice) AS a').df
+    assert list(s.routed) == ["v"]
+    return df.withColumns({"s": F.round("s", 2), "a": F.round("a", 4)})
+
+
+@_query(f"SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM {_AFTER} GROUP BY o_custkey")
+def view_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _changed(spark, sf_dir, 'CREATE GHOST "x" FROM "o" | GROUP BY o_custkey | AGGREGATE min(o_totalprice), max(o_totalprice) | TAKE BY o_custkey')
+    df = s.run('SCAN "o" | GROUP BY o_custkey | AGGREGATE min(o_totalprice) AS lo, max(o_totalprice) AS hi').df
+    assert list(s.routed) == ["x"]
+    return df
+
+
+@_query("SELECT o_custkey, o_orderpriority, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL ORDER BY sum(o_totalprice) DESC, o_custkey, o_orderpriority LIMIT 10")
+def view_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run(_TOTALS)
+    df = s.run('SCAN "o" WHERE o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority | AGGREGATE sum(o_totalprice) AS s | TAKE 10 BY s').df
+    assert list(s.routed) == ["totals"]
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7 GROUP BY o_custkey, o_orderpriority")
+def view_route_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run(_TOTALS)
+    df = s.run('SCAN "o" WHERE o_custkey = 7 AND o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority | AGGREGATE count() AS n').df
+    assert list(s.routed) == ["totals"]
+    return df
+
+
+@_query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 200000 GROUP BY o_orderpriority")
+def view_or_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run('CREATE GHOST "all" FROM "o" | GROUP BY o_orderpriority | AGGREGATE count() | TAKE BY count() DESC')
+    df = s.run('SCAN "o" WHERE o_orderstatus = "F" OR o_totalprice > 200000 | GROUP BY o_orderpriority | AGGREGATE count() AS n').df
+    assert not s.routed
+    return df
+
+
+@_query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderstatus = 'O'")
+def scan_via_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run('CREATE GHOST "open" FROM "o" WHERE o_orderstatus = "O" | AGGREGATE count(), sum(o_totalprice) | TAKE BY count()')
+    df = s.run('SCAN "o" WHERE o_orderstatus = "O" | AGGREGATE count() AS n, sum(o_totalprice) AS s').df
+    assert list(s.routed) == ["open"]
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def view_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "o"; CREATE GHOST "n" FROM "o" | GROUP BY o_custkey | AGGREGATE count() | TAKE BY count() DESC')
+    s.run("BULKMODE ON")
+    s.append("o", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    s.run("BULKMODE OFF")
+    df = s.run('SCAN "o" | GROUP BY o_custkey | AGGREGATE count() AS n').df
+    assert list(s.routed) == ["n"]
+    return df
+
+
+# --- streams, introspection, links as a tree ---
+
+
+@_query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY event_type")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "e"; CREATE GHOST "by_type" FROM "e" | GROUP BY event_type | AGGREGATE count(), sum(value) | TAKE BY count() DESC')
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # A table is one file here and a folder of files elsewhere; a glob reads both.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    plain = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).isFile()
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet" if plain else path)
+    drain(s, stream, "e", f"{s.root}/checkpoints/e").awaitTermination()
+    df = s.run('SCAN "e" | GROUP BY event_type | AGGREGATE count() AS n, sum(value) AS s').df
+    assert list(s.routed) == ["by_type"]
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = event_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_type")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@_query("""SELECT * FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) f(field)
+  JOIN LATERAL (SELECT CASE field WHEN 'o_orderkey' THEN count(DISTINCT o_orderkey) WHEN 'o_custkey' THEN count(DISTINCT o_custkey) WHEN 'o_orderstatus' THEN count(DISTINCT o_orderstatus)
+  WHEN 'o_totalprice' THEN count(DISTINCT o_totalprice) WHEN 'o_orderdate' THEN count(DISTINCT o_orderdate) ELSE count(DISTINCT o_orderpriority) END AS n_distinct FROM orders) ON true""")
+def analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir).run('ANALYZE "orders"').df.select("field", "n_distinct")
