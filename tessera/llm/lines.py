@@ -60,7 +60,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
 
 
 def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """``docs`` with ``text`` rid of boilerplate lines, and a struct ``line_figures`` (n_lines, n_removed)."""
+    """(row, text, n_lines, n_removed): the input's columns as one struct, and the text rid of boilerplate lines."""
     spread = materialize(boilerplate(docs, min_sites, site), "boilerplate")
     gone = (
         _occurrences(docs, site)
@@ -69,7 +69,8 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "s
         .groupBy("doc")
         .agg(F.collect_set(F.struct("line_no", "h1")).alias("gone"))
     )
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc"]), "left").drop("doc")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    joined = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]), "left")
     lines = _lines(F.col("text"))
     kept = F.filter(
         F.transform(lines, lambda line, i: F.struct(i.alias("line_no"), F.xxhash64(F.trim(line, F.lit(_ENDS))).alias("h1"), line.alias("line"))),
@@ -78,19 +79,20 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "s
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
     whole = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     rest = F.when(F.col("gone").isNull(), whole).otherwise(F.size(kept).cast("long"))
-    out = joined.withColumn("line_figures", F.struct(whole.alias("n_lines"), (whole - rest).alias("n_removed"))).withColumn("text", text)
-    return out.select(*docs.columns, "line_figures")
+    return joined.select("row", text.alias("text"), whole.alias("n_lines"), (whole - rest).alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after removal, and how many lines went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return drop_boilerplate(docs).select("doc_id", F.col("line_figures")["n_lines"].alias("n_lines"), F.col("line_figures")["n_removed"].alias("n_removed"), "text")
+    return drop_boilerplate(docs).select("row.doc_id", "n_lines", "n_removed", "text")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, rid of boilerplate lines; ``n_chars`` follows the text."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = drop_boilerplate(docs)
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 LINES_SQL = f"""

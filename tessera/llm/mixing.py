@@ -88,53 +88,54 @@ def _uniform(*parts: Column) -> Column:
 def mix_sources(
     docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: float | None = None, seed: int = SEED
 ) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) as read: one row per reading, with ``mix`` (n_tokens, epoch, block).
+    """One row per reading of a document: (row, n_tokens, epoch, block), the input's columns as one struct.
 
     ``block`` numbers blocks of the mixture, in each of which sources stand by their weights.
     """
     spark = docs.sparkSession
     words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda w: w != "")
-    counted = docs.withColumn("mix", F.struct(F.size(words).cast("long").alias("n_tokens")))
-    totals = counted.groupBy("source").agg(F.sum("mix.n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
-    plan = temperature({r["source"]: r["tokens"] for r in totals}, target_entropy, max_passes, budget)
+    counted = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("s"), F.size(words).cast("long").alias("n_tokens")
+    )
+    totals = counted.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
+    plan = temperature({r["s"]: r["tokens"] for r in totals}, target_entropy, max_passes, budget)
     n_blocks = max(1, math.isqrt(sum(r["n"] for r in totals)))
-    rows = [(r["source"], plan.passes[r["source"]], float(r["tokens"]), max(1, math.isqrt(r["n"]))) for r in totals]
-    sources = spark.createDataFrame(rows, "_source string, _passes double, _tokens double, _blocks int")
+    rows = [(r["s"], plan.passes[r["s"]], float(r["tokens"]), max(1, math.isqrt(r["n"]))) for r in totals]
+    sources = spark.createDataFrame(rows, "source string, passes double, tokens double, blocks int")
     # One row per source, gathered above: their number bounds what is broadcast.
-    read = counted.join(F.broadcast(sources), counted["source"].eqNullSafe(sources["_source"]))
-    last = F.ceil("_passes").cast("int") - 1
-    read = read.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))))
-    read = read.withColumn("_key", _uniform(F.lit(seed), F.col("_epoch"), F.col("doc_id"), F.col("text")))
-    read = read.withColumn("_part", F.floor(F.col("_key") * F.col("_blocks")).cast("int"))
-    share = F.col("_passes") - F.col("_epoch")
+    read = counted.join(F.broadcast(sources), counted["s"].eqNullSafe(sources["source"])).drop("s")
+    last = F.ceil("passes").cast("int") - 1
+    read = read.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))))
+    read = read.withColumn("key", _uniform(F.lit(seed), F.col("epoch"), F.col("row.doc_id"), F.col("row.text")))
+    read = read.withColumn("part", F.floor(F.col("key") * F.col("blocks")).cast("int"))
+    share = F.col("passes") - F.col("epoch")
     whole = read.filter(share >= 1)
-    partial = read.filter(share < 1).withColumn("_room", share * F.col("_tokens"))
+    partial = read.filter(share < 1).withColumn("room", share * F.col("tokens"))
     # The partial pass: sums of its blocks, then where the budget ends.
-    blocks = partial.groupBy("_source", "_part").agg(F.sum("mix.n_tokens").alias("_sum"), F.max("_room").alias("_limit"))
-    upto = F.sum("_sum").over(Window.partitionBy("_source").orderBy("_part"))
+    blocks = partial.groupBy("source", "part").agg(F.sum("n_tokens").alias("size"), F.max("room").alias("limit"))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("part"))
     ends = materialize(
-        blocks.withColumn("_before", upto - F.col("_sum")).filter(F.col("_before") < F.col("_limit")).select(
-            F.col("_source").alias("_s"), F.col("_part").alias("_p"), "_before", ((F.col("_before") + F.col("_sum")) <= F.col("_limit")).alias("_all")
+        blocks.withColumn("before", upto - F.col("size")).filter(F.col("before") < F.col("limit")).select(
+            F.col("source").alias("s"), F.col("part").alias("p"), "before", ((F.col("before") + F.col("size")) <= F.col("limit")).alias("all_of_it")
         ),
         "mix-blocks",
     )
-    held = partial.join(ends, partial["_source"].eqNullSafe(ends["_s"]) & (partial["_part"] == ends["_p"]))
-    inside = held.filter("_all")
-    order = Window.partitionBy("_source", "_part").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = held.filter("not _all").withColumn("_end", F.col("_before") + F.sum("mix.n_tokens").over(order)).filter(F.col("_end") <= F.col("_room"))
-    keep = [*docs.columns, "mix", "_epoch", "_key", "_passes"]
+    held = partial.join(ends, partial["source"].eqNullSafe(ends["s"]) & (partial["part"] == ends["p"]))
+    inside = held.filter("all_of_it")
+    order = Window.partitionBy("source", "part").orderBy("key", "row.doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = held.filter("not all_of_it").withColumn("end", F.col("before") + F.sum("n_tokens").over(order)).filter(F.col("end") <= F.col("room"))
+    keep = ["row", "n_tokens", "epoch", "key", "passes"]
     out = whole.select(*keep).unionByName(inside.select(*keep)).unionByName(edge.select(*keep))
-    place = F.least(F.floor((F.col("_epoch") + F.col("_key")) / F.greatest("_passes", F.lit(1e-12)) * n_blocks), F.lit(n_blocks - 1)).cast("int")
-    return out.withColumn("mix", F.struct(F.col("mix.n_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"), place.alias("block"))).select(*docs.columns, "mix")
+    place = F.least(F.floor((F.col("epoch") + F.col("key")) / F.greatest("passes", F.lit(1e-12)) * n_blocks), F.lit(n_blocks - 1)).cast("int")
+    return out.select("row", "n_tokens", "epoch", place.alias("block"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading of every document in the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    x = F.col("mix")
-    return mix_sources(docs).select("doc_id", "source", x["n_tokens"].alias("n_tokens"), x["epoch"].alias("epoch"), x["block"].alias("block"))
+    return mix_sources(docs).select("row.doc_id", "row.source", "n_tokens", "epoch", "block")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture reads them; each at least once."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs).select("row.*")
