@@ -45,7 +45,9 @@ class Catalog:
             if version > self.version:
                 self.version, self.content = version, {"datasets": {}, "views": {}} | content
 
-    def draft(self) -> dict:
+    def draft(self, writes: str | None = None) -> dict:
+        if writes in self.external:
+            raise QueryError(f"dataset {writes} is a registered table and cannot be written")
         if self.file is None:
             raise QueryError("this session has no store; give it a path to write to")
         return copy.deepcopy(self.content)

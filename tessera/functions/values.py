@@ -84,9 +84,9 @@ def infer(value: Any) -> T.DataType | None:
         inner = None
         for v in value:
             inner = unify(inner, infer(v))
-        return T.ArrayType(inner or T.StringType())
+        return T.ArrayType(inner or T.NullType())
     if kind == "map":
-        return T.StructType([T.StructField(k, infer(v) or T.StringType()) for k, v in value.items()])
+        return T.StructType([T.StructField(k, infer(v) or T.NullType()) for k, v in value.items()])
     return {"bool": T.BooleanType(), "text": T.StringType(), "time": T.TimestampType()}.get(kind) or (T.LongType() if isinstance(value, int) else T.DoubleType())
 
 
@@ -94,6 +94,8 @@ def unify(a: T.DataType | None, b: T.DataType | None) -> T.DataType | None:
     """The type that holds both: Int and Float become Float, maps and lists unify by their parts, all else VARIANT."""
     if a is None or b is None or a == b:
         return a or b
+    if isinstance(a, T.NullType) or isinstance(b, T.NullType):
+        return b if isinstance(a, T.NullType) else a
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         return T.DoubleType()
     if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
@@ -106,6 +108,27 @@ def unify(a: T.DataType | None, b: T.DataType | None) -> T.DataType | None:
     return T.VariantType()
 
 
+def settle(kind: T.DataType | None) -> T.DataType:
+    """A type to store: what is only ever null is text, and a field with disagreeing parts anywhere is VARIANT as a whole."""
+
+    def mixed(k: T.DataType) -> bool:
+        if isinstance(k, T.ArrayType):
+            return mixed(k.elementType)
+        return any(mixed(f.dataType) for f in k.fields) if isinstance(k, T.StructType) else isinstance(k, T.VariantType)
+
+    def filled(k: T.DataType) -> T.DataType:
+        if isinstance(k, T.ArrayType):
+            return T.ArrayType(filled(k.elementType))
+        if isinstance(k, T.StructType):
+            return T.StructType([T.StructField(f.name, filled(f.dataType)) for f in k.fields]) if k.fields else T.VariantType()
+        return T.StringType() if isinstance(k, T.NullType) else k
+
+    if kind is None:
+        return T.StringType()
+    kind = filled(kind)
+    return T.VariantType() if mixed(kind) else kind
+
+
 def plain(value: Any, kind: T.DataType) -> Any:
     """A Python value as ``createDataFrame`` wants it for ``kind``; VARIANT fields go in as JSON text."""
     if value is None:

@@ -452,7 +452,7 @@ class Session:
     def _put(self, put: t.Put) -> Result:
         if len(put.records) > managed.BATCH_MAX:
             raise QueryError(f"a batch has at most {managed.BATCH_MAX} records; this one has {len(put.records)}")
-        content = self.catalog.draft()
+        content = self.catalog.draft(put.dataset)
         entry = self.catalog.ensure(content, put.dataset)
         records = [dict(r) for r in put.records]
         for marked in put.marked:

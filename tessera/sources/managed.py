@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.keys import bucket_of, cluster_key
-from tessera.functions.values import infer, plain, unify
+from tessera.functions.values import infer, plain, settle, unify
 from tessera.lang.parser import QueryError
 from tessera.lang.tree import Gravity
 from tessera.plans.predicates import resolve
@@ -83,7 +83,7 @@ def _convert(column: Column, have: T.DataType, want: T.DataType) -> Column:
 def merge_schemas(a: T.StructType, b: T.StructType) -> T.StructType:
     fields = {f.name: f.dataType for f in a.fields}
     for f in b.fields:
-        fields[f.name] = unify(fields.get(f.name), f.dataType)
+        fields[f.name] = settle(unify(fields.get(f.name), f.dataType))
     order = [n for n in SYSTEM if n in fields] + [n for n in fields if n not in SYSTEM]
     return T.StructType([T.StructField(n, fields[n]) for n in order])
 
@@ -113,7 +113,7 @@ def from_records(spark: SparkSession, records: list[dict]) -> DataFrame:
     for record in records:
         for name, value in record.items():
             kinds[name] = unify(kinds.get(name), infer(value))
-    schema = T.StructType([T.StructField(n, k or T.StringType()) for n, k in kinds.items()] + [T.StructField("_nulls", SYSTEM["_nulls"])])
+    schema = T.StructType([T.StructField(n, settle(k) if k is not None else T.NullType()) for n, k in kinds.items()] + [T.StructField("_nulls", SYSTEM["_nulls"])])
     loose = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.VariantType) else f.dataType) for f in schema.fields])
     rows = []
     for record in records:
@@ -157,6 +157,7 @@ def place(df: DataFrame, entry: dict, key: Column | None = None) -> DataFrame:
 def write_part(spark: SparkSession, root: str, name: str, entry: dict, df: DataFrame, drop: list[int] | None = None, replace: bool = False) -> dict:
     """The entry after ``df`` was written as a new part.  ``drop`` buckets of older parts count no more; ``replace`` drops all."""
     schema = merge_schemas(schema_of(entry), df.schema)
+    df = conform(df, T.StructType([schema[c] for c in df.columns]))  # a field that was only set to null has no type yet
     path = f"{root}/data/{name}/{uuid.uuid4().hex}"
     order = ["_bucket", "_key"] + ([entry["satellite"]] if entry["satellite"] in df.columns else [])
     if entry["gravity"]:
