@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.groups import block_pairs, local_roots, runs
+from tessera.llm.idfilter import maybe_in
 from tessera.llm.store import arrow_map, materialize
 from tessera.llm.words import Words, each_slice, mix, windows
 
@@ -168,8 +169,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, threshold: float, depth:
     shared = materialize(shared.select("m", "node.tree", "node.prefix"), "trie-nodes")
     members = below.join(shared, ["tree", "prefix"]).join(classes.select("k1", "rep", "n"), "k1")
     dealt = materialize(block_pairs(members, F.col("m"), F.xxhash64(F.lit(3), "k1"), block), "trie-members")
-    texts = _keyed(docs).select(F.col("doc_id"), F.col("k1").alias("key"), "text")
-    rows = dealt.join(texts, dealt["rep"].eqNullSafe(texts["doc_id"]) & (dealt["k1"] == texts["key"])).select(
+    texts = maybe_in(_keyed(docs).select(F.col("k1").alias("key"), "doc_id", "text"), dealt.select(F.col("k1").alias("key")), "key")
+    rows = dealt.hint("merge").join(texts, dealt["rep"].eqNullSafe(texts["doc_id"]) & (dealt["k1"] == texts["key"])).select(
         "tree", "prefix", "lo", "hi", "side", "k1", "n", "text"
     )
     keys = ["tree", "prefix", "lo", "hi"]
@@ -216,17 +217,24 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(docs).select("doc_id", "class_id", "n_links")
 
 
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least ``doc_id``."""
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates: the one with the least ``doc_id``. All columns stay."""
     found = near_groups(docs.select("doc_id", "text"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "component").agg(
         F.min(F.struct("k1", "k2")).alias("key"), F.count(F.lit(1)).alias("copies")
     )
-    kept = materialize(kept.select(F.col("doc_id").alias("_id"), "key.k1", "key.k2", "component", "copies"), "kept")
+    kept = materialize(kept.select(F.col("doc_id").alias("kept_id"), "key.k1", "key.k2", "component", "copies"), "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("second"), text)})
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_k1"] == kept["k1"]) & (rows["_k2"] == kept["k2"]))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"),
+    )
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["a"] == kept["k1"]) & (rows["b"] == kept["k2"]))
     # Rows of one id and one text: only these need to meet, and they are few.
-    once = rows.filter("copies = 1").select(*docs.columns)
-    again = rows.filter("copies > 1").dropDuplicates(["doc_id", "component"]).select(*docs.columns)
-    return once.unionByName(again)
+    again = rows.filter("copies > 1").groupBy("id", "component").agg(F.first("row").alias("row"))
+    return rows.filter("copies = 1").select("row.*").unionByName(again.select("row.*"))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one(docs)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.idfilter import maybe_in
 from tessera.llm.store import arrow_map, materialize
 from tessera.llm.words import Words, each_slice, windows
 
@@ -36,8 +37,6 @@ WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of its members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bits of the filter that spares documents without a candidate from being moved; 4 MB, whatever the corpus.
-FILTER_BITS = 1 << 25
 _ANCHOR_BASE = 0xE7037ED1A0B428DB | 1
 _WINDOW_BASES = (0x8EBC6AF09C88C6E3 | 1, 0x589965CC75374CC3 | 1)
 
@@ -146,30 +145,6 @@ def kept_words(text: bytes, starts: np.ndarray) -> tuple[int, bytes]:
     return len(words) - int(keep.sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
 
 
-def _maybe_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id may be in ``wanted``: all that are, and a few more.
-
-    The filter is a bitmap of fixed size, made by aggregation; however many ids go in, it is at most
-    ``FILTER_BITS`` bits, so it is safe to broadcast.  The exact join follows.
-    """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    # The bitmap functions number positions from 1: position s + 1 is bit s % 32768 of bucket 1 + s div 32768.
-    at = spot + 1
-    bits = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    found = {row["bucket"]: bytes(row["bits"]) for row in bits.collect()}  # at most FILTER_BITS / 32768 rows of 4 KB
-    joined = b"".join(found.get(i + 1, bytes(1 << 12)) for i in range(FILTER_BITS >> 15))
-    shared = docs.sparkSession.sparkContext.broadcast(joined)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            s = batch.column(batch.num_columns - 1).to_numpy()
-            yield batch.filter(pa.array((held[s >> 3] >> (s & 7).astype(np.uint8) & 1).astype(bool)))
-
-    rows = docs.withColumn("_spot", spot)
-    return arrow_map(rows, keep, rows.schema).drop("_spot")
-
-
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs`` (doc_id, text)."""
     whole = materialize(digests(docs), "digests")
@@ -183,7 +158,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     shared = materialize(shared, "shared-anchors")
     spots = found.join(shared, "anchor").groupBy("doc_id", "k1").agg(F.collect_list("position").alias("positions"))
     spots = materialize(spots.join(copies, ["doc_id", "k1"], "left_anti"), "anchor-spots")
-    texts = _maybe_in(_texts(docs), spots)
+    texts = maybe_in(_texts(docs), spots)
     texts = materialize(texts.join(spots, ["doc_id", "k1"]).select("doc_id", "k1", "text", "positions"), "candidate-texts")
     held = candidate_windows(texts)
     least = held.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h1", "h2", F.col("a").alias("first"))
