@@ -44,14 +44,17 @@ from tessera.llm.words import Words, each_slice
 
 LEAST_COUNT = 2
 DISCOUNT = 0.75
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 VOCABULARY_SHARD = 1 << 20
-FLUSH = 3_000_000
+#: Entries that a task holds before it adds them up and sends them on: its memory, whatever the input.
+FLUSH = 1_500_000
 #: Logarithms are kept in steps of 1/1024 of a decade, rounded down, so that sums stay below one.
 STEP = 1024.0
 #: Stands for the end of a text; no word hashes to it but by a chance of 2**-64.
 END = np.uint64(0x9D39247E33776D41)
 _U = np.uint64
+#: In place of a word's number: no such word.
+_NONE = 0xFFFFFFFF
 
 
 def _quantise(p: np.ndarray) -> np.ndarray:
@@ -210,9 +213,6 @@ def shard_of(count: np.ndarray, before: np.ndarray, next_before: np.ndarray, voc
 
 # --- counts of n-grams ------------------------------------------------------------------------------------------
 
-_ORDER = {2: ("u", "v", "n"), 3: ("u", "v", "w", "n")}
-
-
 def _squeeze(columns: list[np.ndarray]) -> bytes:
     """Columns of unsigned 32-bit numbers, byte plane by byte plane, compressed."""
     planes = b"".join(np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
@@ -233,24 +233,20 @@ def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            u, v, w, shard = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = u << _U(32) | v
-            key, n = np.unique(key, return_counts=True)
-            # The first occurrence's shard is that of all: it depends on (u, v) alone.
-            first = np.unique(u << _U(32) | v, return_index=True)[1]
-            place = shard[first]
-            yield from rows(place, 2, [key >> _U(32), key & _U(0xFFFFFFFF), n])
-            real = w != _U(0xFFFFFFFF)
-            pair, third = (u[real] << _U(32)) | v[real], w[real]
-            place = shard[real]
-            order = np.lexsort((third, pair))
-            pair, third, place = pair[order], third[order], place[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])
+            key, third, shard = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            key = key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
             begins = np.flatnonzero(new)
-            n = np.diff(np.append(begins, len(pair)))
-            pair, third, place = pair[begins], third[begins], place[begins]
-            yield from rows(place, 3, [pair >> _U(32), pair & _U(0xFFFFFFFF), third, n])
+            pair, place, n = key[begins], shard[order[begins]], np.diff(np.append(begins, len(key)))
+            yield from rows(place, 2, [pair >> _U(32), pair & _U(0xFFFFFFFF), n])
+            # Triples by number of their pair and third word, in one integer each.
+            number = (np.cumsum(new) - 1).astype(_U)
+            third = third[order]
+            triple, n = np.unique((number << _U(32) | third.astype(_U))[third != _NONE], return_counts=True)
+            number = (triple >> _U(32)).astype(np.int64)
+            yield from rows(place[number], 3, [pair[number] >> _U(32), pair[number] & _U(0xFFFFFFFF), triple & _U(0xFFFFFFFF), n])
 
         def rows(place: np.ndarray, order: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)] if len(place) else []
@@ -263,9 +259,9 @@ def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 t = look_up(words, vocabulary)
                 at = np.flatnonzero(t.index > 0) - 1  # first word of each pair
                 following = np.minimum(at + 2, len(t.number) - 1)
-                third = np.where((at + 2 < len(t.number)) & (t.index[following] > 1), t.number[following], 0xFFFFFFFF)
+                third = np.where((at + 2 < len(t.number)) & (t.index[following] > 1), t.number[following], _NONE)
                 shard = shard_of(t.count[at], t.before[at], t.before[at + 1], vocabulary)
-                held.append([t.number[at].astype(_U), t.number[at + 1].astype(_U), third.astype(_U), shard.astype(np.int32)])
+                held.append([t.number[at].astype(_U) << _U(32) | t.number[at + 1].astype(_U), third.astype(np.uint32), shard.astype(np.int32)])
                 size += len(at)
                 if size > FLUSH:
                     yield from flush()
@@ -309,7 +305,7 @@ def build_pairs(shard: int, blobs: list[tuple[int, bytes]], root: str, vocabular
     spot = np.minimum(np.searchsorted(key, pair), max(len(key) - 1, 0))
     real = key[spot] == pair if len(key) else np.zeros(len(pair), bool)
     spot, w, m = spot[real], w[real].astype(np.int64), m[real].astype(np.int64)
-    order = np.lexsort((w, spot))
+    order = np.argsort(spot.astype(_U) << _U(32) | w.astype(_U))
     spot, w, m = spot[order], w[order], m[order]
     new = np.ones(len(spot), bool)
     new[1:] = (spot[1:] != spot[:-1]) | (w[1:] != w[:-1])
@@ -357,11 +353,15 @@ class Trie:
             if s >= len(self.continued) or self.continued[s] < 0:
                 continue
             level = _open_pairs(f"{self.root}/pairs-{s}.bin")
-            row, known = level.contexts.successor(u[a:b])
-            has = a + np.flatnonzero(known)
+            # Pairs of one context stand together: the context is looked up once.
+            begins = np.concatenate([[a], a + 1 + np.flatnonzero(np.diff(u[a:b]))])
+            row, known = level.contexts.successor(u[begins])
+            many = np.diff(np.append(begins, b))[known]
+            has = a + np.flatnonzero(np.repeat(known, np.diff(np.append(begins, b))))
             row = row[known]
             lo, hi = level.pointers.access(row).astype(np.int64), level.pointers.access(row + 1).astype(np.int64)
-            base = np.where(lo > 0, level.successors.access(np.maximum(lo - 1, 0)), _U(0))
+            base = np.where(lo > 0, level.successors.access(np.maximum(lo - 1, 0)), _U(0)) if level.successors.n else np.zeros(len(lo), _U)
+            row, lo, hi, base = (np.repeat(x, many) for x in (row, lo, hi, base))
             at, found = level.successors.successor(base + v[has].astype(_U) + _U(1))
             found &= at < hi
             out["rest"][has] = _restore(level.rest[row])
@@ -382,8 +382,11 @@ class Trie:
         cuts = np.flatnonzero(np.diff(shard)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True) if len(at) else ():
             pointers, successors, d = _open_triples(f"{self.root}/triples-{int(shard[a])}.bin")
-            lo, hi = pointers.access(at[a:b]).astype(np.int64), pointers.access(at[a:b] + 1).astype(np.int64)
-            base = np.where(lo > 0, successors.access(np.maximum(lo - 1, 0)), _U(0)) if successors.n else np.zeros(b - a, _U)
+            begins = np.concatenate([[a], a + 1 + np.flatnonzero(np.diff(at[a:b]))])
+            many = np.diff(np.append(begins, b))
+            lo, hi = pointers.access(at[begins]).astype(np.int64), pointers.access(at[begins] + 1).astype(np.int64)
+            base = np.where(lo > 0, successors.access(np.maximum(lo - 1, 0)), _U(0)) if successors.n else np.zeros(len(lo), _U)
+            hi, base = np.repeat(hi, many), np.repeat(base, many)
             spot, found = successors.successor(base + place[a:b].astype(_U) + _U(1))
             found &= spot < hi
             here = np.flatnonzero(found)
@@ -526,7 +529,7 @@ def score_slice(words: Words, trie: Trie) -> dict[str, np.ndarray]:
     pair_of = np.full(len(doc), -1, np.int64)
     d2, rest, rest3 = np.zeros(len(doc)), np.ones(len(doc)), np.ones(len(doc))
     # Pairs whose second word is unknown still tell the weight of their context: it is asked with the context's own number.
-    u, v = t.number[at - 1], np.where(known[at], t.number[at], 0xFFFFFFFF)
+    u, v = t.number[at - 1], np.where(known[at], t.number[at], _NONE)
     key, spot, back = np.unique(u.astype(_U) << _U(32) | v.astype(_U), return_index=True, return_inverse=True)
     ku, kv = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
     first = at[spot]
@@ -574,7 +577,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for lo, hi, words in each_slice(batch.column(1), lower=True, size=1 << 23):
+            for lo, hi, words in each_slice(batch.column(1), lower=True):
                 found = score_slice(words, model)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, found.values())], ["doc_id", *found])
 
