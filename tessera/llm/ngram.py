@@ -541,11 +541,12 @@ def score_slice(words: Words, trie: Trie) -> dict[str, np.ndarray]:
     # The pair of the two words before, and the place of this word after the last of them.
     third = np.flatnonzero(t.index > 1)
     before, here = pair_of[third - 1], pair_of[third]
-    live = (before >= 0) & (found["at"][before] >= 0)
+    stored = lambda k: (k >= 0) & (found["at"][k] >= 0) if len(key) else np.zeros(len(k), bool)
+    live = stored(before)
     third, before, here = third[live], before[live], here[live]
     out = p2.copy()
     out[third] = rest3[third - 1] * p2[third]
-    ask = np.flatnonzero((here >= 0) & (found["at"][here] >= 0))
+    ask = np.flatnonzero(stored(here))
     if len(ask):
         joint, back3 = np.unique(before[ask].astype(_U) << _U(32) | here[ask].astype(_U), return_inverse=True)
         a, b = (joint >> _U(32)).astype(np.int64), (joint & _U(0xFFFFFFFF)).astype(np.int64)
