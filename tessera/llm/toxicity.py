@@ -30,7 +30,7 @@ from tessera.llm.store import arrow_map
 from tessera.llm.words import Words, each_slice, mix, powers
 from tessera.llm.words import _BASE, _INVERSE
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 12_000
 #: A feature's least documents and least log-likelihood ratio, and how many features are kept.
 LEAST_DOCS, LEAST_RATIO, MOST_FEATURES = 5, 20.0, 4096
 PREFIXES = (4, 5)
