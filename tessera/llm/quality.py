@@ -5,8 +5,8 @@ function, join or shuffle, so the plan is a scan and a projection.
 
 Defined cases: a null text has no words and fails the base rule; a ratio over no words or
 lines is null and its rule then passes (the base rule has already rejected the row);
-repeated rows are judged alike; other columns of the input are kept as they are, under
-names that the figures do not touch because the figures are one struct until the end.
+repeated rows are judged alike; other columns of the input are kept as they are, whatever their names:
+the figures are one struct, and :func:`keep_good` has the rest of a row in another meanwhile.
 """
 
 from __future__ import annotations
@@ -129,6 +129,8 @@ def compile_rules(rules: tuple[Rule, ...], x: Column) -> Column:
 
 def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", into: str = "quality_figures") -> DataFrame:
     """``docs`` with one more column: a struct of the figures, ``base_failed`` and ``kept``."""
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into} already; name another with into=")
     whole = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(whole, BLANKS), lambda w: w != "")
     counted = docs.withColumn(into, _let(words, lambda w: F.struct(*[c.alias(n) for n, c in figures(whole, w).items()])))
@@ -145,10 +147,18 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(docs).select("doc_id", *[x[n].alias(n) for n in names])
 
 
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows that the rules keep, unchanged."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    judged = with_quality(whole, rules)
+    # A plain filter would be pushed below the figures, and each of its references would compute them again;
+    # a generated column stays above them.
+    return judged.withColumn("kept", F.explode_outer(F.array(F.col("quality_figures")["kept"]))).filter("kept").select("row.*")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, unchanged."""
-    names = docs.columns
-    return with_quality(docs).filter(F.col("quality_figures")["kept"]).select(*names)
+    return keep_good(docs)
 
 
 _LISTED = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
