@@ -52,7 +52,7 @@ def temperature(tokens: dict, target_entropy: float = TARGET_ENTROPY, max_passes
         total = sum(raw.values())
         weights = {k: v / total for k, v in raw.items()}
         size = budget if budget is not None else max(live[k] / weights[k] for k in live)
-        return Mix(alpha, size, weights, {k: weights[k] * size / live[k] for k in live})
+        return Mix(alpha, size, weights, {k: round(weights[k] * size / live[k], 9) for k in live})  # one pass is exactly one
 
     def bisect(fails) -> float:
         """The least exponent in [0, 1] that does not fail, where large ones do not."""

@@ -2,7 +2,7 @@
 
 The default vocabulary drops white space and never joins across it, so a text's ids are
 its words' ids in order (tested against encoding whole texts).  Each Python worker keeps
-the ids of the words it has met; the memo is emptied when it passes ``MEMO_WORDS``.
+the ids of the words it has met; the memo is emptied before it passes ``MEMO_WORDS`` (only one slice with more words of its own can).
 """
 
 from __future__ import annotations
@@ -44,8 +44,6 @@ class WordEncoder:
         self.used = 0
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > MEMO_WORDS:
-            self.reset()
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded))
         total = int(size.sum())
@@ -64,15 +62,13 @@ class WordEncoder:
             spot = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
             new = self.keys[spot] != hashes if len(self.keys) else np.ones(len(hashes), bool)
             if new.any():
+                if len(self.keys) + int(new.sum()) > MEMO_WORDS:
+                    self.reset()
+                    new[:] = True
                 raw = words.data.tobytes()
                 spans = first[new]
                 texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[spans].tolist(), words.ends[spans].tolist(), strict=True)]
-                known = len(self.keys)
                 self._learn(hashes[new], texts)
-                if len(self.keys) < known + len(texts):  # the memo was emptied: this slice's other words go in again
-                    old = first[~new]
-                    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[old].tolist(), words.ends[old].tolist(), strict=True)]
-                    self._learn(hashes[~new], texts)
                 spot = np.searchsorted(self.keys, hashes)
             size, at = self.size[spot][back], self.at[spot][back]
         else:
