@@ -7,7 +7,8 @@ Vectors that share a filter are compared in double precision, in blocks, and a p
 at the least filter that both have.
 
 Height and number of filters follow from the number of vectors (:func:`cap_plan`), so that a filter
-holds some tens of unrelated vectors and a pair at the threshold shares ``MEAN_SHARED`` filters on average.
+holds some tens of unrelated vectors.  How often a pair at the threshold shares a filter of one such code is
+measured on random pairs, and as many independent codes are used as the target recall takes.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with nothing
 and are components of their own; vectors of different length do not link; equal vectors are
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -34,25 +35,28 @@ from tessera.llm.store import arrow_map, materialize
 THRESHOLD = 0.95
 PER_FILTER = 64
 MEAN_SHARED = 12.0
+TARGET_RECALL = 0.998
 MOST_WORDS = 128
 BLOCK = 512
 
 
 @dataclass(frozen=True)
 class CapPlan:
-    """``height`` in units of 1/sqrt(dimension); ``blocks`` code books of ``words`` words each."""
+    """``height`` in units of 1/sqrt(dimension); ``codes`` independent codes of ``blocks`` books of ``words`` words each."""
 
     height: float
     blocks: int
     words: int
+    codes: int = 1
 
 
 def _upper(t: float) -> float:
     return 0.5 * math.erfc(t / math.sqrt(2))
 
 
-def cap_plan(n: int, threshold: float = THRESHOLD, per_filter: int = PER_FILTER, shared: float = MEAN_SHARED) -> CapPlan:
-    """Caps for ``n`` vectors, from the normal approximation of a coordinate on the sphere."""
+@lru_cache(maxsize=64)
+def cap_plan(n: int, dim: int, threshold: float = THRESHOLD, per_filter: int = PER_FILTER, shared: float = MEAN_SHARED, target: float = TARGET_RECALL) -> CapPlan:
+    """Caps for ``n`` vectors, from the normal approximation of a coordinate on the sphere, and codes for the recall."""
     share = min(0.02, per_filter / max(n, 1))
     lo, hi = 0.0, 8.0
     for _ in range(60):
@@ -68,13 +72,24 @@ def cap_plan(n: int, threshold: float = THRESHOLD, per_filter: int = PER_FILTER,
     blocks = 2
     while filters ** (1 / blocks) > MOST_WORDS:
         blocks += 1
-    return CapPlan(t, blocks, max(2, math.ceil(filters ** (1 / blocks))))
-
-
-@lru_cache(maxsize=8)
-def code_books(dim: int, blocks: int, words: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    plan = CapPlan(t, blocks, max(2, math.ceil(filters ** (1 / blocks))))
+    if dim < 2:
+        return plan
+    # Random pairs exactly at the threshold: how many share a filter of one code?
+    draw = np.random.default_rng(dim)
+    one, side = draw.normal(size=(2, 1000, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    side -= (side * one).sum(axis=1, keepdims=True) * one
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    found = [set(zip(*map(np.ndarray.tolist, decode(x, plan)), strict=True)) for x in (one, threshold * one + rest * side)]
+    rate = len({row for row, _ in found[0] & found[1]}) / 1000
+    return replace(plan, codes=1 if rate >= target else math.ceil(math.log(1 - target) / math.log(1 - max(rate, 0.01))))
+
+
+@lru_cache(maxsize=64)
+def code_books(dim: int, blocks: int, words: int, code: int = 0) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """(rotation, code books): random unit words for each block of the rotated coordinates."""
-    draw = np.random.default_rng(dim * 1009 + blocks)
+    draw = np.random.default_rng([dim, blocks, code])
     rotation, _ = np.linalg.qr(draw.normal(size=(dim, dim)))
     books = []
     for part in np.array_split(np.arange(dim), min(blocks, dim)):
@@ -84,9 +99,15 @@ def code_books(dim: int, blocks: int, words: int) -> tuple[np.ndarray, tuple[np.
 
 
 def decode(unit: np.ndarray, plan: CapPlan) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter that each unit vector exceeds the height on, and of its best one."""
+    """(row, filter) of every filter that each unit vector exceeds the height on, and of each code's best one."""
+    found = [_decode_one(unit, plan, code) for code in range(plan.codes)]
+    pairs = np.unique(np.concatenate([np.stack([row, filter_ + code * plan.words**plan.blocks], axis=1) for code, (row, filter_) in enumerate(found)]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _decode_one(unit: np.ndarray, plan: CapPlan, code: int) -> tuple[np.ndarray, np.ndarray]:
     dim = unit.shape[1]
-    rotation, books = code_books(dim, plan.blocks, plan.words)
+    rotation, books = code_books(dim, plan.blocks, plan.words, code)
     turned = unit @ rotation
     edges = np.cumsum([0, *(b.shape[1] for b in books)])
     scores = [turned[:, a:b] @ book.T for a, b, book in zip(edges[:-1], edges[1:], books, strict=True)]
@@ -95,14 +116,13 @@ def decode(unit: np.ndarray, plan: CapPlan) -> tuple[np.ndarray, np.ndarray]:
     top = np.zeros(len(unit), np.int64)
     for s in scores:
         top = top * plan.words + s.argmax(axis=1)
-    row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
+    row, word_of, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
     for i, s in enumerate(scores):
         rest = sum(best[i + 1 :], np.zeros(len(unit)))
         sums = total[:, None] + s[row]
         k, word = np.nonzero(sums >= (need - rest)[row][:, None])
-        row, code, total = row[k], code[k] * plan.words + word, sums[k, word]
-    pairs = np.unique(np.stack([np.concatenate([row, np.arange(len(unit))]), np.concatenate([code, top])], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        row, word_of, total = row[k], word_of[k] * plan.words + word, sums[k, word]
+    return np.concatenate([row, np.arange(len(unit))]), np.concatenate([word_of, top])
 
 
 def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +130,7 @@ def _rows(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def filters_of(classes: DataFrame, plan: CapPlan) -> DataFrame:
+def filters_of(classes: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """(k1, n, embedding, caps): the filters of each distinct vector, in ascending order."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +143,7 @@ def filters_of(classes: DataFrame, plan: CapPlan) -> DataFrame:
                     vectors = flat[offsets[at][:, None] + np.arange(dim)[None, :]]
                     # Scaled first, so that neither tiny nor huge components lose their squares.
                     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-                    row, caps = decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), plan)
+                    row, caps = decode(vectors / np.linalg.norm(vectors, axis=1, keepdims=True), cap_plan(n, int(dim), threshold))
                     for i, part in zip(at, np.split(caps, np.searchsorted(row, np.arange(1, len(at)))), strict=True):
                         lists[i] = part
             ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
@@ -193,8 +213,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("k1", F.when(good, F.xxhash64("embedding"))).withColumn("k2", F.when(good, F.xxhash64(F.lit("second"), "embedding")))
     classes = rows.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"))
     classes = materialize(classes, "vector-classes")
-    plan = cap_plan(classes.count(), threshold)
-    filtered = materialize(filters_of(classes, plan), "vector-caps")
+    filtered = materialize(filters_of(classes, classes.count(), threshold), "vector-caps")
     links = materialize(verified_links(filtered, threshold), "vector-links")
     joined = components(links.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy(F.col("vertex").alias("k1")).agg(F.sum("links").alias("links"))
