@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessera.lang import tree as t
 from tessera.operators import nearest as vectors
 from tessera.session import Session
+from tessera.sources.sinks import tree_json
 from tessera.streaming import drain, event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,6 +308,17 @@ def pull_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(one("Region").alias("parents"), one("Nation").alias("children"), F.count(F.lit(1)).alias("pulled"))
 
 
+@_query("SELECT n_name AS name, 1 AS depth FROM nation WHERE n_regionkey = 3 UNION ALL SELECT 'region', 0")
+def pull_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "geo"; GRAVITY BY root IN "geo"; PUT {root: "r3", name: "region"} IN "geo"')
+    rows = tuple({"name": r["n_name"]} for r in spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_regionkey = 3").collect())
+    s.run(t.Put("geo", rows, ((),) * len(rows), True, t.LinkTo("geo", t.Leaf("name", "=", "region"), "in_region")))
+    roots = tree_json(s.run('FIND "geo" WHERE name = "region" | PULL').df)
+    flat = [(r["name"], 0) for r in roots] + [(c["name"], 1) for r in roots for c in r.get("children", [])]
+    return spark.createDataFrame(flat, "name string, depth int")
+
+
 @_query(f"""WITH RECURSIVE e AS (SELECT * FROM orders WHERE o_custkey = 7)
   SELECT (SELECT count(*) FROM customer WHERE c_custkey = 7) AS customers, count(*) AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM e""")
 def fetch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,6 +581,24 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+@_query("SELECT 'o_custkey >' AS pattern, 5 AS hits")
+def advise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    for key in range(5):
+        s.run('SCAN "orders" WHERE o_custkey > $k', {"k": key})
+    return spark.createDataFrame([(p, n) for _, p, n in s.advise()], "pattern string, hits int")
+
+
+@_query("SELECT count(*) AS n, CAST(count(*) FILTER (WHERE n_regionkey = 1) AS BIGINT) AS gone FROM nation")
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.append("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    s.run('SNAPSHOT CREATE before; DELETE "nation" WHERE n_regionkey = 1')
+    before = s.snapshot("before").scan("nation").df().agg(F.count(F.lit(1)).alias("n"))
+    after = s.scan("nation").df().agg(F.count(F.lit(1)).alias("m"))
+    return before.crossJoin(after).select("n", (F.col("n") - F.col("m")).alias("gone"))
+
+
 @_query("""SELECT * FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) f(field)
   JOIN LATERAL (SELECT CASE field WHEN 'o_orderkey' THEN count(DISTINCT o_orderkey) WHEN 'o_custkey' THEN count(DISTINCT o_custkey) WHEN 'o_orderstatus' THEN count(DISTINCT o_orderstatus)
   WHEN 'o_totalprice' THEN count(DISTINCT o_totalprice) WHEN 'o_orderdate' THEN count(DISTINCT o_orderdate) ELSE count(DISTINCT o_orderpriority) END AS n_distinct FROM orders) ON true""")

@@ -11,6 +11,7 @@ Every read is a lazy DataFrame.  Reads through the language that return records
 
 from __future__ import annotations
 
+import copy
 import time
 import uuid
 from collections import deque
@@ -823,7 +824,7 @@ class Session:
             return Result("info", info={"broken": broken})
         content = self.catalog.draft()
         if step.what == "snapshot":
-            content.setdefault("snapshots", {})[step.detail] = {"version": self.catalog.version, "datasets": content["datasets"], "views": content["views"]}
+            content.setdefault("snapshots", {})[step.detail] = copy.deepcopy({"version": self.catalog.version, "datasets": content["datasets"], "views": content["views"]})
             self.catalog.commit(content)
             return Result("ok", info=f"snapshot {step.detail} of version {self.catalog.version}")
         merged = 0
@@ -872,6 +873,31 @@ class Session:
         self.catalog.commit(content)
         return Result("ok", info=f"view {step.name}: {step.what}")
 
+    # --- generations ---
+
+    def snapshot(self, name: str) -> Session:
+        """A read-only session on the data as they were when the snapshot was made."""
+        found = self.catalog.content.get("snapshots", {}).get(name)
+        if found is None:
+            raise QueryError(f"snapshot {name} not found")
+        out = Session(self.spark, self.root, read_only=True, strict_types=self.strict, clock=self.clock)
+        out.catalog.content = {"datasets": found["datasets"], "views": found["views"]}
+        out.catalog.external = dict(self.catalog.external)
+        return out
+
+    def vacuum(self) -> int:
+        """Delete parts that neither the current catalog nor a snapshot names. Not to be run while others read older versions."""
+        self.catalog.refresh()
+        content = self.catalog.content
+        alive = set()
+        for version in (content, *content.get("snapshots", {}).values()):
+            for entry in (*version["datasets"].values(), *version["views"].values()):
+                alive |= {p["path"] for p in entry["parts"]}
+        gone = [p for kind in ("data", "views") for p in self.catalog.file.folders(f"{self.root}/{kind}") if p not in alive]
+        for path in gone:
+            self.catalog.file.remove(path)
+        return len(gone)
+
     # --- advice ---
 
     def _note(self, scan: t.Scan, seconds: float) -> None:

@@ -65,5 +65,13 @@ class VersionedFile:
         finally:
             stream.close()
 
+    def folders(self, root: str) -> list[str]:
+        """Folders two levels below ``root``: one per part of a dataset or view."""
+        fs, top = self._fs(), self._path(root)
+        if not fs.exists(top):
+            return []
+        below = [p.getPath().getName() for p in fs.listStatus(top)]
+        return [f"{root}/{name}/{part.getPath().getName()}" for name in below for part in fs.listStatus(self._path(f"{root}/{name}"))]
+
     def remove(self, path: str) -> None:
         self._fs().delete(self._path(path), True)

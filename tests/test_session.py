@@ -234,3 +234,22 @@ def test_language_and_fluent_form_agree(spark, sf):
     assert s.scan("o").df().count() == 1500  # the fluent form does not
     with pytest.raises(QueryError, match="registered"):
         s.run('PUT {a: 1} IN "o"')
+
+
+def test_snapshots_and_vacuum(s):
+    from tessera.sources.sinks import stream_json, tree_json
+
+    seed(s)
+    s.run('SNAPSHOT CREATE first; DELETE "c" WHERE rfc = "A"; PUT {id: 70, rfc: "Z"} IN "c"; COMPACT')
+    assert s.vacuum() > 0
+    assert rows(s.snapshot("first").run('SCAN "c"'), "id") == [(1,), (2,), (3,), (4,)]
+    assert rows(s.run('SCAN "c"'), "id") == [(3,), (4,), (70,)]
+    with pytest.raises(QueryError, match="read-only"):
+        s.snapshot("first").run('PURGE "c"')
+    with pytest.raises(QueryError, match="not found"):
+        s.snapshot("second")
+    assert len(list(stream_json(s.scan("c").df()))) == 3
+    s.run('LINK "c" WHERE id = 3 TO "c" WHERE id = 4 AS "of"; LINK "c" WHERE id = 4 TO "c" WHERE id = 3 AS "of"')
+    roots = tree_json(s.scan("c").df())
+    count = lambda r: 1 + sum(map(count, r.get("children", [])))
+    assert sum(map(count, roots)) == 3
