@@ -184,7 +184,7 @@ def verified_links(filtered: DataFrame, threshold: float, block: int = BLOCK) ->
     )
     shared = nodes.filter("m > 1").groupBy("dim", "m", "x1", "x2").agg(F.min("cap").alias("cap")).select("dim", "cap", "m")
     shared = materialize(shared, "cap-nodes")
-    dealt = block_pairs(below.join(shared, ["dim", "cap"]), F.col("m"), F.xxhash64(F.lit(3), "k1"), block)
+    dealt = block_pairs(below.join(shared, ["dim", "cap"]), F.ceil(F.col("m") / F.lit(float(block))), F.xxhash64(F.lit(3), "k1"))
     rows = dealt.join(filtered, "k1").select("dim", "cap", "lo", "hi", "side", "k1", "n", "embedding", "caps")
     keys = ["dim", "cap", "lo", "hi"]
 

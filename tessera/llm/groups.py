@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(members: DataFrame, size: Column, salt: Column, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, blocks: Column, salt: Column) -> DataFrame:
     """One row of ``members`` for each pair of blocks that its block meets.
 
-    A node of ``size`` rows is dealt to ceil(size / block) blocks by ``salt``; every two
-    rows of a node meet in exactly one (``lo``, ``hi``) pair of blocks, where ``side`` is a row's own block.
+    A node is dealt to ``blocks`` blocks by ``salt``; every two rows of a node meet in exactly one
+    (``lo``, ``hi``) pair of blocks, where ``side`` is a row's own block.
     A row is repeated once per block of its node, never once per other row.
     """
-    n = F.ceil(size / F.lit(float(block))).cast("int")
-    own = F.pmod(salt, n).cast("int")
-    dealt = members.withColumn("side", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
+    n = blocks.cast("int")
+    dealt = members.withColumn("side", F.pmod(salt, n).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.withColumn("lo", F.least("side", "_other")).withColumn("hi", F.greatest("side", "_other")).drop("_other")
 
 

@@ -37,7 +37,8 @@ THRESHOLD = 0.8
 TREES = 18
 LEVELS = 8
 TARGET_RECALL = 0.999
-BLOCK = 256
+#: A block of a node holds about so many vertices at most, and about so many characters.
+BLOCK, BLOCK_CHARS = 256, 4_000_000
 _SHINGLE_BASE = 0xA0761D6478BD642F | 1
 
 
@@ -80,20 +81,21 @@ def labels(values: np.ndarray, first: np.ndarray, trees: int = TREES, levels: in
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, labels) of every document; k1 and k2 are hashes of the text."""
+    """(doc_id, k1, k2, chars, labels) of every document; k1 and k2 are hashes of the text."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in each_slice(batch.column(3)):
+            for lo, hi, words in each_slice(batch.column(4)):
                 found = labels(*shingles(words))
                 offsets = np.arange(0, found.size + 1, found.shape[1]).astype(np.int32)
                 flat = pa.array(found.view(np.int64).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                    ["doc_id", "k1", "k2", "labels"],
+                    [*(batch.column(i).slice(lo, hi - lo) for i in range(4)), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                    ["doc_id", "k1", "k2", "chars", "labels"],
                 )
 
-    return arrow_map(_keyed(docs), sign, "doc_id long, k1 long, k2 long, labels array<long>")
+    keyed = _keyed(docs).select("doc_id", "k1", "k2", F.length("text").cast("long").alias("chars"), "text")
+    return arrow_map(keyed, sign, "doc_id long, k1 long, k2 long, chars long, labels array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -159,16 +161,17 @@ def verify_block(vertex: np.ndarray, weight: np.ndarray, side: np.ndarray, texts
 def verified_links(docs: DataFrame, classes: DataFrame, threshold: float, depth: int, block: int = BLOCK) -> DataFrame:
     """(vertex, root, links) by blocks: links to documents of other texts, and a vertex that this one is connected with."""
     shift = 8 * (LEVELS - depth)
-    below = classes.select(F.col("k1"), F.posexplode("labels").alias("tree", "label")).select(
-        "tree", F.shiftrightunsigned("label", shift).alias("prefix"), "k1"
+    below = classes.select("k1", "chars", F.posexplode("labels").alias("tree", "label")).select(
+        "tree", F.shiftrightunsigned("label", shift).alias("prefix"), "k1", "chars"
     )
     nodes = below.groupBy("tree", "prefix").agg(
-        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("k1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "k1")).alias("x2")
+        F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("k1")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "k1")).alias("x2"), F.sum("chars").alias("size")
     )
-    shared = nodes.filter("m > 1").groupBy("m", "x1", "x2").agg(F.min(F.struct("tree", "prefix")).alias("node"))
-    shared = materialize(shared.select("m", "node.tree", "node.prefix"), "trie-nodes")
-    members = below.join(shared, ["tree", "prefix"]).join(classes.select("k1", "rep", "n"), "k1")
-    dealt = materialize(block_pairs(members, F.col("m"), F.xxhash64(F.lit(3), "k1"), block), "trie-members")
+    shared = nodes.filter("m > 1").groupBy("m", "x1", "x2", "size").agg(F.min(F.struct("tree", "prefix")).alias("node"))
+    blocks = F.least(F.greatest(F.ceil(F.col("m") / F.lit(float(block))), F.ceil(F.col("size") / F.lit(float(BLOCK_CHARS)))), F.col("m"))
+    shared = materialize(shared.select(blocks.cast("int").alias("blocks"), "node.tree", "node.prefix"), "trie-nodes")
+    members = below.drop("chars").join(shared, ["tree", "prefix"]).join(classes.select("k1", "rep", "n"), "k1")
+    dealt = materialize(block_pairs(members, F.col("blocks"), F.xxhash64(F.lit(3), "k1")), "trie-members")
     texts = maybe_in(_keyed(docs).select(F.col("k1").alias("key"), "doc_id", "text"), dealt.select(F.col("k1").alias("key")), "key")
     rows = dealt.hint("merge").join(texts, dealt["rep"].eqNullSafe(texts["doc_id"]) & (dealt["k1"] == texts["key"])).select(
         "tree", "prefix", "lo", "hi", "side", "k1", "n", "text"
@@ -199,7 +202,7 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, trees_recall: flo
     """
     signed = materialize(signatures(docs), "signatures")
     classes = materialize(
-        signed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("labels").alias("labels")), "text-classes"
+        signed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.first("chars").alias("chars"), F.first("labels").alias("labels")), "text-classes"
     )
     links = materialize(verified_links(docs, classes, threshold, prefix_depth(threshold, target=trees_recall)), "links")
     joined = components(links.select(F.col("vertex").alias("a"), F.col("root").alias("b")))

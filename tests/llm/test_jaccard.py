@@ -63,7 +63,7 @@ def test_block_pairs_meet_once(spark):
     from tessera.llm.groups import block_pairs
 
     df = spark.range(40).withColumn("m", F.lit(40))
-    rows = block_pairs(df, F.col("m"), F.xxhash64("id"), 7).collect()
+    rows = block_pairs(df, F.ceil(F.col("m") / 7), F.xxhash64("id")).collect()
     pairs = Counter()
     by = defaultdict(list)
     for r in rows:
