@@ -18,4 +18,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_line_dedup": lines.ORACLE_SQL,
+    "op9_substring_dedup": substring.ORACLE_SQL,
 }

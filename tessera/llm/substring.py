@@ -186,3 +186,17 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents``: words removed, and the SHA-256 of what stays."""
     return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE_SQL = f"""
+WITH split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda w: w <> '') AS ws FROM documents),
+spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS p FROM split WHERE len(ws) >= {WINDOW}),
+wins AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + {WINDOW - 1}], ' ')) AS h FROM spots),
+least AS (SELECT h, min(doc_id) AS first FROM wins GROUP BY h),
+gone AS (SELECT DISTINCT w.doc_id, w.p + j AS q FROM wins w JOIN least USING (h), range({WINDOW}) r(j) WHERE w.doc_id > least.first),
+sets AS (SELECT doc_id, count(*) AS n, list(q) AS qs FROM gone GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN n IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256
+FROM split s LEFT JOIN sets USING (doc_id)
+"""
