@@ -34,9 +34,9 @@ from tessera.llm.words import Words, each_slice, mix, windows
 
 SHINGLE = 5
 THRESHOLD = 0.8
-TREES = 18
-LEVELS = 8
-TARGET_RECALL = 0.999
+TREES = 24
+LEVELS = 6
+TARGET_RECALL = 0.9999
 #: A block of a node holds about so many vertices at most, and about so many characters.
 BLOCK, BLOCK_CHARS = 256, 4_000_000
 _SHINGLE_BASE = 0xA0761D6478BD642F | 1

@@ -39,12 +39,12 @@ def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in run(df).collect()}
     assert {d: v[0] for d, v in got.items()} == {d: v[0] for d, v in want.items()}
     assert all(got[d][1] <= want[d][1] for d in want)
-    assert sum(v[1] for v in got.values()) >= 0.999 * sum(v[1] for v in want.values())
+    assert sum(v[1] for v in got.values()) >= 0.9995 * sum(v[1] for v in want.values())
 
 
 def test_recall_at_the_threshold():
     depth = jaccard.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
+    assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
 
 
 def test_one_of_each_group_stays(messy, empty):
