@@ -77,8 +77,9 @@ def nearest(df: DataFrame, step: t.Nearest, id_field: str) -> DataFrame:
     if not isinstance(query, (list, tuple)) or not query or not all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in query):
         raise QueryError("NEAREST: the query is a list of numbers")
     wanted = F.array(*[F.lit(float(x)) for x in query])
-    scored = df.withColumn(SCORE, score(vector, wanted, metric)).filter(F.col(SCORE).isNotNull())
-    return scored.orderBy(F.col(SCORE).desc(), F.col(f"`{id_field}`").asc()).limit(step.k)
+    scored = df.withColumn(SCORE, score(vector, wanted, metric))
+    # Unusable vectors sort last and go after the limit: a filter before it would compute every score twice.
+    return scored.orderBy(F.col(SCORE).desc_nulls_last(), F.col(f"`{id_field}`").asc()).limit(step.k).filter(F.col(SCORE).isNotNull())
 
 
 def nearest_per_key(df: DataFrame, key: str, field: str, query: list[float], k: int, id_field: str, metric: str = "cosine") -> DataFrame:
@@ -87,6 +88,6 @@ def nearest_per_key(df: DataFrame, key: str, field: str, query: list[float], k:
     Spark keeps the k best of each key in every task before it moves rows (window group limit).
     """
     wanted = F.array(*[F.lit(float(x)) for x in query])
-    scored = df.withColumn(SCORE, score(_vector(df, field), wanted, metric_name(metric))).filter(F.col(SCORE).isNotNull())
-    order = Window.partitionBy(f"`{key}`").orderBy(F.col(SCORE).desc(), F.col(f"`{id_field}`").asc())
-    return scored.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+    scored = df.withColumn(SCORE, score(_vector(df, field), wanted, metric_name(metric)))
+    order = Window.partitionBy(f"`{key}`").orderBy(F.col(SCORE).desc_nulls_last(), F.col(f"`{id_field}`").asc())
+    return scored.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).filter(F.col(SCORE).isNotNull())

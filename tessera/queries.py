@@ -6,6 +6,7 @@ Writes go to a store of their own in the shared folder.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -62,7 +63,21 @@ def entity(spark: SparkSession, sf_dir: str) -> Session:
 def store(spark: SparkSession) -> Session:
     """A session with an empty store in the shared folder; a temporary one where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    return Session(spark, f"{root.rstrip('/')}/tessera/store-{uuid.uuid4().hex[:12]}")
+    session = Session(spark, f"{root.rstrip('/')}/tessera/store-{uuid.uuid4().hex[:12]}")
+    _stores.append(session)
+    return session
+
+
+_stores: list[Session] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for session in _stores:
+        try:
+            session.catalog.file.remove(session.root)
+        except Exception:  # Spark may have stopped before
+            return
 
 
 _ENTITY = """(SELECT *, 'Customer' AS _type, c_custkey AS custkey, NULL AS o_orderkey, NULL AS o_custkey, NULL AS o_orderstatus, NULL AS o_totalprice,

@@ -76,6 +76,7 @@ class Session:
         self.bulk = False
         self.cached: dict[str, DataFrame] = {}
         self.patterns: dict[tuple, list[tuple[float, float]]] = {}
+        self.latest: dict[tuple, Any] = {}
         self.routed: deque[str] = deque(maxlen=100)
 
     # --- registered tables ---
@@ -905,6 +906,7 @@ class Session:
         if scan.where is not None and flat:
             pattern = " AND ".join(sorted(f"{c.path} {c.op}" for c in forms.conjuncts(scan.where)))
             self.patterns.setdefault((scan.dataset, pattern), []).append((self.clock(), seconds))
+            self.latest[scan.dataset, pattern] = scan.where
 
     def advise(self, min_hits: int = 5, window_seconds: float = 600) -> list[tuple[str, str, int]]:
         """Patterns scanned often enough to deserve a view: (dataset, pattern, hits within the window)."""
@@ -912,6 +914,37 @@ class Session:
         found = [(d, p, sum(1 for when, _ in v if now - when <= window_seconds)) for (d, p), v in sorted(self.patterns.items())]
         return [x for x in found if x[2] >= min_hits]
 
+    def adopt(self, min_hits: int = 5, window_seconds: float = 600, most: int = 20, keep_seconds: float = 86_400) -> list[str]:
+        """Create a view of counts and sums for each advised pattern of a managed dataset, as it was last asked.
+
+        Such views last ``keep_seconds``, at most ``most`` per dataset; those past their time are dropped first.
+        """
+        self.expire()
+        made = []
+        for dataset, pattern, _ in self.advise(min_hits, window_seconds):
+            if dataset not in self.catalog.content["datasets"]:
+                continue
+            where = self.latest[dataset, pattern]
+            name = f"auto-{dataset}-{forms.fingerprint(where)}"
+            own = [n for n, e in self.catalog.content["views"].items() if e.get("expires") and views.decode(e["definition"]).dataset == dataset]
+            if name in self.catalog.content["views"] or len(own) >= most:
+                continue
+            numbers = [f.name for f in self.dataset(dataset).schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in managed.SYSTEM]
+            metrics = (t.Metric("count"), *(t.Metric("sum", n) for n in numbers))
+            self._create_view(t.CreateView(name, dataset, where, (), metrics, "count", True))
+            content = self.catalog.draft()
+            content["views"][name]["expires"] = self.clock() + keep_seconds
+            self.catalog.commit(content)
+            made.append(name)
+        return made
+
+    def expire(self) -> list[str]:
+        """Drop adopted views that are past their time."""
+        gone = [n for n, e in self.catalog.content["views"].items() if e.get("expires") and e["expires"] < self.clock()]
+        for name in gone:
+            self._view_action(t.ViewAction("drop", name))
+        return gone
+
     # --- fluent form ---
 
     def scan(self, name: str) -> Query:

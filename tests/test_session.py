@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.lang import QueryError
+from tessera.lang import QueryError, forms
+from tessera.lang.parser import parse_where
 from tessera.session import Session
 from tessera.sources.files import CommitConflict
 
@@ -215,6 +216,10 @@ def test_introspection(s):
     for _ in range(5):
         s.run('SCAN "c" WHERE amount > 3')
     assert s.advise() == [("c", "amount >", 5)]
+    assert s.adopt() == [f"auto-c-{forms.fingerprint(parse_where('amount > 3'))}"] and s.adopt() == []
+    assert s.run('SCAN "c" WHERE amount > 3 | AGGREGATE count() AS n, sum(amount) AS t').rows() == [{"n": 3, "t": 24.0}] and len(s.routed) == 1
+    s.clock, now = (lambda: now() + 90_000), s.clock
+    assert len(s.expire()) == 1
     assert "  Gravity: rfc" in s.run('SHOW PROFILE "c"').info
     s.run('PIN st IN "c"; CREATE GHOST "p" FROM "c" WHERE amount > 3 | TAKE BY amount')
     assert "st" in s.run('SCAN GHOST "p"').df.columns
