@@ -223,7 +223,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
+    # Lengths times tasks is no bound to broadcast on: a merge join, whatever the size.
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "part")
     return arrow_map(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
