@@ -54,6 +54,12 @@ class Result:
         return [r.asDict(recursive=True) for r in self.df.collect()] if self.df is not None else []
 
 
+def _check_names(names: set[str]) -> None:
+    taken = {n for n in names if n in managed.SYSTEM and n != "_type"}
+    if taken:
+        raise QueryError(f"{sorted(taken)[0]} is a name of the engine's own")
+
+
 @dataclass
 class _Flow:
     """A pipeline under way."""
@@ -405,6 +411,9 @@ class Session:
             elif not entry["stale"]:
                 content["views"][view_name] = self._maintain(content, view_name, view, entry, came, left)
         self.catalog.commit(content)
+        if name in self.cached:  # what is cached follows the write
+            self.cached.pop(name).unpersist()
+            self.cached[name] = managed.read(self.spark, content["datasets"][name]).persist()
 
     def _new_part(self, df: DataFrame, name: str, gone: bool = False) -> dict:
         path = f"{self.root}/views/{name}/{uuid.uuid4().hex}"
@@ -457,6 +466,7 @@ class Session:
         content = self.catalog.draft(put.dataset)
         entry = self.catalog.ensure(content, put.dataset)
         records = [dict(r) for r in put.records]
+        _check_names({n for r in records for n in r})
         for marked in put.marked:
             self._mark(entry, marked)
         parent_key = None
@@ -622,6 +632,7 @@ class Session:
     def _change(self, name: str, where: Any, values: dict, lids: DataFrame | None) -> Result:
         content = self.catalog.draft()
         entry = self.catalog.entry(name, content)
+        _check_names(set(values))
         frozen = set(values) & set(entry["anchors"])
         if frozen:
             raise QueryError(f"anchor {sorted(frozen)[0]} cannot be changed by SET")

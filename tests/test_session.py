@@ -66,7 +66,7 @@ def test_unique_fields(s):
         ('LOBE "c"', "exists"), ('ANCHOR "id" UNIQUE IN "c"', "declared already"), ('ANCHOR "id" UNIQUE IN "none"', "not found"), ('GRAVITY BY id IN "c"', "another cluster key"),
         ('SATELLITE BY st IN "c"', "empty"), ('SCAN "c" LIMIT 20000', "at most"), ('SCAN "c" | AGGREGATE count() | SHAPE {a}', "TAKE"), ('SCAN "c" | SHAPE {a} | GROUP BY a | AGGREGATE count()', "GROUP BY"),
         ('SCAN "c" | GROUP BY rfc | AGGREGATE count() | TAKE 3 BY sum(x)', "no such metric"), ('SCAN "c" | NEAREST 2 BY st TO [1.0]', "not a vector"), ('SCAN GHOST "g"', "not found"),
-        ('PUT {*id: 5, *st: "q"} IN "fresh"', "several fields"),
+        ('PUT {*id: 5, *st: "q"} IN "fresh"', "several fields"), ('PUT {_key: "q"} IN "c"', "engine's own"), ('SET "c" _lid = "q"', "engine's own"),
     ],
 )
 def test_refusals(spark, tmp_path_factory, text, part):
@@ -224,6 +224,8 @@ def test_introspection(s):
     s.run('PIN st IN "c"; CREATE GHOST "p" FROM "c" WHERE amount > 3 | TAKE BY amount')
     assert "st" in s.run('SCAN GHOST "p"').df.columns
     assert s.run('INCACHE "c"').info == {"cached": 4} and s.run("SHOW CACHE").info == ["c"]
+    s.run('PUT {id: 90, rfc: "A"} IN "c"')
+    assert s.run('SCAN "c" | AGGREGATE count() AS n').rows() == [{"n": 5}]
     s.run('OUTCACHE "c"')
     assert s.run("SCRUB").info == {"broken": []}
     s.run("SNAPSHOT CREATE before")
