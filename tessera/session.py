@@ -553,17 +553,15 @@ class Session:
             path_entry = managed.write_part(self.spark, self.root, name, entry, fresh)
             content["datasets"][name] = path_entry
             came = self._last_part(path_entry)
-            count = came.count()
             self._commit(content, name, came, None)
-            lids = came.agg(F.min("_lid").alias("a"), F.max("_lid").alias("b")).first()
-            return Result("ok", info={"count": count, "first_lid": lids["a"], "last_lid": lids["b"]})
+            sums = came.agg(F.count(F.lit(1)).alias("n"), F.min("_lid").alias("a"), F.max("_lid").alias("b")).first()
+            return Result("ok", info={"count": sums["n"], "first_lid": sums["a"], "last_lid": sums["b"]})
         old, new = merged
         schema = managed.merge_schemas(new.schema, fresh.schema)
         both = managed.conform(new, schema).unionByName(managed.conform(fresh, schema))
-        count = both.count()
         changed = self._replace(content, name, entry, old, both)
         self._commit(content, name, changed, old)
-        return Result("ok", info={"count": count, "first_lid": None, "last_lid": None})
+        return Result("ok", info={"count": changed.count(), "first_lid": None, "last_lid": None})
 
     def _last_part(self, entry: dict) -> DataFrame:
         return managed.conform(managed.read_part(self.spark, entry["parts"][-1]), managed.schema_of(entry))
@@ -649,13 +647,12 @@ class Session:
         marks = F.array_union(F.array_except(have, F.array(*[F.lit(n) for n in values])), F.array(*[F.lit(n) for n in nulls]).cast("array<string>"))
         new = new.withColumns({n: F.col(f"`_r_{n}`") for n in values} | {"_updated_at": F.timestamp_micros(F.lit(self._now())), "_nulls": marks})
         new = managed.place(new.select(*schema.names), entry)
-        count = old.count()
-        if not count:
+        if not old.take(1):
             return Result("ok", info={"count": 0})
         entry["dim"] = managed.check_vectors(new, entry)
         written = self._replace(content, name, entry, old, new)
         self._commit(content, name, written, old)
-        return Result("ok", info={"count": count})
+        return Result("ok", info={"count": written.count()})
 
     def _remove(self, name: str, where: Any, lids: DataFrame | None) -> Result:
         content = self.catalog.draft()
