@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.keys import BUCKETS
 from tessera.lang.parser import QueryError
 from tessera.lang.tree import Gravity
 from tessera.sources.files import VersionedFile
@@ -30,6 +31,7 @@ class External:
 class Catalog:
     spark: SparkSession
     root: str | None
+    buckets: int = BUCKETS
     external: dict[str, External] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -70,4 +72,4 @@ class Catalog:
     def ensure(self, content: dict, name: str) -> dict:
         if name in self.external:
             raise QueryError(f"dataset {name} is a registered table and cannot be written")
-        return content["datasets"].setdefault(name, new_entry())
+        return content["datasets"].setdefault(name, new_entry(self.buckets))

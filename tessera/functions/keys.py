@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.lang.tree import Gravity
 
+#: Partitions of a dataset unless its session says otherwise; a write rewrites whole partitions.
 BUCKETS = 64
 
 
@@ -28,5 +29,6 @@ def cluster_key(spec: Gravity, of) -> Column:
     return fold(spec.kind, of(spec.fields[0]).cast("string"))
 
 
-def bucket_of(key: Column) -> Column:
-    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(BUCKETS)), F.lit(0)).cast("int")
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    """The partition of a key; records without a key share the first."""
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(0)).cast("int")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tessera import views
 from tessera.catalog import Catalog, External
-from tessera.functions.keys import bucket_of, cluster_key
+from tessera.functions.keys import BUCKETS, bucket_of, cluster_key
 from tessera.functions.values import literal
 from tessera.lang import forms, parse
 from tessera.lang import tree as t
@@ -75,9 +75,9 @@ class _Flow:
 
 
 class Session:
-    def __init__(self, spark: SparkSession, path: str | None = None, read_only: bool = False, strict_types: bool = False, clock: Callable[[], float] = time.time):
+    def __init__(self, spark: SparkSession, path: str | None = None, read_only: bool = False, strict_types: bool = False, clock: Callable[[], float] = time.time, buckets: int = BUCKETS):
         self.spark, self.root = spark, path.rstrip("/") if path else None
-        self.catalog = Catalog(spark, self.root)
+        self.catalog = Catalog(spark, self.root, buckets)
         self.read_only, self.strict, self.clock = read_only, strict_types, clock
         self.bulk = False
         self.cached: dict[str, DataFrame] = {}
@@ -150,7 +150,7 @@ class Session:
             found = resolve(df.schema, field)
             return literal(pinned[field], found[1]).cast(found[1]) if found else F.lit(None)
 
-        return F.col("_bucket") == bucket_of(cluster_key(spec, of))
+        return F.col("_bucket") == bucket_of(cluster_key(spec, of), entry["buckets"])
 
     # --- statements ---
 
@@ -599,7 +599,7 @@ class Session:
         schema = managed.merge_schemas(existing.schema, new.schema)
         new = managed.conform(new, schema).withColumn("_write", F.lit(mark))
         if entry["gravity"]:
-            # At most BUCKETS values; each names a directory.
+            # At most one value per bucket of the dataset; each names a directory.
             touched = sorted(r[0] for r in old.select("_bucket").distinct().collect())
             kept = existing.filter(F.col("_bucket").isin(touched)) if touched else existing.limit(0)
         else:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.keys import bucket_of, cluster_key
+from tessera.functions.keys import BUCKETS, bucket_of, cluster_key
 from tessera.functions.values import infer, plain, settle, unify
 from tessera.lang.parser import QueryError
 from tessera.lang.tree import Gravity
@@ -35,8 +35,8 @@ SYSTEM = {
 BATCH_MAX = 10_000
 
 
-def new_entry() -> dict:
-    return {"hint": None, "anchors": [], "gravity": None, "satellite": None, "vector": None, "dim": None, "pins": [], "parts": [], "schema": None, "rooted": False, "batches": []}
+def new_entry(buckets: int = BUCKETS) -> dict:
+    return {"buckets": buckets, "hint": None, "anchors": [], "gravity": None, "satellite": None, "vector": None, "dim": None, "pins": [], "parts": [], "schema": None, "rooted": False, "batches": []}
 
 
 def gravity_of(entry: dict) -> Gravity | None:
@@ -151,7 +151,7 @@ def place(df: DataFrame, entry: dict, key: Column | None = None) -> DataFrame:
         own = key
     elif "_key" in df.columns:
         own = F.when(F.col("_rooted"), F.col("_key")).otherwise(own)
-    return df.withColumn("_key", own).withColumn("_bucket", bucket_of(F.col("_key")))
+    return df.withColumn("_key", own).withColumn("_bucket", bucket_of(F.col("_key"), entry["buckets"]))
 
 
 def write_part(spark: SparkSession, root: str, name: str, entry: dict, df: DataFrame, drop: list[int] | None = None, replace: bool = False) -> dict:
@@ -161,8 +161,9 @@ def write_part(spark: SparkSession, root: str, name: str, entry: dict, df: DataF
     path = f"{root}/data/{name}/{uuid.uuid4().hex}"
     order = ["_bucket", "_key"] + ([entry["satellite"]] if entry["satellite"] in df.columns else [])
     if entry["gravity"]:
-        # One writer per bucket keeps files whole; inside they are sorted so that row groups can be skipped.
-        df = df.repartition("_bucket")
+        # Buckets together, so that files are whole, but a bucket that one key fills is split over several writers.
+        # Inside they are sorted so that row groups can be skipped.
+        df = df.hint("rebalance", F.col("_bucket"))
     df = df.sortWithinPartitions(*order)
     writer = df.write.partitionBy("_bucket") if entry["gravity"] else df.write
     writer.parquet(path)

@@ -260,3 +260,11 @@ def test_snapshots_and_vacuum(s):
     roots = tree_json(s.scan("c").df())
     count = lambda r: 1 + sum(map(count, r.get("children", [])))
     assert sum(map(count, roots)) == 3
+
+
+def test_number_of_buckets(spark, tmp_path):
+    s = seed(Session(spark, f"file://{tmp_path}/store", buckets=3))
+    assert {r[0] for r in s.dataset("c").select("_bucket").collect()} <= {0, 1, 2}
+    later = Session(spark, s.root)  # a dataset keeps the number it was made with
+    later.run('PUT {id: 80, rfc: "A"} IN "c"')
+    assert rows(later.run('SCAN "c" WHERE rfc = "A"'), "id") == [(1,), (2,), (80,)]
