@@ -34,6 +34,15 @@ def test_base_figures(documents, messy, spark):
             assert not (kept and got[-1])
 
 
+def test_base_figures_of_random_texts(spark):
+    import random
+
+    draw = random.Random(11)
+    texts = ["".join(draw.choice(["a", "b", "c", " ", " ", "\n", "\t", "#", "é"]) for _ in range(draw.randrange(160))) for _ in range(600)]
+    for doc_id, text, got, _ in figures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")):
+        assert got == base(text), (doc_id, text)
+
+
 def test_sql_says_the_same(spark, sf):
     got = quality.op2_quality_rules(spark, sf).toPandas().sort_values("doc_id").reset_index(drop=True)
     con = duckdb.connect()
