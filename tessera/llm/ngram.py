@@ -25,7 +25,6 @@ a null ``doc_id`` is hashed as an empty text; without training texts every proba
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass

@@ -1,7 +1,6 @@
 import random
 from collections import Counter, defaultdict
 
-import pytest
 
 from tessera.llm import jaccard
 from tests_llm_help import near_brute  # noqa: I001
