@@ -1,9 +1,8 @@
 """Trigram language model in Elias-Fano tries, trained and queried in the cluster.
 
 Words are identified by 64-bit hashes; a word's number is its rank among the sorted hashes.  All n-grams of the
-training texts are counted.  Two- and three-word n-grams that occur at least ``LEAST_COUNT`` times
-stay in the model, with absolute discounting; what is taken off goes to the shorter context, so that
-for every context the probabilities of all words and the unknown word sum to one:
+training texts are counted and all of them stay in the model, with absolute discounting; what is taken
+off goes to the shorter context, so that for every context the probabilities of all words and the unknown word sum to one:
 
     p(w | u v) = d(u v w) + b(u v) * (d(v w) + b(v) * p(w))
 
@@ -41,12 +40,15 @@ from tessera.llm.store import arrow_map, fetch, materialize, new_path, write_byt
 from tessera.llm.succinct import EliasFano, container, elias_fano, open_container
 from tessera.llm.words import Words, each_slice
 
-LEAST_COUNT = 2
+#: Every counted n-gram is stored, those that occur once too.
+LEAST_COUNT = 1
 DISCOUNT = 0.75
 SHARD_TOKENS = 1 << 21
 VOCABULARY_SHARD = 1 << 20
 #: Entries that a task holds before it adds them up and sends them on: its memory, whatever the input.
 FLUSH = 1_500_000
+#: Pairs that a task looks up at a time while it builds triples.
+LOOK_UP = 1 << 18
 #: Logarithms are kept in steps of 1/1024 of a decade, rounded down, so that sums stay below one.
 STEP = 1024.0
 #: Stands for the end of a text; no word hashes to it but by a chance of 2**-64.
@@ -225,7 +227,8 @@ def _expand(blob: bytes, many: int) -> list[np.ndarray]:
 
 
 def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(shard, order, blob): distinct n-grams and their counts, added up within a task before they are moved."""
+    """(shard, order, blob): distinct n-grams and their counts, added up within a task before they are moved.
+    Of pairs only those at the end of a text: the counts of all others are sums over their triples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -238,11 +241,12 @@ def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             begins = np.flatnonzero(new)
-            pair, place, n = key[begins], shard[order[begins]], np.diff(np.append(begins, len(key)))
-            yield from rows(place, 2, [pair >> _U(32), pair & _U(0xFFFFFFFF), n])
-            # Triples by number of their pair and third word, in one integer each.
+            pair, place = key[begins], shard[order[begins]]
             number = (np.cumsum(new) - 1).astype(_U)
             third = third[order]
+            last, n = np.unique(number[third == _NONE].astype(np.int64), return_counts=True)
+            yield from rows(place[last], 2, [pair[last] >> _U(32), pair[last] & _U(0xFFFFFFFF), n])
+            # Triples by number of their pair and third word, in one integer each.
             triple, n = np.unique((number << _U(32) | third.astype(_U))[third != _NONE], return_counts=True)
             number = (triple >> _U(32)).astype(np.int64)
             yield from rows(place[number], 3, [pair[number] >> _U(32), pair[number] & _U(0xFFFFFFFF), triple & _U(0xFFFFFFFF), n])
@@ -286,33 +290,27 @@ def _chained(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def build_pairs(shard: int, blobs: list[tuple[int, bytes]], root: str, vocabulary_counts) -> list[int]:
     """Write a shard's contexts and pairs, and its triples for the next step. Returns what the driver keeps of it:
     (shard, pairs, first context, pairs of it, its mass, last context, pairs of it, its mass)."""
+    empty = np.zeros(0, np.uint32)
     parts = [_expand(b, 3) for order, b in blobs if order == 2]
-    u, v, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key, n = _merge([(u.astype(_U) << _U(32) | v.astype(_U), n.astype(np.int64))])
-    stay = n >= LEAST_COUNT
-    key, n = key[stay], n[stay]
+    u, v, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty,) * 3
+    ends, end_counts = _merge([(u.astype(_U) << _U(32) | v.astype(_U), n.astype(np.int64))])
+    parts = [_expand(b, 4) for order, b in blobs if order == 3]
+    a, b, w, m = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty,) * 4
+    del parts
+    pair = a.astype(_U) << _U(32) | b.astype(_U)
+    key = np.unique(np.concatenate([pair, ends]))
+    joint = np.searchsorted(key, pair).astype(_U) << _U(32) | w.astype(_U)
+    del a, b, w, pair
+    joint, m = _merge([(joint, m.astype(np.int64))])
+    spot, w = (joint >> _U(32)).astype(np.int64), (joint & _U(0xFFFFFFFF)).astype(np.int64)
+    n = np.bincount(spot, weights=m, minlength=len(key)).astype(np.int64)
+    n[np.searchsorted(key, ends)] += end_counts
     u, v = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
     begins = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1]) if len(u) else np.zeros(0, np.int64)
     contexts = u[begins]
     total = vocabulary_counts(contexts)
     d = (n - DISCOUNT) / np.repeat(total, np.diff(np.append(begins, len(u))))
     mass = np.add.reduceat(d, begins) if len(u) else np.zeros(0)
-    parts = [_expand(b, 4) for order, b in blobs if order == 3]
-    empty = np.zeros(0, np.uint32)
-    a, b, w, m = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty,) * 4
-    pair = a.astype(_U) << _U(32) | b.astype(_U)
-    spot = np.minimum(np.searchsorted(key, pair), max(len(key) - 1, 0))
-    real = key[spot] == pair if len(key) else np.zeros(len(pair), bool)
-    spot, w, m = spot[real], w[real].astype(np.int64), m[real].astype(np.int64)
-    order = np.argsort(spot.astype(_U) << _U(32) | w.astype(_U))
-    spot, w, m = spot[order], w[order], m[order]
-    new = np.ones(len(spot), bool)
-    new[1:] = (spot[1:] != spot[:-1]) | (w[1:] != w[:-1])
-    first = np.flatnonzero(new)
-    m = np.add.reduceat(m, first) if len(first) else m
-    spot, w = spot[first], w[first]
-    stay = m >= LEAST_COUNT
-    spot, w, m = spot[stay], w[stay], m[stay]
     d3 = (m - DISCOUNT) / n[spot] if len(spot) else np.zeros(0)
     mass3 = np.bincount(spot, weights=d3, minlength=len(key)) if len(spot) else np.zeros(len(key))
     write_bytes(
@@ -324,7 +322,7 @@ def build_pairs(shard: int, blobs: list[tuple[int, bytes]], root: str, vocabular
             | {"d": _quantise(d), "rest": _quantise(np.maximum(1 - mass, 1e-12)), "rest3": _quantise(np.maximum(1 - mass3, 1e-12))}
         ),
     )
-    write_bytes(f"{root}/raw-{shard}.bin", container({"pair": spot.astype(np.int64), "w": w, "d": _quantise(d3), "v": v[spot] if len(spot) else w}))
+    write_bytes(f"{root}/raw-{shard}.bin", [_squeeze([np.diff(spot, prepend=0), w, _quantise(d3)])])
     if not len(contexts):
         return [shard, 0, -1, 0, 0.0, -1, 0, 0.0]
     many = np.diff(np.append(begins, len(u)))
@@ -402,6 +400,13 @@ class _Pairs:
     rest: np.ndarray
     rest3: np.ndarray
 
+    def second_words(self) -> np.ndarray:
+        """The number of the second word of every pair."""
+        begins = self.pointers.access(np.arange(self.contexts.n)).astype(np.int64)
+        flat = self.successors.access(np.arange(self.successors.n)).astype(np.int64)
+        base = np.where(begins > 0, flat[np.maximum(begins - 1, 0)], 0)
+        return flat - np.repeat(base, np.diff(np.append(begins, len(flat)))) - 1
+
 
 @lru_cache(maxsize=4096)
 def _open_pairs(uri: str) -> _Pairs:
@@ -489,23 +494,27 @@ _ROW_ARROW = pa.schema([(n, pa.float64() if n.endswith("mass") else pa.int64())
 
 
 def _build_triples(shard: int, trie: Trie, look) -> None:
-    raw = open_container(fetch(f"{trie.root}/raw-{shard}.bin"))
+    with open(fetch(f"{trie.root}/raw-{shard}.bin"), "rb") as raw:
+        pair, w, d = _expand(raw.read(), 3)
     pairs = _open_pairs(f"{trie.root}/pairs-{shard}.bin")
-    pair, w, v = (np.asarray(raw[k]) for k in ("pair", "w", "v"))
+    pair = np.cumsum(pair, dtype=np.int64)
     place = np.zeros(0, np.int64)
     if len(pair):
-        key, back = np.unique(v.astype(_U) << _U(32) | w.astype(_U), return_inverse=True)
-        a, b = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-        words, back_a = np.unique(a, return_inverse=True)
-        count, before = (x[back_a] for x in look(words))
-        words, back_b = np.unique(b, return_inverse=True)
-        found = trie.find_pairs(a, b, shard_of(count, before, look(words)[1][back_b], trie.vocabulary))
-        place = found["place"][back]
+        key, back = np.unique(pairs.second_words()[pair].astype(_U) << _U(32) | w.astype(_U), return_inverse=True)
+        parts = []
+        for lo in range(0, len(key), LOOK_UP):
+            some = key[lo : lo + LOOK_UP]
+            a, b = (some >> _U(32)).astype(np.int64), (some & _U(0xFFFFFFFF)).astype(np.int64)
+            words, back_a = np.unique(a, return_inverse=True)
+            count, before = (x[back_a] for x in look(words))
+            words, back_b = np.unique(b, return_inverse=True)
+            parts.append(trie.find_pairs(a, b, shard_of(count, before, look(words)[1][back_b], trie.vocabulary))["place"])
+        place = np.concatenate(parts)[back]
     begins = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1]) if len(pair) else np.zeros(0, np.int64)
     pointers = np.searchsorted(pair, np.arange(len(pairs.d) + 1))
     write_bytes(
         f"{trie.root}/triples-{shard}.bin",
-        container(elias_fano(pointers, "pointers") | elias_fano(_chained(place, begins) if len(pair) else place, "successors") | {"d": np.asarray(raw["d"])}),
+        container(elias_fano(pointers, "pointers") | elias_fano(_chained(place, begins) if len(pair) else place, "successors") | {"d": d.astype(np.uint16)}),
     )
 
 
