@@ -1,10 +1,11 @@
-"""Similarity join of documents on word shingles: MinHash LSH forest, then exact Jaccard.
+"""Similarity join of documents on word shingles: MinHash LSH in bands, then exact Jaccard.
 
 Documents with the same text are one vertex.  A vertex has, in each of ``TREES`` prefix tries, a
-label of ``LEVELS`` bytes, one from each of as many minima of its shingles' hashes.  Sorted by label,
-the vertices below a trie node are a run with a common prefix.  Matched prefixes are
-shortened from the full label until a pair at the threshold shares a node with at least the target
-probability (:func:`prefix_depth`).  Nodes that hold the same vertices in several tries
+label of ``LEVELS`` bytes, one from each of as many minima of its shingles' hashes.  The prefixes
+matched have one fixed length, the longest at which the formula gives a pair at the threshold a shared
+node with at least the target probability (:func:`prefix_depth`): with the constants below, 24 bands of 5
+minima.  They are grouped by a hash aggregation, no prefix is shortened by what is found, and the
+sixth byte of a label is not matched.  Nodes that hold the same vertices in several tries
 are kept once, at the first trie.
 
 A pair belongs to the first trie in which it shares a node, so it is verified and counted
