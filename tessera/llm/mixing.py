@@ -7,7 +7,9 @@ least at which the largest source is read once whole, so that no document is los
 
 A source is then read in whole passes and one partial pass.  Each pass orders its documents by a hash
 of document and pass: first by block, then inside the block.  The partial pass takes whole blocks
-while the budget lasts, and of the block where it ends the documents that still fit.  A source of
+while the budget lasts, and of the block where it ends the documents before the first one that does not
+fit, so the pass is a prefix of its order; shorter documents behind that one are not taken, and a source
+may be read short of its target by less than that document's length.  A source of
 n documents has about sqrt(n) blocks of sqrt(n) documents, so neither the table of blocks nor
 a block is large, and no source is sorted in one task.
 
