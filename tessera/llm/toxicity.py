@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Fitting uses a bounded sample of labelled documents (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows of at most
-``SAMPLE_CHARS`` characters, chosen by a hash of the id).  Features of a token are its word and its first four
+``SAMPLE_CHARS`` characters, chosen by a hash of the id among those that have a text of that size).  The field is
+fitted to at most ``STRETCHES`` of their stretches with a toxic token and as many of any kind, drawn at random.  Features of a token are its word and its first four
 and five bytes.  Those whose document counts differ significantly between the classes are the model's vocabulary;
 a token of a toxic document is labelled toxic if one of its features speaks for that class.  The field's
 weights maximise the regularised likelihood of these labelled tokens by forward-backward gradients.
@@ -30,10 +31,14 @@ from tessera.llm.store import arrow_map
 from tessera.llm.words import Words, each_slice, mix, powers
 from tessera.llm.words import _BASE, _INVERSE
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 12_000
+#: Stretches of tokens that the field is fitted to: so many with a toxic token and so many of any kind, at most.
+STRETCHES = 6000
 #: A feature's least documents and least log-likelihood ratio, and how many features are kept.
 LEAST_DOCS, LEAST_RATIO, MOST_FEATURES = 5, 20.0, 4096
 PREFIXES = (4, 5)
+#: Tokens whose features are counted at a time, rounded up to whole documents.
+COUNTED = 1 << 17
 DECISION = 0.3
 
 
@@ -126,19 +131,23 @@ def _evidence(best: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 def significant_features(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, speaks for toxic) of the features whose document counts differ most between the classes."""
-    keys, docs = [], []
-    for k in range(features.shape[1]):
-        keys.append(features[:, k])
-        docs.append(doc)
-    key, owner = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    key, owner = key[new], owner[new]
-    names, back, total = np.unique(key, return_inverse=True, return_counts=True)
-    hits = np.bincount(back, weights=toxic[owner], minlength=len(names))
+    """(keys, speaks for toxic) of the features whose document counts differ most between the classes; ``doc`` ascends."""
+    found, a = [], 0
+    ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc))
+    while a < len(doc):
+        b = int(ends[min(np.searchsorted(ends, a + COUNTED), len(ends) - 1)])
+        key, owner = features[a:b].T.ravel(), np.tile(doc[a:b], features.shape[1])
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+        key, owner = key[new], owner[new]
+        names, back, total = np.unique(key, return_inverse=True, return_counts=True)
+        found.append((names, total, np.bincount(back, weights=toxic[owner], minlength=len(names))))
+        a = b
+    names, total, hits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
+    names, back = np.unique(names, return_inverse=True)
+    total, hits = (np.bincount(back, weights=x, minlength=len(names)) for x in (total, hits))
     n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
     share = n1 / (n1 + n0)
     miss = total - hits
@@ -150,13 +159,18 @@ def significant_features(features: np.ndarray, doc: np.ndarray, toxic: np.ndarra
     return names[chosen], (hits[chosen] + 0.5) / (n1 + 1) > 10 * (miss[chosen] + 0.5) / (n0 + 1)
 
 
+def draw_stretches(hot: np.ndarray) -> np.ndarray:
+    """At most ``STRETCHES`` of the stretches with a toxic token, and as many of any kind, at random."""
+    draw = np.random.default_rng(3)
+    pick = draw.permutation(len(hot))[:STRETCHES]
+    return np.unique(np.concatenate([draw.permutation(np.flatnonzero(hot))[:STRETCHES], pick]))
+
+
 def fit_chain(known: np.ndarray, label: np.ndarray, keys: np.ndarray, span: int = 96, rounds: int = 80, ridge: float = 1e-3) -> Field:
     """Weights by gradient ascent (Adam) over stretches of ``span`` tokens; ``known`` has each token's feature
     numbers, -1 for none."""
     n = len(label) // span * span
-    pick = np.random.default_rng(3).permutation(n // span)[:6000]  # stretches with a toxic token, and as many others
-    hot = label[:n].reshape(-1, span).any(axis=1)
-    pick = np.unique(np.concatenate([np.flatnonzero(hot)[:6000], pick]))
+    pick = draw_stretches(label[:n].reshape(-1, span).any(axis=1))
     known, label = known[:n].reshape(-1, span, known.shape[1])[pick], label[:n].reshape(-1, span)[pick]
     known, label = known.transpose(1, 0, 2), label.T.astype(np.int64)
     size = len(keys)
@@ -238,9 +252,13 @@ def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> Field:
     keys, speaks = significant_features(features, doc, toxic.astype(float))
     if not len(keys):
         return base
-    spot = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
-    known = np.where(keys[spot] == features, spot, -1)
-    label = ((known >= 0) & speaks[spot]).any(axis=1) & toxic[doc]
+    known, label = np.full(features.shape, -1, np.int32), np.zeros(len(doc), bool)
+    for lo in range(0, len(doc), COUNTED):
+        some = features[lo : lo + COUNTED]
+        spot = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+        known[lo : lo + COUNTED] = np.where(keys[spot] == some, spot, -1)
+        label[lo : lo + COUNTED] = ((keys[spot] == some) & speaks[spot]).any(axis=1) & toxic[doc[lo : lo + COUNTED]]
+    del features, doc
     model = fit_chain(known, label, keys)
     best, total = [], []
     for _, _, words in each_slice(texts, lower=True):
@@ -261,9 +279,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
     known = labels.filter(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
     draw = F.xxhash64(F.lit(11), "doc_id")
+    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
     parts = [known.filter(F.col("toxic") == y).orderBy(draw, "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids: a proven bound for the broadcast and for what is gathered.
-    sample = docs.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    sample = short.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
     rows = sample.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
     texts = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
     return fit(texts, rows["toxic"].to_numpy(), float(share))
