@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
+import numpy as np
 
 from tessera.llm import jaccard
 from tests_llm_help import near_brute  # noqa: I001
@@ -41,9 +43,55 @@ def test_a_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert sum(v[1] for v in got.values()) >= 0.9995 * sum(v[1] for v in want.values())
 
 
-def test_recall_at_the_threshold():
-    depth = jaccard.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.TARGET_RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard.TREES
+def test_the_floor_is_the_longest_prefix_that_meets_the_target():
+    rate = lambda d: 1 - (1 - 0.8**d) ** jaccard.TREES
+    assert jaccard.floor_depth() == 5 and rate(5) >= jaccard.TARGET_RECALL > rate(6)
+    assert jaccard.floor_depth(target=0.95) > jaccard.floor_depth(target=0.9999) > jaccard.floor_depth(0.5, 0.9999)
+
+
+def planted(n, common, own):
+    """Pairs of texts that share ``common`` shingles, each with ``own`` of its own."""
+    out = []
+    for i in range(n):
+        shared = [f"c{i}x{j}" for j in range(common + 4)]
+        out += [" ".join([*shared, *(f"{side}{i}x{j}" for j in range(own))]) for side in "ab"]
+    return out
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    df = spark.createDataFrame(list(enumerate(planted(1500, 80, 10))), "doc_id long, text string")
+    rows = run(df).collect()
+    assert all(r["n_links"] <= 1 for r in rows)
+    assert sum(r["n_links"] for r in rows) >= 0.999 * 3000
+    below = spark.createDataFrame(list(enumerate(planted(200, 79, 10))), "doc_id long, text string")
+    assert not any(r["n_links"] for r in run(below).collect())
+
+
+def test_dense_nodes_stop_deep_and_sparse_ones_at_the_floor(spark):
+    draw = random.Random(6)
+    base = [f"t{i}" for i in range(400)]
+    dense = [" ".join([*base, f"own{i}"]) for i in range(300)]
+    sparse = planted(40, 80, 10) + [" ".join(f"r{draw.randrange(10**9)}" for _ in range(60)) for _ in range(100)]
+    rows = list(enumerate(dense + sparse))
+    got = {r["doc_id"]: r for r in jaccard.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[i]["depth"] for i in range(300)} == {jaccard.LEVELS}
+    assert {got[i]["depth"] for i in range(300, len(rows))} == {jaccard.floor_depth()}
+    assert [(i, got[i]["class_id"], got[i]["n_links"]) for i, _ in rows] == near_brute(rows)
+
+
+def test_every_pair_is_new_in_one_trie_at_one_depth():
+    found = random.Random(1)
+    labels = np.array([[found.choice([0, 0, 0x0100, 0x010000, 0x01 << 40, 0x01 << 63]) for _ in range(jaccard.TREES)] for _ in range(30)], np.uint64)
+    total = sum(jaccard.new_pairs(labels, t, d).astype(int) for t in range(jaccard.TREES) for d in range(1, jaccard.LEVELS + 1))
+    gap = labels[:, None] ^ labels[None]
+    assert (total == (gap < np.uint64(1 << 56)).any(axis=2)).all()
+
+
+def test_sql_says_the_same(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = {tuple(r) for r in jaccard.op4_jaccard_join(spark, sf).collect()}
+    assert got == set(con.execute(jaccard.ORACLE_SQL).fetchall())
 
 
 def test_one_of_each_group_stays(messy, empty):
