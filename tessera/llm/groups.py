@@ -55,3 +55,28 @@ def local_roots(linked: np.ndarray) -> np.ndarray:
         if (new == root).all():
             return root
         root = new
+
+
+def rank_among(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the pairs (first, second), which ascend, are not greater than each (a, b)."""
+    lo, hi = np.searchsorted(first, a), np.searchsorted(first, a, "right")
+    out, cut = lo.copy(), np.flatnonzero(hi > lo)
+    for k in np.unique(lo[cut]):
+        here = cut[lo[cut] == k]
+        out[here] = k + np.searchsorted(second[k : hi[here[0]]], b[here], "right")
+    return out
+
+
+def every(df: DataFrame, order: list[str], step: int) -> DataFrame:
+    """About every ``step``-th row of ``df`` in order, from the middle of each such run of rows in a partition."""
+    from tessera.llm.store import arrow_map
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = 0
+        for batch in batches:
+            at = np.arange(passed, passed + batch.num_rows)
+            passed += batch.num_rows
+            yield batch.filter(pa.array(at % step == step // 2))
+
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return arrow_map(ordered, pick, ordered.schema)

@@ -6,12 +6,16 @@ off goes to the shorter context, so that for every context the probabilities of
 
     p(w | u v) = d(u v w) + b(u v) * (d(v w) + b(v) * p(w))
 
-The trie is cut into shards of about ``SHARD_TOKENS`` training tokens, by ranges of (u, v) in order; where a
-range ends inside a frequent context it is cut by the next word.  A shard's file has
+The trie is cut into shards of about ``SHARD_TOKENS`` training tokens, by ranges of (u, v, w) in order.  The ranges' bounds
+are quantiles of a random sample of the training trigrams (:func:`shard_bounds`), so a frequent context is cut by the next word
+and a frequent pair by the third: whatever repeats, a shard gets its share of the tokens and the sampling error
+(``PER_SHARD`` sampled trigrams a shard, a standard error of about a fourteenth).  The sample decides where shards end and nothing else.
+A shard's files have
 
 * contexts u, and monotone pointers to their successors v,
 * for each (u, v) monotone pointers to its successors w, written as their places among the successors of v,
-  which are smaller numbers than the words themselves (context-relative),
+  which are smaller numbers than the words themselves (context-relative); the first list belongs to the pair that the
+  shard begins inside of, if it does, and every other list to a pair of its own,
 * discounted probabilities and weights of shorter contexts as 16-bit logarithms.
 
 Successor lists are made monotone by adding the last value of the list before, stored as Elias-Fano
@@ -19,14 +23,16 @@ sequences (:mod:`tessera.llm.succinct`) and searched by value.  Files stand in t
 are memory-mapped by the workers; only one row per shard is kept on the driver.
 
 Defined cases: a null or empty text has the end token alone; rows with the same ``doc_id`` are all read and scored;
-a null ``doc_id`` is hashed as an empty text; without training texts every probability is one; other columns are not read.
+a null ``doc_id`` is hashed as an empty text; a very long text is a slice of its own and is read and scored whole; texts with equal
+scores keep them; without training texts every probability is one, and an empty table has no scores; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -35,15 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.groups import runs
+from tessera.llm.groups import every, rank_among, runs
 from tessera.llm.store import arrow_map, fetch, materialize, new_path, write_bytes
 from tessera.llm.succinct import EliasFano, container, elias_fano, open_container
 from tessera.llm.words import Words, each_slice
 
-#: Every counted n-gram is stored, those that occur once too.
-LEAST_COUNT = 1
 DISCOUNT = 0.75
 SHARD_TOKENS = 1 << 21
+#: Sampled trigrams a shard, and the documents they are taken from: this share of all, or so many if that is more.
+PER_SHARD, SAMPLE_SHARE, SAMPLE_DOCS = 200, 0.02, 20_000
 VOCABULARY_SHARD = 1 << 20
 #: Entries that a task holds before it adds them up and sends them on: its memory, whatever the input.
 FLUSH = 1_500_000
@@ -119,20 +125,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Files of word hashes in order, and for each file its first number and the tokens before it."""
+    """Files of word hashes in order, and for each file its first number."""
 
     root: str
     bits: int
     base: np.ndarray
-    before: np.ndarray
     tokens: int
     size: int
     discount: float
     shard_tokens: int = SHARD_TOKENS
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number or -1, count, tokens of all words before it) of sorted distinct hashes."""
-        number, count, before = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number or -1, count) of sorted distinct hashes."""
+        number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
         shard = (hashes >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
         cuts = np.searchsorted(shard, np.arange(len(self.base) + 1))
         for s in np.flatnonzero(cuts[1:] > cuts[:-1]):
@@ -142,12 +147,22 @@ class Vocabulary:
             keys, upto = _open_vocabulary(f"{self.root}/words-{s}.bin")
             at, known = keys.successor(hashes[a:b])
             at = at[known]
-            start, end = upto.access(at), upto.access(at + 1)
             spot = a + np.flatnonzero(known)
             number[spot] = self.base[s] + at
-            count[spot] = (end - start).astype(np.int64)
-            before[spot] = self.before[s] + start.astype(np.int64)
-        return number, count, before
+            count[spot] = (upto.access(at + 1) - upto.access(at)).astype(np.int64)
+        return number, count
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts of words by their numbers, which ascend."""
+        live = np.flatnonzero(self.base >= 0)
+        part = np.searchsorted(self.base[live], numbers, "right") - 1
+        out = np.zeros(len(numbers), np.int64)
+        for k in np.unique(part):
+            here = np.flatnonzero(part == k)
+            _, upto = _open_vocabulary(f"{self.root}/words-{live[k]}.bin")
+            at = numbers[here] - self.base[live[k]]
+            out[here] = (upto.access(at + 1) - upto.access(at)).astype(np.int64)
+        return out
 
 
 @lru_cache(maxsize=4096)
@@ -175,15 +190,15 @@ def build_vocabulary(texts: DataFrame, root: str, shard_tokens: int = SHARD_TOKE
     shard = F.shiftrightunsigned("word", 64 - bits) if bits else F.lit(0).cast("long")
     placed = counts.select(shard.alias("shard"), "word", "count").repartition("shard").sortWithinPartitions("shard")
     rows = arrow_map(placed, write, "shard long, size long, tokens long, once long, twice long").collect()  # one per file
-    base, before = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+    base = np.full(1 << bits, -1, np.int64)
     size = tokens = 0
     for row in sorted(rows, key=lambda r: r["shard"]):
-        base[row["shard"]], before[row["shard"]] = size, tokens
+        base[row["shard"]] = size
         size, tokens = size + row["size"], tokens + row["tokens"]
     if size >= 1 << 32:
         raise ValueError("more than 2**32 different words; n-gram keys have 32 bits a word")
     once, twice = sum(r["once"] for r in rows), sum(r["twice"] for r in rows)
-    return Vocabulary(root, bits, base, before, tokens, size, min(0.9, max(0.1, once / max(1, once + 2 * twice))), shard_tokens)
+    return Vocabulary(root, bits, base, tokens, size, min(0.9, max(0.1, once / max(1, once + 2 * twice))), shard_tokens)
 
 
 @dataclass
@@ -193,23 +208,72 @@ class Tokens:
     first: np.ndarray
     number: np.ndarray
     count: np.ndarray
-    before: np.ndarray
     index: np.ndarray  # place in the document
 
 
 def look_up(words: Words, vocabulary: Vocabulary) -> Tokens:
     hashes, first = sequence(words)
     keys, back = np.unique(hashes, return_inverse=True)
-    number, count, before = vocabulary.find(keys)
+    number, count = vocabulary.find(keys)
     index = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
-    return Tokens(first, number[back], count[back], before[back], index)
+    return Tokens(first, number[back], count[back], index)
+
+
+def trigrams(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, third): every pair of neighbours as one integer, and the word after it or ``_NONE`` at the end of a text."""
+    at = np.flatnonzero(t.index > 0) - 1  # first word of each pair
+    following = np.minimum(at + 2, len(t.number) - 1)
+    third = np.where((at + 2 < len(t.number)) & (t.index[following] > 1), t.number[following], _NONE)
+    return _joint(t.number[at], t.number[at + 1]), third.astype(np.uint32)
 
 
-def shard_of(count: np.ndarray, before: np.ndarray, next_before: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Shard of (u, v): where it lies among the training tokens sorted by u, and by v as if v were independent of u.
-    It never falls as (u, v) grows."""
-    inside = np.floor(count * (next_before / max(vocabulary.tokens, 1))).astype(np.int64)
-    return (before + np.minimum(inside, count - 1)) // vocabulary.shard_tokens
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(_U) << _U(32) | b.astype(_U)
+
+
+# --- where shards end -------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Bounds:
+    """The first trigram of every shard but shard 0, in order."""
+
+    pair: np.ndarray
+    third: np.ndarray
+
+    def home(self, pair: np.ndarray) -> np.ndarray:
+        """The shard that holds a pair."""
+        return np.searchsorted(self.pair, pair)
+
+    def place(self, pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+        """The shard that holds a trigram: its pair's, or a later one where a shard begins inside the pair."""
+        return rank_among(self.pair, self.third, pair, third)
+
+
+def shard_bounds(texts: DataFrame, vocabulary: Vocabulary) -> Bounds:
+    """Every ``PER_SHARD``-th of a random sample of trigrams in order; one row per shard is gathered."""
+    shards = -(-vocabulary.tokens // vocabulary.shard_tokens)
+    if shards < 2:
+        return Bounds(np.zeros(0, _U), np.zeros(0, np.int64))
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / texts.count()))
+    rate = min(1.0, PER_SHARD * shards / (vocabulary.tokens * share))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chance = np.random.default_rng([11, TaskContext.get().partitionId()])
+        for batch in batches:
+            for _, _, words in each_slice(batch.column(0), lower=True):
+                pair, third = trigrams(look_up(words, vocabulary))
+                chosen = (third != _NONE) & (chance.random(len(pair)) < rate)
+                columns = (pair[chosen] >> _U(32), pair[chosen] & _U(0xFFFFFFFF), third[chosen])
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["u", "v", "w"])
+
+    sample = materialize(arrow_map(texts.filter(F.rand(5) < share), draw, "u long, v long, w long"), "trigram-sample")
+    rows = every(sample, ["u", "v", "w"], PER_SHARD).collect()
+    found = sorted({tuple(r) for r in rows})
+    u, v, w = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    return Bounds(_joint(u, v), w)
 
 
 # --- counts of n-grams ------------------------------------------------------------------------------------------
@@ -226,12 +290,16 @@ def _expand(blob: bytes, many: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes]
 
 
-def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary, bounds: Bounds) -> DataFrame:
     """(shard, order, blob): distinct n-grams and their counts, added up within a task before they are moved.
-    Of pairs only those at the end of a text: the counts of all others are sums over their triples."""
+
+    Of pairs (order 2) only those at the end of a text and those whose trigram has another shard: the counts of all others are
+    sums over their triples (order 3).  Triples that stand in a shard after their pair's have order 4.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        apart: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -248,8 +316,17 @@ def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield from rows(place[last], 2, [pair[last] >> _U(32), pair[last] & _U(0xFFFFFFFF), n])
             # Triples by number of their pair and third word, in one integer each.
             triple, n = np.unique((number << _U(32) | third.astype(_U))[third != _NONE], return_counts=True)
-            number = (triple >> _U(32)).astype(np.int64)
-            yield from rows(place[number], 3, [pair[number] >> _U(32), pair[number] & _U(0xFFFFFFFF), triple & _U(0xFFFFFFFF), n])
+            yield from triples(3, pair, (triple >> _U(32)).astype(np.int64), triple & _U(0xFFFFFFFF), n, place)
+            if apart:
+                pair, third = (np.concatenate(x) for x in zip(*apart, strict=True))
+                pair, number = np.unique(pair, return_inverse=True)
+                triple, n = np.unique(_joint(number, third), return_counts=True)
+                number, third = (triple >> _U(32)).astype(np.int64), triple & _U(0xFFFFFFFF)
+                yield from triples(4, pair, number, third, n, None)
+
+        def triples(order: int, pair: np.ndarray, number: np.ndarray, third: np.ndarray, n: np.ndarray, place: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            shard = place[number] if place is not None else bounds.place(pair[number], third.astype(np.int64))
+            yield from rows(shard, order, [pair[number] >> _U(32), pair[number] & _U(0xFFFFFFFF), third, n])
 
         def rows(place: np.ndarray, order: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)] if len(place) else []
@@ -259,16 +336,17 @@ def ngram_blobs(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         for batch in batches:
             for _, _, words in each_slice(batch.column(0), lower=True):
-                t = look_up(words, vocabulary)
-                at = np.flatnonzero(t.index > 0) - 1  # first word of each pair
-                following = np.minimum(at + 2, len(t.number) - 1)
-                third = np.where((at + 2 < len(t.number)) & (t.index[following] > 1), t.number[following], _NONE)
-                shard = shard_of(t.count[at], t.before[at], t.before[at + 1], vocabulary)
-                held.append([t.number[at].astype(_U) << _U(32) | t.number[at + 1].astype(_U), third.astype(np.uint32), shard.astype(np.int32)])
-                size += len(at)
+                pair, third = trigrams(look_up(words, vocabulary))
+                shard = bounds.home(pair)
+                stray = (third != _NONE) & (bounds.place(pair, third.astype(np.int64)) != shard)
+                if stray.any():
+                    apart.append([pair[stray], third[stray]])
+                    third[stray] = _NONE
+                held.append([pair, third, shard.astype(np.int32)])
+                size += len(pair)
                 if size > FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    held, apart, size = [], [], 0
         if size:
             yield from flush()
 
@@ -287,19 +365,22 @@ def _chained(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return (values + 1 + np.repeat(base, np.diff(np.append(begins, len(values))))).astype(_U)
 
 
-def build_pairs(shard: int, blobs: list[tuple[int, bytes]], root: str, vocabulary_counts) -> list[int]:
-    """Write a shard's contexts and pairs, and its triples for the next step. Returns what the driver keeps of it:
-    (shard, pairs, first context, pairs of it, its mass, last context, pairs of it, its mass)."""
+def build_pairs(shard: int, blobs: list[tuple[int, bytes]], vocabulary: Vocabulary) -> dict:
+    """Write a shard's contexts and pairs, and its triples for the next step. Returns what the driver keeps of it (``_ROW``):
+    its first and last context, their pairs here and their mass, its last pair, and the pair that it begins inside of."""
+    root = vocabulary.root
     empty = np.zeros(0, np.uint32)
-    parts = [_expand(b, 3) for order, b in blobs if order == 2]
-    u, v, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty,) * 3
-    ends, end_counts = _merge([(u.astype(_U) << _U(32) | v.astype(_U), n.astype(np.int64))])
-    parts = [_expand(b, 4) for order, b in blobs if order == 3]
-    a, b, w, m = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty,) * 4
-    del parts
-    pair = a.astype(_U) << _U(32) | b.astype(_U)
+
+    def gathered(order: int, many: int) -> list[np.ndarray]:
+        parts = [_expand(b, many) for o, b in blobs if o == order]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [empty] * many
+
+    u, v, n = gathered(2, 3)
+    ends, end_counts = _merge([(_joint(u, v), n.astype(np.int64))])
+    a, b, w, m = gathered(3, 4)
+    pair = _joint(a, b)
     key = np.unique(np.concatenate([pair, ends]))
-    joint = np.searchsorted(key, pair).astype(_U) << _U(32) | w.astype(_U)
+    joint = _joint(np.searchsorted(key, pair), w)
     del a, b, w, pair
     joint, m = _merge([(joint, m.astype(np.int64))])
     spot, w = (joint >> _U(32)).astype(np.int64), (joint & _U(0xFFFFFFFF)).astype(np.int64)
@@ -308,8 +389,8 @@ def build_pairs(shard: int, blobs: list[tuple[int, bytes]], root: str, vocabular
     u, v = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
     begins = np.concatenate([[0], np.flatnonzero(np.diff(u)) + 1]) if len(u) else np.zeros(0, np.int64)
     contexts = u[begins]
-    total = vocabulary_counts(contexts)
-    d = (n - DISCOUNT) / np.repeat(total, np.diff(np.append(begins, len(u))))
+    many = np.diff(np.append(begins, len(u))) if len(u) else begins
+    d = (n - DISCOUNT) / np.repeat(vocabulary.counts(contexts), many)
     mass = np.add.reduceat(d, begins) if len(u) else np.zeros(0)
     d3 = (m - DISCOUNT) / n[spot] if len(spot) else np.zeros(0)
     mass3 = np.bincount(spot, weights=d3, minlength=len(key)) if len(spot) else np.zeros(len(key))
@@ -323,22 +404,32 @@ def build_pairs(shard: int, blobs: list[tuple[int, bytes]], root: str, vocabular
         ),
     )
     write_bytes(f"{root}/raw-{shard}.bin", [_squeeze([np.diff(spot, prepend=0), w, _quantise(d3)])])
-    if not len(contexts):
-        return [shard, 0, -1, 0, 0.0, -1, 0, 0.0]
-    many = np.diff(np.append(begins, len(u)))
-    return [shard, len(u), int(contexts[0]), int(many[0]), float(mass[0]), int(contexts[-1]), int(many[-1]), float(mass[-1])]
+    row = dict.fromkeys(_ROW, -1) | {"shard": shard, "pairs": len(u), "triples": len(w)}
+    a, b, w, m = gathered(4, 4)
+    if len(a):  # all of one pair: the shard's first trigram is inside it
+        w, m = _merge([(w.astype(_U), m.astype(np.int64))])
+        write_bytes(f"{root}/inside-{shard}.bin", [_squeeze([w, m])])
+        row |= {"inside_u": int(a[0]), "inside_v": int(b[0]), "triples": row["triples"] + len(w)}
+    if len(u):
+        row |= {"first": int(contexts[0]), "first_pairs": int(many[0]), "first_mass": float(mass[0]), "last": int(contexts[-1]), "last_pairs": int(many[-1]), "last_mass": float(mass[-1])}
+        row |= {"end_v": int(v[-1]), "end_count": int(n[-1]), "end_mass": float(mass3[-1])}
+    return row
 
 
 @dataclass
 class Trie:
     """Files of the shards and one row about each: successors of its first context that stand in shards before, and
-    weights of contexts that are cut between shards."""
+    weights of contexts and of pairs that are cut between shards."""
 
     root: str
     vocabulary: Vocabulary
+    bounds: Bounds
     continued: np.ndarray  # -1 for shards without pairs
     cut_context: np.ndarray
     cut_rest: np.ndarray
+    cut_pair: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))
+    cut_rest3: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by shard
 
     def find_pairs(self, u: np.ndarray, v: np.ndarray, shard: np.ndarray) -> dict[str, np.ndarray]:
         """For sorted (u, v): place in the shard or -1, place among all successors of u, d, weights of u and of (u, v)."""
@@ -371,13 +462,19 @@ class Trie:
         if len(self.cut_context):
             k = np.minimum(np.searchsorted(self.cut_context, u), len(self.cut_context) - 1)
             out["rest"] = np.where(self.cut_context[k] == u, self.cut_rest[k], out["rest"])
+        if len(self.cut_pair):
+            pair = _joint(u, v)
+            k = np.minimum(np.searchsorted(self.cut_pair, pair), len(self.cut_pair) - 1)
+            out["rest3"] = np.where(self.cut_pair[k] == pair, self.cut_rest3[k], out["rest3"])
         return out
 
     def find_triples(self, shard: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """d of the word at ``place`` among the successors of v, after the pair ``at`` of ``shard``; sorted by shard."""
+        """d of the word at ``place`` among the successors of v, in list ``at`` of ``shard``; sorted by both."""
         out = np.zeros(len(at))
         cuts = np.flatnonzero(np.diff(shard)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(at)], strict=True) if len(at) else ():
+            if not self.triples[shard[a]]:
+                continue
             pointers, successors, d = _open_triples(f"{self.root}/triples-{int(shard[a])}.bin")
             begins = np.concatenate([[a], a + 1 + np.flatnonzero(np.diff(at[a:b]))])
             many = np.diff(np.append(begins, b))
@@ -420,42 +517,31 @@ def _open_triples(uri: str) -> tuple[EliasFano, EliasFano, np.ndarray]:
     return EliasFano(x, "pointers"), EliasFano(x, "successors"), x["d"]
 
 
-def _number_lookup(vocabulary: Vocabulary):
-    """A function from word numbers (ascending) to counts and tokens before, by the vocabulary's files."""
-    live = np.flatnonzero(vocabulary.base >= 0)
-    base = vocabulary.base[live]
-
-    def look(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count, before = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        part = np.searchsorted(base, numbers, "right") - 1
-        for k in np.unique(part):
-            here = np.flatnonzero(part == k)
-            _, upto = _open_vocabulary(f"{vocabulary.root}/words-{live[k]}.bin")
-            start, end = (upto.access(numbers[here] - base[k] + i).astype(np.int64) for i in (0, 1))
-            count[here], before[here] = end - start, vocabulary.before[live[k]] + start
-        return count, before
-
-    return look
+_ROW = (
+    "shard", "pairs", "triples", "first", "first_pairs", "first_mass", "last", "last_pairs", "last_mass", "end_v", "end_count", "end_mass", "inside_u", "inside_v",
+)
+_ROW_SCHEMA = ", ".join(f"{n} {'double' if n.endswith('mass') else 'long'}" for n in _ROW)
+_ROW_ARROW = pa.schema([(n, pa.float64() if n.endswith("mass") else pa.int64()) for n in _ROW])
 
 
-def build_trie(texts: DataFrame, vocabulary: Vocabulary, root: str) -> Trie:
+def build_trie(texts: DataFrame, vocabulary: Vocabulary) -> Trie:
     """Count n-grams and write the shards, pairs first, then triples by their places among pairs."""
-    spark = texts.sparkSession
-    n_shards = max(1, -(-vocabulary.tokens // vocabulary.shard_tokens))
+    spark, root = texts.sparkSession, vocabulary.root
+    bounds = shard_bounds(texts, vocabulary)
+    n_shards = len(bounds.pair) + 1
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _number_lookup(vocabulary)
         for group in runs(batches, ["shard"]):
             blobs = list(zip(group["order"].to_pylist(), group["blob"].to_pylist(), strict=True))
-            row = build_pairs(int(group["shard"][0].as_py()), blobs, root, lambda numbers: look(numbers)[0])
-            yield pa.RecordBatch.from_pylist([dict(zip(_ROW, row, strict=True))], _ROW_ARROW)
+            yield pa.RecordBatch.from_pylist([build_pairs(int(group["shard"][0].as_py()), blobs, vocabulary)], _ROW_ARROW)
 
-    placed = ngram_blobs(texts, vocabulary).repartition(min(n_shards, 100_000), "shard").sortWithinPartitions("shard")
+    placed = ngram_blobs(texts, vocabulary, bounds).repartition(min(n_shards, 100_000), "shard").sortWithinPartitions("shard")
     rows = sorted(arrow_map(placed, pairs, _ROW_SCHEMA).collect(), key=lambda r: r["shard"])  # one per shard
-    continued = np.full(n_shards, -1, np.int64)
+    continued, n_triples = np.full(n_shards, -1, np.int64), np.zeros(n_shards, np.int64)
     cut: dict[int, float] = {}
     last, so_far, mass = -1, 0, 0.0
     for r in rows:
+        n_triples[r["shard"]] = r["triples"]
         if not r["pairs"]:
             continue
         same = r["first"] == last
@@ -473,49 +559,60 @@ def build_trie(texts: DataFrame, vocabulary: Vocabulary, root: str) -> Trie:
             if r["pairs"]:
                 cut.setdefault(r[name], r[f"{name}_mass"])
     context = np.array(sorted(cut), np.int64)
-    trie = Trie(root, vocabulary, continued, context, np.array([max(1 - cut[c], 1e-12) for c in context.tolist()]))
-    live = [r["shard"] for r in rows if r["pairs"]]
+    trie = Trie(root, vocabulary, bounds, continued, context, np.array([max(1 - cut[c], 1e-12) for c in context.tolist()]), triples=n_triples)
+    # A pair that goes on in later shards is the last one of its own: its count, and its mass there.
+    ends = {(r["last"], r["end_v"]): r for r in rows if r["pairs"]}
+    inside = {r["shard"]: (r["inside_u"], r["inside_v"]) for r in rows if r["inside_u"] >= 0}
+    counts = {shard: ends[pair]["end_count"] for shard, pair in inside.items()}
+    live = [(r["shard"], counts.get(r["shard"], 0)) for r in rows if r["triples"]]
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _number_lookup(vocabulary)
         for batch in batches:
-            for shard in batch.column(0).to_pylist():
-                _build_triples(shard, trie, look)
-            yield batch
-
-    wanted = spark.createDataFrame([(s,) for s in live], "shard long").repartition(max(1, len(live)), "shard")
-    arrow_map(wanted, triples, "shard long").collect()
+            found = [_build_triples(s, n, trie) for s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["shard", "mass"])
+
+    wanted = spark.createDataFrame(live, "shard long, n long").repartition(max(1, len(live)), "shard")
+    masses: dict[tuple, float] = {}
+    for r in arrow_map(wanted, triples, "shard long, mass double").collect():
+        if r["shard"] in inside:
+            pair = inside[r["shard"]]
+            masses[pair] = masses.get(pair, ends[pair]["end_mass"]) + r["mass"]
+    chosen = sorted(masses)
+    trie.cut_pair = _joint(*(np.array(x, np.int64) for x in zip(*chosen, strict=True))) if chosen else trie.cut_pair
+    trie.cut_rest3 = np.array([max(1 - masses[p], 1e-12) for p in chosen])
     return trie
 
 
-_ROW = ("shard", "pairs", "first", "first_pairs", "first_mass", "last", "last_pairs", "last_mass")
-_ROW_SCHEMA = "shard long, pairs long, first long, first_pairs long, first_mass double, last long, last_pairs long, last_mass double"
-_ROW_ARROW = pa.schema([(n, pa.float64() if n.endswith("mass") else pa.int64()) for n in _ROW])
-
-
-def _build_triples(shard: int, trie: Trie, look) -> None:
+def _build_triples(shard: int, inside_count: int, trie: Trie) -> float:
+    """Write a shard's triples; returns the mass of those of the pair that it begins inside of, whose count is given."""
     with open(fetch(f"{trie.root}/raw-{shard}.bin"), "rb") as raw:
-        pair, w, d = _expand(raw.read(), 3)
+        spot, w, d = _expand(raw.read(), 3)
     pairs = _open_pairs(f"{trie.root}/pairs-{shard}.bin")
-    pair = np.cumsum(pair, dtype=np.int64)
+    spot, mass = np.cumsum(spot, dtype=np.int64), 0.0
+    v = pairs.second_words()[spot] if len(spot) else np.zeros(0, np.int64)
+    if inside_count:
+        with open(fetch(f"{trie.root}/inside-{shard}.bin"), "rb") as raw:
+            more, m = _expand(raw.read(), 2)
+        own = (m - DISCOUNT) / inside_count
+        mass = float(own.sum())
+        v = np.concatenate([np.full(len(more), int(trie.bounds.pair[shard - 1] & _U(0xFFFFFFFF))), v])
+        spot, w, d = np.concatenate([np.full(len(more), -1), spot]), np.concatenate([more, w]), np.concatenate([_quantise(own), d])
     place = np.zeros(0, np.int64)
-    if len(pair):
-        key, back = np.unique(pairs.second_words()[pair].astype(_U) << _U(32) | w.astype(_U), return_inverse=True)
+    if len(spot):
+        key, back = np.unique(_joint(v, w), return_inverse=True)
         parts = []
         for lo in range(0, len(key), LOOK_UP):
             some = key[lo : lo + LOOK_UP]
             a, b = (some >> _U(32)).astype(np.int64), (some & _U(0xFFFFFFFF)).astype(np.int64)
-            words, back_a = np.unique(a, return_inverse=True)
-            count, before = (x[back_a] for x in look(words))
-            words, back_b = np.unique(b, return_inverse=True)
-            parts.append(trie.find_pairs(a, b, shard_of(count, before, look(words)[1][back_b], trie.vocabulary))["place"])
+            parts.append(trie.find_pairs(a, b, trie.bounds.home(some))["place"])
         place = np.concatenate(parts)[back]
-    begins = np.concatenate([[0], np.flatnonzero(np.diff(pair)) + 1]) if len(pair) else np.zeros(0, np.int64)
-    pointers = np.searchsorted(pair, np.arange(len(pairs.d) + 1))
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(spot)) + 1]) if len(spot) else np.zeros(0, np.int64)
+    pointers = np.searchsorted(spot, np.arange(-1, len(pairs.d) + 1))
     write_bytes(
         f"{trie.root}/triples-{shard}.bin",
-        container(elias_fano(pointers, "pointers") | elias_fano(_chained(place, begins) if len(pair) else place, "successors") | {"d": d.astype(np.uint16)}),
+        container(elias_fano(pointers, "pointers") | elias_fano(_chained(place, begins) if len(spot) else place, "successors") | {"d": d.astype(np.uint16)}),
     )
+    return mass
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------
@@ -537,11 +634,9 @@ def score_slice(words: Words, trie: Trie) -> dict[str, np.ndarray]:
     pair_of = np.full(len(doc), -1, np.int64)
     d2, rest, rest3 = np.zeros(len(doc)), np.ones(len(doc)), np.ones(len(doc))
     # Pairs whose second word is unknown still tell the weight of their context: it is asked with the context's own number.
-    u, v = t.number[at - 1], np.where(known[at], t.number[at], _NONE)
-    key, spot, back = np.unique(u.astype(_U) << _U(32) | v.astype(_U), return_index=True, return_inverse=True)
+    key, back = np.unique(_joint(t.number[at - 1], np.where(known[at], t.number[at], _NONE)), return_inverse=True)
     ku, kv = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
-    first = at[spot]
-    shard = shard_of(t.count[first - 1], t.before[first - 1], np.where(known[first], t.before[first], total), vocabulary)
+    shard = trie.bounds.home(key)
     found = trie.find_pairs(ku, kv, shard)
     pair_of[at] = back
     d2[at], rest[at], rest3[at] = found["d"][back], found["rest"][back], found["rest3"][back]
@@ -556,9 +651,10 @@ def score_slice(words: Words, trie: Trie) -> dict[str, np.ndarray]:
     out[third] = rest3[third - 1] * p2[third]
     ask = np.flatnonzero(stored(here))
     if len(ask):
-        joint, back3 = np.unique(before[ask].astype(_U) << _U(32) | here[ask].astype(_U), return_inverse=True)
+        joint, back3 = np.unique(_joint(before[ask], here[ask]), return_inverse=True)
         a, b = (joint >> _U(32)).astype(np.int64), (joint & _U(0xFFFFFFFF)).astype(np.int64)
-        out[third[ask]] += trie.find_triples(shard[a], found["at"][a], found["place"][b])[back3]
+        where = trie.bounds.place(key[a], kv[b])
+        out[third[ask]] += trie.find_triples(where, np.where(where == shard[a], found["at"][a] + 1, 0), found["place"][b])[back3]
     base = np.log10((t.count + 1) / (total + 1 * (size + 1)))
     add = lambda x: np.bincount(doc, weights=x, minlength=len(many))
     return {"n_tokens": many.astype(np.int64), "n_known": add(known).astype(np.int64), "base_score": add(base), "score": add(np.log10(out))}
@@ -575,8 +671,8 @@ def train_model(texts: DataFrame, shard_tokens: int = SHARD_TOKENS, vocabulary_s
     vocabulary = build_vocabulary(texts, root, shard_tokens, vocabulary_shard)
     if not vocabulary.tokens:
         none = np.zeros(0, np.int64)
-        return Trie(root, vocabulary, none, none, np.zeros(0))
-    return build_trie(texts, vocabulary, root)
+        return Trie(root, vocabulary, Bounds(none.astype(_U), none), none, none, np.zeros(0))
+    return build_trie(texts, vocabulary)
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:

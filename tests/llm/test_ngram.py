@@ -24,7 +24,7 @@ def brute(rows):
     total, size = sum(c1.values()), len(c1)
     once, twice = (sum(c == k for c in c1.values()) for k in (1, 2))
     d1, d = min(0.9, max(0.1, once / max(1, once + 2 * twice))), ngram.DISCOUNT
-    k2, k3 = ({k: c for k, c in x.items() if c >= ngram.LEAST_COUNT} for x in (c2, c3))
+    k2, k3 = c2, c3
     m2, m3 = defaultdict(float), defaultdict(float)
     for (u, v), c in k2.items():
         m2[u] += (c - d) / c1[u]
@@ -71,6 +71,20 @@ def test_many_small_shards_cut_frequent_contexts(documents):
     check(documents, shard_tokens=3000, vocabulary_shard=2000)
 
 
+def test_a_frequent_pair_is_cut_by_the_third_word(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"hot pair w{draw.randrange(40_000)}" for _ in range(100))) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    trie = ngram.train_model(df, shard_tokens=3000, vocabulary_shard=5000)
+    assert trie.vocabulary.tokens == 301_000 and 90 < len(trie.triples) < 110
+    assert 0 < trie.triples.max() <= 2 * 3000
+    assert len(trie.cut_pair)
+    check(df.limit(150), shard_tokens=500, vocabulary_shard=2000)
+    check(df.limit(40), shard_tokens=3)
+
+
 def test_messy_and_empty(messy, empty):
     check(messy)
     trie = ngram.train_model(empty)
