@@ -1,20 +1,23 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Fitting uses a bounded sample of labelled documents (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` rows of at most
-``SAMPLE_CHARS`` characters, chosen by a hash of the id among those that have a text of that size).  The field is
-fitted to at most ``STRETCHES`` of their stretches with a toxic token and as many of any kind, drawn at random.  Features of a token are its word and its first four
-and five bytes.  Those whose document counts differ significantly between the classes are the model's vocabulary;
-a token of a toxic document is labelled toxic if one of its features speaks for that class.  The field's
-weights maximise the regularised likelihood of these labelled tokens by forward-backward gradients.
+Features of a token are its word and its first four and five bytes.  How many documents of each class hold a feature is
+counted in the cluster over all labelled rows that may be learnt from; features whose counts differ significantly between
+the classes are the model's vocabulary (``MOST_FEATURES`` at most), and a token of a toxic document is labelled toxic if
+one of its features speaks for that class.  The field is fitted to a bounded random sample of labelled rows:
+``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other ones, of any length, give their stretches of up to ``SPAN`` tokens,
+none of which runs over a document's end, and of these ``STRETCHES`` with a toxic token and as many of any kind are drawn by a hash.
+The field's weights maximise the regularised likelihood of these labelled tokens by forward-backward gradients.
+The driver holds the chosen features, the drawn stretches and two figures for each row of the sample, whatever the texts' lengths.
 
 Scoring runs forward-backward over whole texts.  Tokens without a feature all have the same potentials, so
 a run of k of them is the k-th power of one 2 x 2 matrix, taken in closed form; the chain is walked
 from one token with a feature to the next, which gives the same marginals as token by token.
 The greatest marginal and the sum of marginals give the score by a logistic calibration.
 
-Defined cases: a null or empty text gets the score of a text without any feature; rows with the same id are
-scored alike; without labels of both classes every score is the share of toxic labels (0 without labels);
-where a document has several labels the greatest counts and null labels are ignored; other columns are not read.
+Defined cases: a null or empty text gets the score of a text without any feature; a very long text is learnt from and scored
+whole; rows with the same id are scored alike, and so are equal texts; without labels of both classes every score is the share of
+toxic labels (0 without labels); where a document has several labels the greatest counts and null labels are ignored; features with
+equal ratios are taken in the order of their hashes; an empty table has no scores; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,36 +27,33 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.store import arrow_map
-from tessera.llm.words import Words, each_slice, mix, powers
-from tessera.llm.words import _BASE, _INVERSE
+from tessera.llm.store import arrow_map, materialize
+from tessera.llm.words import Words, each_slice, mix, spans
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 3000, 6000, 12_000
-#: Stretches of tokens that the field is fitted to: so many with a toxic token and so many of any kind, at most.
-STRETCHES = 6000
+#: Labelled rows that the field and its calibration are fitted to, at most.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Of these rows' stretches of SPAN tokens, so many with a toxic token and so many of any kind, at most.
+STRETCHES, SPAN = 6000, 96
 #: A feature's least documents and least log-likelihood ratio, and how many features are kept.
 LEAST_DOCS, LEAST_RATIO, MOST_FEATURES = 5, 20.0, 4096
 PREFIXES = (4, 5)
-#: Tokens whose features are counted at a time, rounded up to whole documents.
-COUNTED = 1 << 17
+#: Features that a task holds before it adds them up and sends them on.
+COUNTED = 1 << 20
 DECISION = 0.3
 
 
 def token_features(words: Words) -> np.ndarray:
     """Hashes of each token's features, tokens by kinds; 0 where a word is too short for the kind."""
-    data = words.data
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-    inverse = powers(_INVERSE, len(data) + 1)[words.starts]
     out = np.zeros((len(words.starts), 1 + len(PREFIXES)), np.uint64)
     out[:, 0] = words.hashes()
     for k, size in enumerate(PREFIXES, 1):
-        end = words.starts + size
-        long = end <= words.ends
-        out[long, k] = mix((sums[end[long]] - sums[words.starts[long]]) * inverse[long] + np.uint64(size << 32))
+        long = words.starts + size <= words.ends
+        begin = words.starts[long]
+        out[long, k] = mix(spans(words.data, begin, begin + size) + np.uint64(size << 32))
     return out
 
 
@@ -130,81 +130,132 @@ def _evidence(best: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(best)), np.log(clipped / (1 - clipped)), np.log1p(total)], axis=1)
 
 
-def significant_features(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, speaks for toxic) of the features whose document counts differ most between the classes; ``doc`` ascends."""
-    found, a = [], 0
-    ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc))
-    while a < len(doc):
-        b = int(ends[min(np.searchsorted(ends, a + COUNTED), len(ends) - 1)])
-        key, owner = features[a:b].T.ravel(), np.tile(doc[a:b], features.shape[1])
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-        key, owner = key[new], owner[new]
-        names, back, total = np.unique(key, return_inverse=True, return_counts=True)
-        found.append((names, total, np.bincount(back, weights=toxic[owner], minlength=len(names))))
-        a = b
-    names, total, hits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    names, back = np.unique(names, return_inverse=True)
-    total, hits = (np.bincount(back, weights=x, minlength=len(names)) for x in (total, hits))
-    n1, n0 = float(toxic.sum()), float(len(toxic) - toxic.sum())
-    share = n1 / (n1 + n0)
-    miss = total - hits
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = 2 * (np.where(hits > 0, hits * np.log(hits / (total * share)), 0) + np.where(miss > 0, miss * np.log(miss / (total * (1 - share))), 0))
-    chosen = np.flatnonzero((total >= LEAST_DOCS) & (ratio >= LEAST_RATIO) & (names != 0))
-    chosen = np.sort(chosen[np.argsort(-ratio[chosen], kind="stable")[:MOST_FEATURES]])
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """(feature, total, hits): documents of ``texts`` (text, toxic) that hold a feature, and the toxic ones of these."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            key, hit = (np.concatenate(x) for x in zip(*held, strict=True))
+            names, back, total = np.unique(key, return_inverse=True, return_counts=True)
+            hits = np.bincount(back, hit, len(names)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(total), pa.array(hits)], ["feature", "total", "hits"])
+
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, _, words in each_slice(batch.column(0), lower=True):
+                features = token_features(words)
+                for d, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                    key = np.unique(features[a:b])
+                    key = key[key != 0]
+                    held.append((key, np.full(len(key), toxic[lo + d])))
+                if sum(len(k) for k, _ in held) > COUNTED:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    return arrow_map(texts, count, "feature long, total long, hits long").groupBy("feature").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits"))
+
+
+def significant_features(counts: DataFrame, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, speaks for toxic) of the features whose document counts differ most between ``n1`` toxic and ``n0`` other documents."""
+    share, miss = n1 / (n1 + n0), F.col("total") - F.col("hits")
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (F.col("total") * p))).otherwise(0.0)
+    ratio = 2 * (part(F.col("hits"), share) + part(miss, 1 - share))
     # "Speaks for": ten times likelier in a toxic document.
-    return names[chosen], (hits[chosen] + 0.5) / (n1 + 1) > 10 * (miss[chosen] + 0.5) / (n0 + 1)
+    speaks = (F.col("hits") + 0.5) / (n1 + 1) > 10 * (miss + 0.5) / (n0 + 1)
+    chosen = counts.filter(F.col("total") >= LEAST_DOCS).select("feature", F.round(ratio, 9).alias("ratio"), speaks.alias("speaks")).filter(F.col("ratio") >= LEAST_RATIO)
+    rows = chosen.orderBy(F.col("ratio").desc(), "feature").limit(MOST_FEATURES).collect()
+    keys, speaks = np.array([r["feature"] for r in rows], np.int64).view(np.uint64), np.array([r["speaks"] for r in rows], bool)
+    order = np.argsort(keys)
+    return keys[order], speaks[order]
+
+
+def label_tokens(words: Words, toxic: np.ndarray, keys: np.ndarray, speaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of each token's features, -1 for none; token is labelled toxic)."""
+    features = token_features(words)
+    spot = np.minimum(np.searchsorted(keys, features), len(keys) - 1)
+    hit = keys[spot] == features
+    return np.where(hit, spot, -1).astype(np.int32), (hit & speaks[spot]).any(axis=1) & toxic[words.doc_of()]
+
 
+def stretches(texts: DataFrame, keys: np.ndarray, speaks: np.ndarray) -> DataFrame:
+    """(draw, hot, slots): the stretches of ``texts`` (doc_id, text, toxic), a random number for each, and whether it has a toxic token;
+    ``slots`` has for each token its features' numbers and its label."""
+    kinds = 1 + len(PREFIXES)
 
-def draw_stretches(hot: np.ndarray) -> np.ndarray:
-    """At most ``STRETCHES`` of the stretches with a toxic token, and as many of any kind, at random."""
-    draw = np.random.default_rng(3)
-    pick = draw.permutation(len(hot))[:STRETCHES]
-    return np.unique(np.concatenate([draw.permutation(np.flatnonzero(hot))[:STRETCHES], pick]))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pc.fill_null(batch.column(0), 0).to_numpy().astype(np.int64).view(np.uint64)
+            toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, words in each_slice(batch.column(1), lower=True):
+                if not len(words.starts):
+                    continue
+                known, label = label_tokens(words, toxic[lo:hi], keys, speaks)
+                inside = np.arange(len(label)) - np.repeat(words.first[:-1], words.counts())
+                begins = np.flatnonzero(inside % SPAN == 0)
+                hot = np.add.reduceat(label, begins) > 0
+                draw = mix(mix(ids[lo:hi][words.doc_of()[begins]]) + inside[begins].astype(np.uint64))
+                flat = np.concatenate([known, label[:, None].astype(np.int32)], axis=1).ravel()
+                ends = (np.append(begins, len(label)) * (kinds + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((draw >> np.uint64(1)).astype(np.int64)), pa.array(hot), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["draw", "hot", "slots"]
+                )
 
+    return arrow_map(texts, cut, "draw long, hot boolean, slots array<int>")
 
-def fit_chain(known: np.ndarray, label: np.ndarray, keys: np.ndarray, span: int = 96, rounds: int = 80, ridge: float = 1e-3) -> Field:
-    """Weights by gradient ascent (Adam) over stretches of ``span`` tokens; ``known`` has each token's feature
-    numbers, -1 for none."""
-    n = len(label) // span * span
-    pick = draw_stretches(label[:n].reshape(-1, span).any(axis=1))
-    known, label = known[:n].reshape(-1, span, known.shape[1])[pick], label[:n].reshape(-1, span)[pick]
-    known, label = known.transpose(1, 0, 2), label.T.astype(np.int64)
-    size = len(keys)
-    slots = np.where(known >= 0, known, size)
+
+def likelihood(theta: np.ndarray, slots: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """(log-likelihood of the labels, its gradient).  ``theta`` is feature weights, the bias, and moves; ``slots`` (steps, stretches,
+    kinds) are feature numbers, the number of the last one and one more for none; ``weight`` is 1 for tokens and 0 beyond a stretch's end."""
+    size = len(theta) - 5
+    steps, batch = label.shape
+    weights = np.append(theta[:size], 0.0)
+    score = weights[slots].sum(axis=2) + theta[size]
+    move = np.exp(theta[size + 1 :].reshape(2, 2))
+    potential = np.ones((steps, batch, 2))
+    potential[:, :, 1] = np.exp(np.clip(score, -30, 30))
+    left, right, norm = np.zeros_like(potential), np.ones_like(potential), np.ones((steps, batch, 1))
+    live = weight[:, :, None] > 0
+    for t in range(steps):
+        now = potential[t] if t == 0 else left[t - 1] @ move * potential[t]
+        norm[t] = np.where(live[t], now.sum(axis=1, keepdims=True), 1.0)
+        # Beyond the end nothing changes.
+        left[t] = now / norm[t] if t == 0 else np.where(live[t], now / norm[t], left[t - 1])
+    for t in range(steps - 2, -1, -1):
+        right[t] = np.where(live[t + 1], (potential[t + 1] * right[t + 1]) @ move.T / norm[t + 1], right[t + 1])
+    toxic = (left * right)[:, :, 1] * weight
+    truth, joined = label * weight, weight[1:]
+    gap = truth - toxic
+    gradient = np.zeros(len(theta))
+    gradient[: size + 1] = np.bincount(slots.ravel(), np.repeat(gap.ravel(), slots.shape[2]), size + 1)
+    gradient[size] = gap.sum()
+    value = (score * truth).sum() - np.log(norm).sum()
+    for i in range(2):
+        for j in range(2):
+            had = ((label[:-1] == i) & (label[1:] == j)) * joined
+            both = left[:-1, :, i] * move[i, j] * (potential * right)[1:, :, j] / norm[1:, :, 0] * joined
+            gradient[size + 1 + 2 * i + j] = had.sum() - both.sum()
+            value += theta[size + 1 + 2 * i + j] * had.sum()
+    return float(value), gradient
+
+
+def fit_chain(flat: list[np.ndarray], keys: np.ndarray, rounds: int = 80, ridge: float = 1e-3) -> Field:
+    """Weights by gradient ascent (Adam) over stretches, each an array of tokens by feature numbers and label."""
+    size, kinds = len(keys), 1 + len(PREFIXES)
+    slots = np.full((SPAN, len(flat), kinds), size, np.int32)
+    label, weight = np.zeros((SPAN, len(flat)), np.int64), np.zeros((SPAN, len(flat)))
+    for k, x in enumerate(flat):
+        x = x.reshape(-1, kinds + 1)
+        slots[: len(x), k] = np.where(x[:, :kinds] >= 0, x[:, :kinds], size)
+        label[: len(x), k], weight[: len(x), k] = x[:, kinds], 1.0
     theta = np.zeros(size + 1 + 4)
     theta[size] = -4.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    steps, batch = label.shape
-    true = np.zeros_like(theta)
-    np.add.at(true, slots[label == 1].ravel(), 1.0)
-    true[size] = label.sum()
-    pair = label[:-1] * 2 + label[1:]
-    true[size + 1 :] = np.bincount(pair.ravel(), minlength=4)
     for r in range(1, rounds + 1):
-        weights = np.append(theta[:size], 0.0)
-        potential = np.ones((steps, batch, 2))
-        potential[:, :, 1] = np.exp(np.clip(weights[slots].sum(axis=2) + theta[size], -30, 30))
-        move = np.exp(theta[size + 1 :].reshape(2, 2))
-        left, right, norm = np.zeros_like(potential), np.ones_like(potential), np.ones((steps, batch, 1))
-        for t in range(steps):
-            now = potential[t] if t == 0 else left[t - 1] @ move * potential[t]
-            norm[t] = now.sum(axis=1, keepdims=True)
-            left[t] = now / norm[t]
-        for t in range(steps - 2, -1, -1):
-            right[t] = (potential[t + 1] * right[t + 1]) @ move.T / norm[t + 1]
-        toxic = (left * right)[:, :, 1]
-        expected = np.bincount(slots.ravel(), weights=np.repeat(toxic.ravel(), slots.shape[2]), minlength=size + 1)
-        expected = np.concatenate([expected[:size], [toxic.sum()], np.zeros(4)])
-        for i in range(2):
-            for j in range(2):
-                expected[size + 1 + 2 * i + j] = (left[:-1, :, i] * move[i, j] * (potential * right)[1:, :, j] / norm[1:, :, 0]).sum()
-        true_now = true.copy()
-        true_now[size] = label.sum()
-        gradient = (true_now - expected) / batch - ridge * theta
+        gradient = likelihood(theta, slots, label, weight)[1] / len(flat) - ridge * theta
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta += 0.25 * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.99**r)) + 1e-8)
     return Field(keys, theta[:size], float(theta[size]), theta[size + 1 :].reshape(2, 2))
@@ -237,56 +288,52 @@ def document_evidence(model: Field, words: Words) -> tuple[np.ndarray, np.ndarra
     return best, total, token, p
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> Field:
-    """Fit the field and its calibration to whole labelled texts."""
-    toxic = toxic.astype(bool)
-    base = Field()
-    base.calibration = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0])
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return base
-    features, docs = [], []
-    for lo, _, words in each_slice(texts, lower=True):
-        features.append(token_features(words))
-        docs.append(words.doc_of() + lo)
-    features, doc = np.concatenate(features), np.concatenate(docs)
-    keys, speaks = significant_features(features, doc, toxic.astype(float))
-    if not len(keys):
-        return base
-    known, label = np.full(features.shape, -1, np.int32), np.zeros(len(doc), bool)
-    for lo in range(0, len(doc), COUNTED):
-        some = features[lo : lo + COUNTED]
-        spot = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
-        known[lo : lo + COUNTED] = np.where(keys[spot] == some, spot, -1)
-        label[lo : lo + COUNTED] = ((keys[spot] == some) & speaks[spot]).any(axis=1) & toxic[doc[lo : lo + COUNTED]]
-    del features, doc
-    model = fit_chain(known, label, keys)
-    best, total = [], []
-    for _, _, words in each_slice(texts, lower=True):
-        b, t, *_ = document_evidence(model, words)
-        best.append(b)
-        total.append(t)
-    model.calibration = calibrate(_evidence(np.concatenate(best), np.concatenate(total)), toxic, share)
-    return model
-
-
 def learnable() -> F.Column:
     """Rows whose labels may be learnt: crc32 of the id as text is not 2 modulo 4."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fit on the bounded sample of the labelled rows that may be learnt."""
-    known = labels.filter(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
-    draw = F.xxhash64(F.lit(11), "doc_id")
-    short = docs.filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
-    parts = [known.filter(F.col("toxic") == y).orderBy(draw, "doc_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids: a proven bound for the broadcast and for what is gathered.
-    sample = short.join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
-    rows = sample.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id").combine_chunks()
-    texts = rows["text"].chunk(0) if rows.num_rows else pa.array([], pa.string())
-    return fit(texts, rows["toxic"].to_numpy(), float(share))
+    """Count features over all labelled rows that may be learnt from, and fit the field to the bounded sample of them."""
+    known = labels.filter(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    learnt = docs.select("doc_id", text).join(known, "doc_id")
+    learnt = materialize(learnt.withColumn("draw", F.xxhash64(F.lit(11), "doc_id", "text")), "labelled-texts")
+    sums = learnt.groupBy("toxic").count().collect()
+    n = {r["toxic"]: r["count"] for r in sums}
+    n1, n0 = n.get(True, 0), n.get(False, 0)
+    share = known.agg(F.avg(F.col("toxic").cast("int")).alias("share")).first()["share"] or 0.0
+    model = Field()
+    model.calibration = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0])
+    if not n1 or not n0:
+        return model
+    keys, speaks = significant_features(feature_counts(learnt.select("text", F.col("toxic").cast("int"))), n1, n0)
+    if not len(keys):
+        return model
+    parts = [learnt.filter(F.col("toxic") == y).orderBy("draw", "doc_id").limit(k) for y, k in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN))]
+    sample = materialize(parts[0].unionByName(parts[1]), "toxicity-sample")
+    found = materialize(stretches(sample.select("doc_id", "text", "toxic"), keys, speaks), "stretches")
+    drawn = [d.orderBy("draw").limit(STRETCHES) for d in (found.filter("hot"), found.select("draw", "hot", "slots"))]
+    # At most 2 * STRETCHES rows of SPAN tokens.
+    rows = drawn[0].unionByName(drawn[1]).dropDuplicates(["draw"]).orderBy("draw").toArrow()["slots"].to_numpy()
+    model = fit_chain(list(rows), keys)
+    evidence = _marginals(sample, model).toArrow()  # two figures for each row of the sample
+    best, total, toxic = (evidence[c].to_numpy() for c in ("best", "total", "toxic"))
+    model.calibration = calibrate(_evidence(best, total), toxic.astype(bool), float(share))
+    return model
+
+
+def _marginals(rows: DataFrame, model: Field) -> DataFrame:
+    """(best, total, toxic) of labelled texts."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words in each_slice(batch.column(0), lower=True):
+                best, total, *_ = document_evidence(shared.value, words)
+                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(total), batch.column(1).slice(lo, hi - lo)], ["best", "total", "toxic"])
+
+    return arrow_map(rows.select("text", F.col("toxic").cast("int").alias("toxic")), run, "best double, total double, toxic int")
 
 
 def tag(docs: DataFrame, model: Field) -> DataFrame:
@@ -316,8 +363,6 @@ def tag(docs: DataFrame, model: Field) -> DataFrame:
 
 def _doc_bytes(texts: pa.Array, lo: int, hi: int) -> np.ndarray:
     """Where each document of the slice begins in the slice's bytes."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(texts.slice(lo, hi - lo)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return np.cumsum(sizes) - sizes
 

@@ -28,14 +28,15 @@ _powers: dict[int, np.ndarray] = {}
 
 #: Documents are handled in slices of about this many bytes, which bounds the work arrays.
 SLICE_BYTES = 1 << 21
+#: Inside a slice, which a long document fills alone, work arrays cover so many bytes or words at a time.
+CHUNK = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
+    """base**0 .. base**(n-1) modulo 2**64, kept for the next call; ``n`` is at most a little over ``CHUNK``."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, np.uint64(base & (2**64 - 1)), np.uint64)
+        have = np.full(max(n, 1 << 16), np.uint64(base & (2**64 - 1)), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         _powers[base] = have
@@ -51,12 +52,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(values: np.ndarray, size: int, base: int, at: np.ndarray) -> np.ndarray:
-    """Hash of ``values[p:p+size]`` for each p in ``at``."""
+def _running(values: np.ndarray, base: int) -> np.ndarray:
+    """Sums of ``values[i] * base**i`` before each place."""
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    inverse = powers(pow(base, -1, 1 << 64), len(values) + 1)
-    return mix((sums[at + size] - sums[at]) * inverse[at])
+    return sums
+
+
+def windows(values: np.ndarray, size: int, base: int, at: np.ndarray) -> np.ndarray:
+    """Hash of ``values[p:p+size]`` for each p in ``at``, which ascends."""
+    out = np.empty(len(at), np.uint64)
+    inverse, a = pow(base, -1, 1 << 64), 0
+    while a < len(at):
+        lo = int(at[a])
+        b = int(np.searchsorted(at, lo + CHUNK))
+        spot = at[a:b] - lo
+        sums = _running(values[lo : int(at[b - 1]) + size], base)
+        out[a:b] = mix((sums[spot + size] - sums[spot]) * powers(inverse, CHUNK)[spot])
+        a = b
+    return out
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials over the bytes of spans that ascend and do not overlap; not mixed yet."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = int(np.searchsorted(ends, lo + CHUNK, "right"))
+        if b <= a:  # one span longer than a chunk
+            total = 0
+            for p in range(lo, int(ends[a]), CHUNK):
+                part = data[p : min(p + CHUNK, int(ends[a]))].astype(np.uint64) + np.uint64(1)
+                total += int(_running(part, _BASE)[-1]) * pow(_BASE, p - lo, 1 << 64)
+            out[a] = total & (2**64 - 1)
+            a += 1
+            continue
+        sums = _running(data[lo : int(ends[b - 1])].astype(np.uint64) + np.uint64(1), _BASE)
+        begin = starts[a:b] - lo
+        out[a:b] = (sums[ends[a:b] - lo] - sums[begin]) * powers(_INVERSE, CHUNK)[begin]
+        a = b
+    return out
 
 
 @dataclass
@@ -78,19 +113,18 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        data = self.data
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * powers(_INVERSE, len(data) + 1)[self.starts]
-        return mix(raw + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def hashes(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Hashes of the words a to b, all by default."""
+        starts, ends = self.starts[a:b], self.ends[a:b]
+        return mix(spans(self.data, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string array; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "")
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, offsets, data = texts.buffers()
     if len(texts) == 0:
@@ -113,22 +147,23 @@ def find_words(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> Wo
     """Words of the documents ``data[offsets[i]:offsets[i+1]]``; none runs over a document's end."""
     if lower:
         data = _LOWER[data]
-    n = len(data)
-    if n == 0:
-        none = np.zeros(0, np.int64)
-        return Words(data, none, none, np.zeros(len(offsets), np.int64))
-    blank = _SPACE[data]
-    before = np.empty(n, bool)
-    before[0], before[1:] = True, blank[:-1]
-    inner = offsets[(offsets > 0) & (offsets < n)]
-    before[inner] = True
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = True, blank[1:]
-    after[inner - 1] = True
-    word = ~blank
-    starts = np.flatnonzero(word & before)
-    ends = np.flatnonzero(word & after) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets))
+    n, starts, ends = len(data), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cuts = offsets[(offsets > 0) & (offsets < n)]
+    for lo in range(0, n, CHUNK):
+        hi = min(lo + CHUNK, n)
+        # With the bytes beside the chunk, so that words may run over its edges.
+        blank = np.ones(hi - lo + 2, bool)
+        inside = slice(max(lo - 1, 0), min(hi + 1, n))
+        blank[inside.start - lo + 1 : inside.stop - lo + 1] = _SPACE[data[inside]]
+        before, after = blank[:-2].copy(), blank[2:].copy()
+        a, b, c = np.searchsorted(cuts, (lo, lo + 1, hi))
+        d = int(np.searchsorted(cuts, hi, "right"))
+        before[cuts[a:c] - lo] = True
+        after[cuts[b:d] - lo - 1] = True
+        starts.append(np.flatnonzero(~blank[1:-1] & before) + lo)
+        ends.append(np.flatnonzero(~blank[1:-1] & after) + lo + 1)
+    begin = np.concatenate(starts)
+    return Words(data, begin, np.concatenate(ends), np.searchsorted(begin, offsets))
 
 
 def each_slice(texts: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Words]]:

@@ -23,10 +23,41 @@ def corpus(n, seed=0):
     return texts, np.array(labels)
 
 
+def learn(spark, texts, labels):
+    df = spark.createDataFrame([(i, t, int(y)) for i, (t, y) in enumerate(zip(texts, labels))], "doc_id long, text string, toxic int")
+    return toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+
+
 @pytest.fixture(scope="module")
-def model():
-    texts, labels = corpus(1200)
-    return toxicity.fit(pa.array(texts), labels, labels.mean())
+def model(spark):
+    return learn(spark, *corpus(1600))
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    draw = np.random.default_rng(4)
+    steps, batch, size = 7, 5, 6
+    slots = draw.integers(0, size + 1, (steps, batch, 3))
+    label = draw.integers(0, 2, (steps, batch))
+    weight = (np.arange(steps)[:, None] < np.array([7, 4, 1, 6, 7])[None, :]).astype(float)
+    theta = draw.normal(size=size + 5) * 0.7
+
+    def brute(x):
+        """Sums over all labellings of each stretch."""
+        total, emit = 0.0, np.append(x[:size], 0.0)
+        for k in range(batch):
+            n = int(weight[:, k].sum())
+            score = emit[slots[:n, k]].sum(axis=1) + x[size]
+            value = lambda y: sum(score[t] * y[t] for t in range(n)) + sum(x[size + 1 + 2 * y[t] + y[t + 1]] for t in range(n - 1))  # noqa: B023, E731
+            ways = [[m >> t & 1 for t in range(n)] for m in range(1 << n)]
+            total += value(label[:n, k].tolist()) - np.log(sum(np.exp(value(y)) for y in ways))
+        return total
+
+    got, gradient = toxicity.likelihood(theta, slots, label, weight)
+    assert got == pytest.approx(brute(theta), abs=1e-9)
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        assert gradient[i] == pytest.approx((brute(theta + step) - brute(theta - step)) / 2e-5, abs=1e-6)
 
 
 def test_held_out_accuracy(model):
