@@ -1,9 +1,12 @@
 """Mixing of sources by temperature, realised as permuted passes over each source.
 
-A source's weight is its share of the tokens to the power ``alpha``, normalised.  ``alpha`` is found by
-bisection: the largest one whose weights reach the target entropy, but none so small that
+A document's size is its number of token ids, with the end id, as the token files and the packing count it.
+A source's weight is its share of the tokens to the power ``alpha``, normalised.  ``alpha`` is found by narrowing the
+interval [0, 1] with a grid of exponents at a time, evaluated by one aggregation over the table of sources: the largest one
+whose weights reach the target entropy, but none so small that
 a source is read more often than ``max_passes``.  The budget is ``budget`` tokens or, by default, the
-least at which the largest source is read once whole, so that no document is lost.
+least at which the largest source is read once whole, so that no document is lost.  The table of sources stays in the
+cluster, however many there are; the driver holds a grid's sums.
 
 A source is then read in whole passes and one partial pass.  Each pass orders its documents by a hash
 of document and pass: first by block, then inside the block.  The partial pass takes whole blocks
@@ -13,73 +16,96 @@ may be read short of its target by less than that document's length.  A source o
 n documents has about sqrt(n) blocks of sqrt(n) documents, so neither the table of blocks nor
 a block is large, and no source is sorted in one task.
 
-Defined cases: a null source is a source of its own; a null text has no tokens and
-costs nothing; sources without a token are read once; rows with an equal ``doc_id`` and text are each
-read; an empty table gives no rows; other columns pass through.
+Defined cases: a null source is a source of its own; a null or empty text is its end id alone; a very long text is one document,
+encoded in parts; rows with an equal ``doc_id`` and text are each read, in the same pass and block; sources of equal size
+have equal weights; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.store import materialize
-from tessera.llm.words import BLANKS
+from tessera.llm.store import arrow_map, materialize
+from tessera.llm.tokens import default_tokenizer, encode_texts
 
 TARGET_ENTROPY = 0.95
 MAX_PASSES = 2.0
 SEED = 17
+#: Exponents evaluated at a time, and how often the interval is narrowed to a step of their grid.
+GRID, ROUNDS = 64, 5
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``passes[source]``: how often each source is read; ``weights[source]``: its share of the result."""
+    """``budget`` tokens, of which a source of t tokens has the share ``(t / top)**alpha / scale``."""
 
     alpha: float
     budget: float
-    weights: dict
-    passes: dict
-
-
-def temperature(tokens: dict, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: float | None = None) -> Mix:
-    """Bisect the exponent. ``target_entropy`` is a share of the greatest possible, log(sources)."""
-    live = {k: v for k, v in tokens.items() if v}
-
-    def at(alpha: float) -> Mix:
-        top = max(live.values())
-        raw = {k: (v / top) ** alpha for k, v in live.items()}
-        total = sum(raw.values())
-        weights = {k: v / total for k, v in raw.items()}
-        size = budget if budget is not None else max(live[k] / weights[k] for k in live)
-        return Mix(alpha, size, weights, {k: round(weights[k] * size / live[k], 9) for k in live})  # one pass is exactly one
-
-    def bisect(fails) -> float:
-        """The least exponent in [0, 1] that does not fail, where large ones do not."""
-        lo, hi = 0.0, 1.0
-        if not fails(at(lo)):
-            return lo
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if fails(at(mid)) else (lo, mid)
-        return hi
-
-    if not live:
-        return Mix(1.0, 0.0, {}, dict.fromkeys(tokens, 1.0))
-    goal = target_entropy * math.log(len(live)) if len(live) > 1 else 0.0
-    entropy = lambda m: -sum(w * math.log(w) for w in m.weights.values())
-    # Entropy falls as the exponent grows: the largest that still reaches the goal.
-    lo, hi = 0.0, 1.0
-    if entropy(at(1.0)) >= goal:
-        lo = 1.0
-    else:
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if entropy(at(mid)) >= goal else (lo, mid)
-    found = at(max(lo, bisect(lambda m: max(m.passes.values()) > max_passes * (1 + 1e-9))))
-    return Mix(found.alpha, found.budget, found.weights, {k: found.passes.get(k, 1.0) for k in tokens})
+    top: float
+    scale: float
+
+    def weight(self, tokens: Column) -> Column:
+        return F.pow(tokens / F.lit(self.top), F.lit(self.alpha)) / F.lit(self.scale)
+
+    def passes(self, tokens: Column) -> Column:
+        """How often a source is read; one pass is exactly one."""
+        return F.round(self.weight(tokens) * F.lit(self.budget) / tokens, 9)
+
+
+def temperature(totals: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: float | None = None) -> Mix:
+    """The mixture of the sources of ``totals``, a row of ``tokens`` each. ``target_entropy`` is a share of the greatest possible, log(sources)."""
+    tokens = F.col("tokens").cast("double")
+    ends = totals.agg(F.max(tokens).alias("top"), F.min(tokens).alias("low"), F.count(F.lit(1)).alias("n")).first()
+    top, low, n = ends["top"], ends["low"], ends["n"]
+    if not n:
+        return Mix(1.0, 0.0, 1.0, 1.0)
+    share = (tokens / F.lit(top)).alias("share")
+
+    def sums(alphas: list[float]) -> dict[float, tuple[float, float]]:
+        """By exponent: the sum of shares to it, and the sum of these by the shares' logarithms."""
+        grid = totals.select(share, F.explode(F.array(*[F.lit(a) for a in alphas])).alias("alpha")).withColumn("raw", F.pow("share", "alpha"))
+        rows = grid.groupBy("alpha").agg(F.sum("raw").alias("scale"), F.sum(F.col("raw") * F.log("share")).alias("slope")).collect()
+        return {r["alpha"]: (r["scale"], r["slope"]) for r in rows}
+
+    def size(scale: float) -> float:
+        return budget if budget is not None else top * scale  # the largest source once whole
+
+    def entropy_met(alpha: float, scale: float, slope: float) -> bool:
+        return math.log(scale) - alpha * slope / scale >= target_entropy * math.log(n) - 1e-12
+
+    def passes_met(alpha: float, scale: float, slope: float) -> bool:
+        """Of the smallest source, which is read most often."""
+        return (low / top) ** alpha / scale * size(scale) / low <= max_passes * (1 + 1e-9)
+
+    # Entropy falls as the exponent grows, and so do the passes of the smallest source.
+    high_end, low_end = [0.0, 1.0], [0.0, 1.0]
+    at = sums([0.0, 1.0])
+    if entropy_met(1.0, *at[1.0]):
+        high_end = [1.0, 1.0]
+    if passes_met(0.0, *at[0.0]):
+        low_end = [0.0, 0.0]
+    for _ in range(ROUNDS):
+        grids = [np.linspace(*x, GRID + 1).tolist() if x[0] < x[1] else [] for x in (high_end, low_end)]
+        if not any(grids):
+            break
+        at = sums(sorted({a for g in grids for a in g}))
+        if grids[0]:  # the last step that still reaches the goal
+            k = max((i for i, a in enumerate(grids[0]) if entropy_met(a, *at[a])), default=0)
+            high_end = [grids[0][k], grids[0][min(k + 1, GRID)]]
+        if grids[1]:  # the first step that is within the limit, or the last one
+            k = min((i for i, a in enumerate(grids[1]) if passes_met(a, *at[a])), default=GRID)
+            low_end = [grids[1][max(k - 1, 0)], grids[1][k]]
+    alpha = max(high_end[0], low_end[1])
+    scale = sums([alpha])[alpha][0]
+    return Mix(alpha, size(scale), top, scale)
 
 
 def _uniform(*parts: Column) -> Column:
@@ -87,28 +113,41 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+def counted_rows(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(row, s, h, n_tokens): the input's columns as one struct, its source, a hash of its text and its number of token ids."""
+    vocabulary, at = tokenizer or default_tokenizer(), docs.columns.index("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, _, sizes in encode_texts(batch.column(0).field(at).cast(pa.string()), vocabulary):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(sizes)], ["row", "s", "h", "n_tokens"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("s"), F.xxhash64(text).alias("h"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType())])
+    return materialize(arrow_map(rows, count, schema), "counted-texts")
+
+
 def mix_sources(
-    docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: float | None = None, seed: int = SEED
+    docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, budget: float | None = None, seed: int = SEED, tokenizer: str | None = None
 ) -> DataFrame:
     """One row per reading of a document: (row, n_tokens, epoch, block), the input's columns as one struct.
 
     ``block`` numbers blocks of the mixture, in each of which sources stand by their weights.
     """
-    spark = docs.sparkSession
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), BLANKS), lambda w: w != "")
-    counted = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("s"), F.size(words).cast("long").alias("n_tokens")
+    counted = counted_rows(docs, tokenizer)
+    totals = materialize(counted.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "mix-sources")
+    plan = temperature(totals, target_entropy, max_passes, budget)
+    n_blocks = max(1, math.isqrt(totals.agg(F.sum("n")).first()[0] or 0))
+    tokens = F.col("tokens").cast("double")
+    sources = totals.select(
+        F.col("s").alias("source"), plan.passes(tokens).alias("passes"), tokens.alias("tokens"), F.greatest(F.floor(F.sqrt("n")), F.lit(1)).cast("int").alias("blocks")
     )
-    totals = counted.groupBy("s").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # a row per source
-    plan = temperature({r["s"]: r["tokens"] for r in totals}, target_entropy, max_passes, budget)
-    n_blocks = max(1, math.isqrt(sum(r["n"] for r in totals)))
-    rows = [(r["s"], plan.passes[r["s"]], float(r["tokens"]), max(1, math.isqrt(r["n"]))) for r in totals]
-    sources = spark.createDataFrame(rows, "source string, passes double, tokens double, blocks int")
-    # One row per source, gathered above: their number bounds what is broadcast.
-    read = counted.join(F.broadcast(sources), counted["s"].eqNullSafe(sources["source"])).drop("s")
+    # Spark broadcasts the sources if they are few; else it splits the partition of a frequent one.
+    read = counted.join(sources, counted["s"].eqNullSafe(sources["source"])).drop("s")
     last = F.ceil("passes").cast("int") - 1
     read = read.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))))
-    read = read.withColumn("key", _uniform(F.lit(seed), F.col("epoch"), F.col("row.doc_id"), F.col("row.text")))
+    read = read.withColumn("key", _uniform(F.lit(seed), F.col("epoch"), F.col("row.doc_id"), F.col("h")))
     read = read.withColumn("part", F.floor(F.col("key") * F.col("blocks")).cast("int"))
     share = F.col("passes") - F.col("epoch")
     whole = read.filter(share >= 1)
