@@ -4,15 +4,15 @@ Texts longer than a sequence are cut into full pieces and a rest; nothing else i
 The number of pieces of each length is a histogram of at most ``capacity`` rows, whatever the
 corpus.  Over it the configuration program (fewest sequences such that every piece has a slot)
 is solved by multiplicative weights: lengths still in need of slots weigh more, and a knapsack
-by dynamic programming finds the most valuable configuration for the weights.  Whole multiples
-of the configurations are kept, and what rounding leaves is packed best-fit from the longest down.
-The rounds are fixed, so where lengths are many and pieces of each few, best-fit packs nearly all
+by dynamic programming finds the most valuable configuration for the weights, in whole sequences.  When the program
+finds no full configuration any more, or nearly all is placed, best-fit packs the rest from the longest down
 (measured shares are in the README).  Pieces take their slots by their rank among the
 pieces of the same length, which is counted per partition and summed, so no length is
 gathered in one task, however many pieces share it.
 
-Defined cases: a null text is empty and has the end id alone; rows with an equal ``doc_id``
-are packed separately; an empty table gives no rows; other columns are not read.
+Defined cases: a null text is empty and has the end id alone; a very long text is cut into as many pieces as it takes;
+rows with an equal ``doc_id`` are packed separately; pieces of equal length are alike and take slots in the order in which
+they were written; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,66 +71,118 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
     return arrow_map(texts, cut, PIECE_SCHEMA)
 
 
-def best_configuration(lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """Most valuable number of pieces of each length within ``capacity``: an unbounded knapsack by
-    dynamic programming over the capacity; then no more of a length than ``limits``."""
-    value = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    sizes, worth = lengths[order], weights[order]
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
+#: Cells of the capacity that the knapsack is solved on; lengths are rounded up to them, and what that leaves open is filled exactly.
+CELLS = 256
+#: The program goes on until so much of the tokens has a slot; best-fit packs the last ones.
+PLACED = 0.97
+
+
+def knapsack(lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+    """Most valuable number of pieces of each length within ``capacity``: an unbounded knapsack by dynamic programming over cells
+    of the capacity, each with the most valuable length that fills it; then no more of a length than ``limits``."""
+    width = -(-capacity // CELLS)
+    live = np.flatnonzero(limits > 0)
+    cell = -(-lengths[live] // width)
+    order = np.lexsort((-weights[live], cell))
+    sizes, first = np.unique(cell[order], return_index=True)
+    best = live[order[first]]
+    worth = weights[best]
+    keep = worth > np.concatenate([[-1.0], np.maximum.accumulate(worth)[:-1]])  # a longer piece must be worth more
+    sizes, best, worth = sizes[keep], best[keep], worth[keep]
+    rooms = capacity // width
+    value, choice = np.zeros(rooms + 1), np.full(rooms + 1, -1)
+    upto = np.searchsorted(sizes, np.arange(rooms + 1), "right")
+    for room in range(1, rooms + 1):
         k = upto[room]
         value[room] = value[room - 1]
         if k:
             gain = value[room - sizes[:k]] + worth[:k]
-            best = int(gain.argmax())
-            if gain[best] > value[room]:
-                value[room], choice[room] = gain[best], best
-    counts = np.zeros(len(lengths), np.int64)
-    room = capacity
+            top = gain.argmax()
+            if gain[top] > value[room]:
+                value[room], choice[room] = gain[top], top
+    counts, room = np.zeros(len(lengths), np.int64), rooms
     while room > 0:
         if choice[room] < 0:
             room -= 1
             continue
-        counts[order[choice[room]]] += 1
-        room -= sizes[choice[room]]
-    counts = np.minimum(counts, limits)
-    # Room that the limits free goes to the longest pieces that fit and are left.
+        i = best[choice[room]]
+        if counts[i] < limits[i]:
+            counts[i] += 1
+        room -= int(sizes[choice[room]])
+    return counts
+
+
+def best_configuration(lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack's configuration, filled up: its two shortest pieces give way to the one or two most valuable ones that leave
+    no room, if there are any."""
+    counts = knapsack(lengths, weights, limits, capacity)
+    pieces = np.sort(np.repeat(np.arange(len(lengths)), counts))[::-1]
     room = capacity - int(counts @ lengths)
-    for i in order[::-1]:
-        if lengths[i] <= room and counts[i] < limits[i]:
-            more = min(room // int(lengths[i]), int(limits[i] - counts[i]))
-            counts[i] += more
-            room -= more * int(lengths[i])
+    for drop in pieces[-2:][::-1] if room else ():
+        counts[drop] -= 1
+        room += int(lengths[drop])
+    if room:
+        counts = _fill(counts, room, lengths, weights, limits, capacity)
+    return counts
+
+
+def _fill(counts: np.ndarray, room: int, lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
+    """``counts`` with the one or two most valuable pieces more that leave no room, or else with the longest ones that fit."""
+    left = limits - counts
+    number, value = np.full(room + 1, -1), np.full(room + 1, -np.inf)
+    fit = np.flatnonzero((left > 0) & (lengths <= room))
+    number[lengths[fit]], value[lengths[fit]] = fit, weights[fit]
+    value[0] = 0.0
+    both = value + value[::-1]
+    if room % 2 == 0 and number[room // 2] >= 0 and left[number[room // 2]] < 2:
+        both[room // 2] = -np.inf
+    top = int(both.argmax())
+    if np.isfinite(both[top]):
+        for size in (top, room - top):
+            if size:
+                counts[number[size]] += 1
+        return counts
+    for i in fit[np.argsort(-lengths[fit])]:
+        more = min(room // int(lengths[i]), int(left[i]))
+        counts[i] += more
+        room -= more * int(lengths[i])
     return counts
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 240, eta: float = 8.0) -> list[tuple[np.ndarray, int]]:
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: float = 8.0) -> list[tuple[np.ndarray, int]]:
     """Configurations and how many sequences use each; together they hold every piece exactly once.
 
     Multiplicative weights over the covering constraints of the configuration program: a length
-    is worth its share of a sequence times ``exp(-eta * share of its pieces that have a slot)``, each round
-    adds the configuration that is worth most, and the fractional solution is scaled until no
-    length has more slots than pieces.  Whole multiples stay; the rest is packed best-fit.
+    is worth its share of a sequence times ``exp(-eta * share of its pieces that have a slot)``, and each round
+    adds the configuration that is worth most, for a quarter of what its scarcest length needs, rounded down to whole sequences
+    or up to one.  No length gets more slots than pieces.  The rounds end when ``PLACED`` of all tokens have slots, or no
+    configuration is full any more; the rest is packed best-fit.  Where lengths are few the program may use up the pieces
+    that best-fit needs for the last room, so its last rounds are taken back by quarters as long as that saves sequences.
     """
-    share, covered = lengths / capacity, np.zeros(len(lengths))
-    found: dict[bytes, list] = {}
-    for _ in range(rounds if len(lengths) else 0):
-        weights = share * np.exp(-eta * (covered - covered.min()))
-        config = best_configuration(lengths, weights, counts, capacity)
+    share, left = lengths / capacity, counts.astype(np.int64).copy()
+    found: list[tuple[np.ndarray, int]] = []
+    goal = (1 - PLACED) * float(counts @ lengths)
+    while len(lengths) and left @ lengths > goal:
+        covered = 1 - left / counts
+        config = best_configuration(lengths, share * np.exp(-eta * (covered - covered.min())), left, capacity)
         used = np.flatnonzero(config)
-        step = float((counts[used] / config[used]).min()) / 4
-        found.setdefault(config.tobytes(), [config, 0.0])[1] += step
-        covered[used] += config[used] * step / counts[used]
-    scale = 1 / max(1.0, covered.max(initial=0.0))
-    out, left = [], counts.astype(np.int64).copy()
-    for config, amount in found.values():
-        if times := int(amount * scale):
-            out.append((config, times))
-            left -= config * times
-    out.extend(best_fit(lengths, left, capacity))
-    return out
+        if config @ lengths < capacity:
+            break
+        times = max(1, int((left[used] // config[used]).min()) // 4)
+        found.append((config, times))
+        left -= config * times
+    best = None
+    for quarters in range(4, -1, -1):
+        part = found[: len(found) * quarters // 4]
+        rest = counts - sum((config * times for config, times in part), np.zeros(len(lengths), np.int64))
+        packed = part + best_fit(lengths, rest, capacity)
+        used = sum(times for _, times in packed)
+        if best is None or used < best[0]:
+            best = used, packed
+    merged: dict[bytes, list] = {}
+    for config, times in best[1]:
+        merged.setdefault(config.tobytes(), [config, 0])[1] += times
+    return [(config, times) for config, times in merged.values()]
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
