@@ -13,7 +13,8 @@ measured on random pairs, and as many independent codes are used as the target r
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component link with nothing
 and are components of their own; vectors of different length do not link; equal vectors are
 found without filters and each other's links; rows with the same ``vec_id`` count as different vectors;
-a null ``vec_id`` is named by the others of its component; other columns are not read.
+a null ``vec_id`` is named by the others of its component; very long vectors are compared whole; an empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -230,3 +231,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op6_vector_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``embeddings`` at a cosine of 0.95 or more."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS root FROM vectors UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.vec_id),
+named AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = n.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM named n
+"""

@@ -18,5 +18,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op3_line_dedup": lines.ORACLE_SQL,
+    "op4_jaccard_join": jaccard.ORACLE_SQL,
+    "op6_vector_caps": caps.ORACLE_SQL,
     "op9_substring_dedup": substring.ORACLE_SQL,
 }

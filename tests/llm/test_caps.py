@@ -100,3 +100,25 @@ def test_recall_at_other_sizes():
 
 def test_query(spark, sf):
     assert caps.op6_vector_caps(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_columns_of_the_operator_s_own_names_are_not_read(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [1.0, 0.1 * i]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    more = df.select("*", *[F.lit("own").alias(n) for n in ("k1", "k2", "n", "caps", "cap", "dim", "rep", "component", "n_links", "kept", "side", "lo")])
+    assert sorted(map(tuple, caps.near_vectors(more).collect())) == sorted(map(tuple, caps.near_vectors(df).collect()))
+
+
+def test_sql_says_the_same(spark, sf, tmp_path):
+    import duckdb
+
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal(size=16) + 0.2 * draw.normal(size=(30, 16)) for _ in range(8)])
+    spark.createDataFrame(list(enumerate(x.astype(np.float32).tolist())), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for folder, files in ((sf, f"{sf}/embeddings.parquet"), (str(tmp_path), f"{tmp_path}/embeddings.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{files}'")
+        df = caps.op6_vector_caps(spark, folder)
+        assert {tuple(r) for r in df.collect()} == set(con.execute(caps.ORACLE_SQL).df()[df.columns].itertuples(index=False, name=None))
