@@ -9,8 +9,9 @@ others go.
 
 Defined cases: a null or empty text has no lines and stays as it is; a line without a word is never
 removed; lines are compared without the blanks at their ends; a null site counts for no site;
-rows with an equal ``doc_id`` count as one document and are edited alike; a null ``doc_id`` is a
-document of its own; other columns pass through unchanged.
+rows with an equal ``doc_id``, or without one, count as one document whose first occurrences all stay; each text is
+edited by itself, so that its lines alone meet in one task; a very long text is as many lines as it has;
+an empty table gives no rows; other columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ def _lines(text: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, site: str) -> DataFrame:
-    """(h1, h2, doc, line_no, site) of each line that has a word."""
-    rows = docs.select(F.col("doc_id").alias("doc"), F.col(site).cast("string").alias("site"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
+    """(h1, h2, doc, text_key, line_no, site) of each line that has a word."""
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_key"), F.col(site).cast("string").alias("site"), F.posexplode(_lines(F.col("text"))).alias("line_no", "line"))
     bare = F.trim(F.col("line"), F.lit(_ENDS))
-    rows = rows.select("doc", "site", "line_no", bare.alias("line")).filter(F.length("line") > 0)
-    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "doc", "line_no", "site")
+    rows = rows.select("doc", "text_key", "site", "line_no", bare.alias("line")).filter(F.length("line") > 0)
+    return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "doc", "text_key", "line_no", "site")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
@@ -66,11 +67,11 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "s
         _occurrences(docs, site)
         .join(spread, ["h1", "h2"])
         .filter(~F.struct(F.col("doc"), F.col("line_no")).eqNullSafe(F.col("first")))
-        .groupBy("doc")
+        .groupBy("doc", "text_key")
         .agg(F.collect_set(F.struct("line_no", "h1")).alias("gone"))
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    joined = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), F.col("text").alias("text"))
+    joined = rows.join(gone, rows["id"].eqNullSafe(gone["doc"]) & (rows["key"] == gone["text_key"]), "left")
     lines = _lines(F.col("text"))
     kept = F.filter(
         F.transform(lines, lambda line, i: F.struct(i.alias("line_no"), F.xxhash64(F.trim(line, F.lit(_ENDS))).alias("h1"), line.alias("line"))),
