@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return
 the columns of ``documents``.  :func:`run` writes each stage's result as Parquet in the shared folder and
 reads it back, so a lost executor costs no more than the stage it was in.
+
+Defined cases, beyond those that each operator's module states: a null or empty text fails the quality rules and goes; nulls in
+other columns pass through, a null ``source`` being a source of its own and a null ``doc_id`` a document like others; a very long
+text is judged, compared and encoded whole and cut into pieces of 4096 tokens by the last stage alone; of repeated rows one stays
+after the Jaccard join; of tied documents the least ``doc_id`` stays; an empty table gives no pieces; further columns, whatever their names,
+pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from tessera.llm.store import materialize
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every reading with their places in sequences of 4096 tokens."""
+    """Pieces of every reading with their places in sequences of 4096 tokens; a document that is read twice is packed twice."""
     return pack_documents(docs.select("doc_id", "text"))
 
 

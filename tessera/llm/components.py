@@ -2,7 +2,10 @@
 
 Each round sends every vertex to the least of itself and its neighbours, rewrites the edges by
 that map and drops those that became loops.  Maps and edges are tables in the shared folder;
-nothing is gathered on the driver.
+nothing is gathered on the driver, and tables that no later round reads are deleted.
+
+Defined cases: loops, repeated and reversed edges are allowed; edges with a null end are ignored; without edges there
+are no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import materialize
+from tessera.llm.store import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,12 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
         step = materialize(ends.groupBy("vertex").agg(F.min("other").alias("m")).select("vertex", F.least("vertex", "m").alias("parent")), "parents")
         to_a = step.select(F.col("vertex").alias("a"), F.col("parent").alias("pa"))
         to_b = step.select(F.col("vertex").alias("b"), F.col("parent").alias("pb"))
-        rest = materialize(_distinct(rest.join(to_a, "a").join(to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
+        done, rest = rest, materialize(_distinct(rest.join(to_a, "a").join(to_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges")
         if found is None:
             found = step.withColumnRenamed("parent", "component")
         else:
             moved = step.select(F.col("vertex").alias("component"), F.col("parent"))
-            found = materialize(found.join(moved, "component", "left").select("vertex", F.coalesce("parent", "component").alias("component")), "components")
+            before, found = found, materialize(found.join(moved, "component", "left").select("vertex", F.coalesce("parent", "component").alias("component")), "components")
+            discard(before)
+            discard(step)
+        discard(done)
     if found is None:
         found = edges.sparkSession.createDataFrame([], "vertex long, component long")
     return found

@@ -5,7 +5,8 @@ function, join or shuffle, so the plan is a scan and a projection.
 
 Defined cases: a null text has no words and fails the base rule; a ratio over no words or
 lines is null and its rule then passes (the base rule has already rejected the row);
-repeated rows are judged alike; other columns of the input are kept as they are, whatever their names:
+a figure that equals its threshold passes; a very long text is judged whole; repeated rows are judged alike; an empty table gives
+no rows; other columns of the input are kept as they are, whatever their names:
 the figures are one struct, and :func:`keep_good` has the rest of a row in another meanwhile.
 """
 

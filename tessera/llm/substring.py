@@ -14,9 +14,10 @@ Texts equal to an earlier one as a whole need none of this: all their windows st
 Aggregations combine per task, so a passage that a third of all documents share moves as one row
 per task; the joins back to positions are plain equi-joins that Spark splits where a key is hot.
 
-Defined cases: a null text has no words; a text of fewer than ``WINDOW`` words has no window and stays;
+Defined cases: a null text has no words; a text of fewer than ``WINDOW`` words has no window and stays; a very long text has all its windows compared;
 rows with the same ``doc_id`` are not smaller than each other and keep what they share; a null
-``doc_id`` is neither smaller nor greater than any and stays whole; other columns are not read.
+``doc_id`` is neither smaller nor greater than any and stays whole; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations

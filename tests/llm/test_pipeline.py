@@ -1,8 +1,11 @@
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
 
 import corpus_pipeline
+import pytest
 from tests_llm_help import near_brute  # noqa: I001
 
 from pyspark.sql import functions as F
@@ -37,13 +40,13 @@ def test_messy_rows_pass_every_stage(spark, messy, empty, sf):
         corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
 
 
-def test_the_rest_works_without_these_folders(tmp_path):
-    import shutil
-
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_works_without_these_folders(tmp_path, gone):
     copy = tmp_path / "repo"
-    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".*"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=120)
+    shutil.copytree(REPO, copy, ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__", ".*"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=clean, check=True, timeout=120)
 
 
 def test_nothing_else_imports_this_subpackage():
