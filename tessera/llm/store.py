@@ -19,9 +19,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master (tests) and an error on a cluster,
+    whose executors would not see the driver's folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -38,7 +41,7 @@ def _sweep() -> None:
         try:
             _remove(spark, path)
         except Exception:  # the session may be gone; the folder's own cleaner takes the rest
-            return
+            continue
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -62,8 +65,10 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later step reads."""
-    for name in {os.path.dirname(f) for f in df.inputFiles()}:
+    found = {os.path.dirname(f) for f in df.inputFiles()}
+    for name in found:
         _remove(df.sparkSession, name)
+    _made[:] = [(spark, path) for spark, path in _made if not any(f.endswith(path.rpartition("/")[2]) for f in found)]
 
 
 def local_path(uri: str) -> str | None:
@@ -113,11 +118,18 @@ def fetch(uri: str) -> str:
 
 
 _shipped: set[str] = set()
+_BATCH_SETTING, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` after this package has been sent to the executors, once per application."""
-    context = df.sparkSession.sparkContext
+    """``df.mapInArrow`` after this package has been sent to the executors, once per application.
+
+    Batches are counted in rows first, and texts can be long: where the session sets no limit in bytes,
+    one is set, so that a batch takes 8 MB and a row, in the executor and in its Python worker.
+    """
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
     if context.applicationId not in _shipped:
         import zipfile
         from pathlib import Path
