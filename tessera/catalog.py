@@ -47,6 +47,10 @@ class Catalog:
             if version > self.version:
                 self.version, self.content = version, {"datasets": {}, "views": {}} | content
 
+    def at(self, version: int) -> dict:
+        """What the catalog held at a version."""
+        return {"datasets": {}, "views": {}} | self.file.at(version)
+
     def draft(self, writes: str | None = None) -> dict:
         if writes in self.external:
             raise QueryError(f"dataset {writes} is a registered table and cannot be written")

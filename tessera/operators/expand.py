@@ -17,12 +17,13 @@ def follow(source: DataFrame, field: str, target: DataFrame, on: str) -> DataFra
     """Records of ``target`` whose ``on`` is a value of ``field`` in ``source``; each record once.
 
     A left semi join: the distinct values of the source are its build side, and Spark chooses by
-    their size at run time whether they are broadcast or shuffled.
+    their size at run time whether they are broadcast or shuffled.  A link field holds the ids of all its targets.
     """
     a, b = resolve(source.schema, field), resolve(target.schema, on)
     if a is None or b is None or kind_of_type(a[1]) != kind_of_type(b[1]):
         return target.limit(0)
-    wanted = source.select(a[0].alias("_wanted")).filter(F.col("_wanted").isNotNull()).distinct()
+    value = F.explode(F.split(a[0], ",")) if field.startswith("_link_") else a[0]
+    wanted = source.select(value.alias("_wanted")).filter(F.col("_wanted").isNotNull()).distinct()
     return target.join(wanted, b[0] == F.col("_wanted"), "left_semi")
 
 
@@ -34,7 +35,8 @@ def pull(roots: DataFrame, base: DataFrame, keys: list[str], only: str | None =
     wanted = roots.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).filter(F.col("_k0").isNotNull()).distinct()
     same = F.lit(True)
     for i, key in enumerate(keys):
-        same = same & (base[f"`{key}`"].eqNullSafe(wanted[f"_k{i}"]) if i else base[f"`{key}`"] == wanted["_k0"])
+        # The bucket is never null, and plain equality lets Spark read only the wanted buckets.
+        same = same & (base[f"`{key}`"].eqNullSafe(wanted[f"_k{i}"]) if i and key != "_bucket" else base[f"`{key}`"] == wanted[f"_k{i}"])
     out = base.join(wanted, same, "left_semi")
     return only_type(out, only)
 
@@ -57,11 +59,14 @@ def linked_ids(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen.distinct()
 
 
-def fetch(sections: list[tuple[str, DataFrame]]) -> DataFrame:
-    """One envelope row; each field is the list of a dataset's matching records."""
+def fetch(sections: list[tuple[str, DataFrame]], most: int) -> DataFrame:
+    """One envelope row; each field is the list of a dataset's matching records. More than ``most`` in one list is an error."""
     out = None
     for name, df in sections:
-        row = df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(name))
+        held = F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        row = df.limit(most + 1).agg(held.alias("held"), F.count(F.lit(1)).alias("n"))
+        message = F.lit(f"FETCH: section {name} has more than {most} records; use SCAN")
+        row = row.select(F.when(F.col("n") > most, F.raise_error(message).cast(row.schema["held"].dataType)).otherwise(F.col("held")).alias(name))
         # Each side is one aggregated row, so the product is one row.
         out = row if out is None else out.crossJoin(row)
     if out is None:

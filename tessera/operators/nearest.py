@@ -27,7 +27,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def score(vector: Column, query: Column, metric: str) -> Column:
-    """Greater is nearer; l2 is the negative distance. Null where the vector is unusable."""
+    """Greater is nearer; l2 is the negative distance. Null where the vector is unusable: null or not finite in a component, or of another length."""
     if metric == "dot":
         value = _dot(vector, query)
     elif metric == "l2":
@@ -36,7 +36,9 @@ def score(vector: Column, query: Column, metric: str) -> Column:
     else:
         norms = F.sqrt(_dot(vector, vector)) * F.sqrt(_dot(query, query))
         value = F.when(norms > 0, _dot(vector, query) / norms)
-    return F.when((F.size(vector) == F.size(query)) & F.forall(vector, lambda x: x.isNotNull()), value)
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    # Huge components can still overflow to a value that is none.
+    return F.when((F.size(vector) == F.size(query)) & finite, F.nanvl(value, F.lit(None).cast("double")))
 
 
 def _vector(df: DataFrame, field: str) -> Column:

@@ -5,8 +5,8 @@
     session.run('SCAN "credits" | GROUP BY rfc | AGGREGATE sum(amount) AS total').df.show()
     session.scan("credits").where("amount > 5").group_by("rfc").aggregate("sum(amount) AS total").df()
 
-Every read is a lazy DataFrame.  Reads through the language that return records are capped as
-``DEFAULT_LIMIT`` and ``HARD_LIMIT`` say; the fluent form is not.
+Every read is a lazy DataFrame.  A SCAN through the language that ends in records and has no limit of its own gives
+``DEFAULT_LIMIT`` of them at most and says in ``has_more`` whether there are more; the fluent form is not capped.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from __future__ import annotations
 import copy
 import time
 import uuid
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +51,21 @@ class Result:
     cursor: str | None = None
     has_more: bool = False
     budget_stop: None = None  # a batch plan is never cut by time
+    note: Callable[[float], None] | None = None  # is told how long the query took
 
     def rows(self) -> list[dict]:
-        return [r.asDict(recursive=True) for r in self.df.collect()] if self.df is not None else []
+        if self.df is None:
+            return []
+        started = time.perf_counter()
+        found = [r.asDict(recursive=True) for r in self.df.collect()]
+        if self.note is not None:
+            self.note(time.perf_counter() - started)
+        return found
+
+
+def _mean_ms(hits: list[list]) -> float | None:
+    timed = [seconds for _, seconds in hits if seconds is not None]
+    return sum(timed) / len(timed) * 1000 if timed else None
 
 
 def _check_names(names: set[str]) -> None:
@@ -81,8 +95,10 @@ class Session:
         self.read_only, self.strict, self.clock = read_only, strict_types, clock
         self.bulk = False
         self.cached: dict[str, DataFrame] = {}
-        self.patterns: dict[tuple, list[tuple[float, float]]] = {}
+        self.patterns: dict[tuple, list[list]] = {}  # by pattern: when it was asked, and the seconds that it ran, once known
         self.latest: dict[tuple, Any] = {}
+        self._keep: dict[str, DataFrame | None] = {}
+        self.used: dict[str, list[float]] = {}  # by adopted view: when it answered
         self.routed: deque[str] = deque(maxlen=100)
 
     # --- registered tables ---
@@ -125,10 +141,11 @@ class Session:
         external = self.catalog.external.get(name)
         return external.unique if external else tuple(self.catalog.entry(name)["anchors"])
 
-    def filtered(self, name: str, where: Any) -> DataFrame:
-        df = self.dataset(name)
+    def filtered(self, name: str, where: Any, entry: dict | None = None) -> DataFrame:
+        """Matching records, of the current version or of the one that ``entry`` is from."""
+        df = managed.read(self.spark, entry) if entry is not None else self.dataset(name)
         condition = Predicates(df.schema, self.strict).compile(where)
-        bucket = self._bucket_filter(name, df, where)
+        bucket = self._bucket_filter(name, df, where, entry)
         if bucket is not None:
             df = df.filter(bucket)
         return df.filter(condition) if where is not None else df
@@ -136,21 +153,25 @@ class Session:
     def _pinned(self, where: Any) -> dict[str, Any]:
         return {c.path: c.value for c in forms.conjuncts(where) if isinstance(c, t.Leaf) and c.op == "=" and c.value is not None}
 
-    def _bucket_filter(self, name: str, df: DataFrame, where: Any) -> Column | None:
-        """A test of the partition column that follows from equality on every field of the cluster key."""
-        if name in self.catalog.external or name in self.cached:
+    def _bucket_filter(self, name: str, df: DataFrame, where: Any, entry: dict | None = None) -> Column | None:
+        """A test of the partition column that follows from equality on every field of the cluster key.
+
+        Records that were placed with a parent stand in its bucket, whatever their own key; the catalog lists those buckets.
+        """
+        if entry is None and (name in self.catalog.external or name in self.cached):
             return None
-        entry = self.catalog.entry(name)
+        entry = entry or self.catalog.entry(name)
         spec = managed.gravity_of(entry)
         pinned = self._pinned(where)
-        if spec is None or entry["rooted"] or not all(f in pinned for f in spec.fields):
+        if spec is None or not all(f in pinned for f in spec.fields):
             return None
 
         def of(field: str) -> Column:
             found = resolve(df.schema, field)
             return literal(pinned[field], found[1]).cast(found[1]) if found else F.lit(None)
 
-        return F.col("_bucket") == bucket_of(cluster_key(spec, of), entry["buckets"])
+        bucket = bucket_of(cluster_key(spec, of), entry["buckets"])
+        return F.col("_bucket").isin(bucket, *entry["rooted"]) if entry["rooted"] else F.col("_bucket") == bucket
 
     # --- statements ---
 
@@ -163,13 +184,15 @@ class Session:
         if isinstance(tree, t.Batch):
             # Declarations and writes come first, then COMPACT, then views: views see all that was written.
             rank = lambda s: 2 if isinstance(s, t.CreateView) else 1 if isinstance(s, t.Admin) and s.what == "compact" else 0
-            results = [self.run(s) for s in sorted(tree.statements, key=rank)]
+            ordered = sorted(tree.statements, key=rank)
+            with self._shared_scans(ordered):
+                results = [self.run(s) for s in ordered]
             return Result("ok", results[-1].df, [r.info for r in results])
         if isinstance(tree, t.Pipeline):
             return self._pipeline(tree)
         if isinstance(tree, t.Fetch):
             sections = [(n, self._visible(self.filtered(d, tree.where))) for n, d in zip(tree.names or tree.datasets, tree.datasets, strict=True)]
-            return Result("records", expand.fetch(sections))
+            return Result("records", expand.fetch(sections, HARD_LIMIT))
         handlers = {
             t.Put: self._put, t.SetWhere: self._set_where, t.DeleteWhere: self._delete_where, t.Link: self._link, t.Declare: self._declare,
             t.Show: self._show, t.Admin: self._admin, t.CreateView: self._create_view, t.ViewAction: self._view_action,
@@ -187,7 +210,6 @@ class Session:
         paged = self._paged(first, steps)
         if paged is not None:
             return paged
-        started = time.perf_counter()
         flow, steps = self._start(first, steps)
         for step in steps:
             if isinstance(step, (t.SetStep, t.DeleteStep)):
@@ -198,12 +220,11 @@ class Session:
                     return self._change(flow.dataset, None, dict(step.values), lids)
                 return self._remove(flow.dataset, None, lids)
             flow = self._step(flow, step)
-        if isinstance(first, t.Scan) and flow.dataset:
-            self._note(first, time.perf_counter() - started)
-        if flow.kind == "records" and not flow.limited and isinstance(first, (t.Scan, t.ScanView)) and not steps:
-            return self._capped(flow, first)
+        note = self._note(first) if isinstance(first, t.Scan) else None
+        if flow.kind == "records" and not flow.limited and isinstance(first, (t.Scan, t.ScanView)):
+            return self._capped(flow, first, pipe.steps[1:], note)
         df = self._visible(flow.df) if flow.kind == "records" else flow.df
-        return Result(flow.kind, df)
+        return Result(flow.kind, df, note=note)
 
     def _check_order(self, steps: tuple) -> None:
         for i, step in enumerate(steps[1:], 1):
@@ -293,7 +314,7 @@ class Session:
             if external.cluster is None:
                 raise QueryError("PULL needs a cluster key; register the table with cluster=")
             return expand.pull(flow.df, base, list(external.cluster.fields), step.only)
-        out = expand.pull(flow.df, base, ["_key"])
+        out = expand.pull(flow.df, base, ["_key", "_bucket"])
         links = [c for c in base.columns if c.startswith("_link_")]
         if step.depth > 1 and links:
             edges = None
@@ -308,10 +329,20 @@ class Session:
     def _visible(self, df: DataFrame) -> DataFrame:
         return df.drop(*_HIDDEN, nearest.SCORE)
 
-    def _capped(self, flow: _Flow, first: Any) -> Result:
-        """Records without a limit of their own: the default cap. Whether more are there is for the reader to ask by a cursor."""
-        df = self._visible(flow.df).limit(DEFAULT_LIMIT)
-        return Result("records", df)
+    def _capped(self, flow: _Flow, first: Any, steps: tuple, note: Callable[[float], None] | None) -> Result:
+        """Final records without a limit of their own: all of them up to the default cap, else a first part that says that there
+        are more.  A plain SCAN's is a page with a cursor; other forms have no position to go on from."""
+        started = time.perf_counter()
+        more = flow.df.limit(DEFAULT_LIMIT + 1).count() > DEFAULT_LIMIT
+        if note is not None:
+            note(time.perf_counter() - started)
+        if not more:
+            return Result("records", self._visible(flow.df))
+        if isinstance(first, t.Scan) and not steps:
+            rows, ids = paging.page(flow.df, self.id_field(first.dataset, flow.df), DEFAULT_LIMIT, None)
+            token = paging.Cursor(first.dataset, self.catalog.version, forms.fingerprint(first.where), ids[DEFAULT_LIMIT - 1]).token()
+            return Result("page", self._visible(rows), cursor=token, has_more=True)
+        return Result("records", self._visible(flow.df).limit(DEFAULT_LIMIT), has_more=True)
 
     def _paged(self, first: Any, steps: tuple) -> Result | None:
         cursor = getattr(first, "cursor", None)
@@ -330,7 +361,10 @@ class Session:
         if limit > HARD_LIMIT:
             raise QueryError(f"LIMIT is at most {HARD_LIMIT}; read further with CURSOR")
         token = paging.read_token(cursor, first.dataset, first.where) if cursor is not None else None
-        df = self.filtered(first.dataset, first.where)
+        entry = None
+        if token and first.dataset in self.catalog.content["datasets"] and token.snapshot != self.catalog.version:
+            entry = self.catalog.at(token.snapshot)["datasets"][first.dataset]  # later writes are not seen between pages
+        df = self.filtered(first.dataset, first.where, entry)
         key = self.id_field(first.dataset, df)
         rows, ids = paging.page(df, key, limit, token.last if token else None)
         more = len(ids) > limit
@@ -346,8 +380,12 @@ class Session:
         return {n: (views.decode(e["definition"]), e) for n, e in sorted((content or self.catalog.content)["views"].items())}
 
     def _route(self, scan: t.Scan, steps: tuple) -> tuple[_Flow, tuple] | None:
-        """A fresh view that answers SCAN [GROUP BY] AGGREGATE exactly: most conditions first, then name."""
-        if scan.limit is not None or scan.order or scan.cursor or scan.dataset in self.catalog.external or not self.catalog.has(scan.dataset):
+        """A fresh view that answers SCAN [GROUP BY] AGGREGATE, or holds all records that it asks for: most conditions first, then name."""
+        if scan.cursor or scan.dataset in self.catalog.external or not self.catalog.has(scan.dataset):
+            return None
+        if not any(isinstance(s, t.Aggregate) for s in steps):
+            return self._route_records(scan, steps)
+        if scan.limit is not None or scan.order:
             return None
         group = steps[0].fields if steps and isinstance(steps[0], t.GroupBy) else ()
         rest = steps[1:] if group else steps
@@ -365,20 +403,49 @@ class Session:
         if best is None:
             return None
         name, view, entry, left = best
-        self.routed.append(name)
+        self._routed(name)
         state = views.read_state(self.spark, view, entry)
+        if not left and len(rest) > 1 and isinstance(rest[1], t.Take) and rest[1].by:
+            by = next((m.canonical for m in rest[0].metrics if rest[1].by in (m.label, m.canonical)), None)
+            state = views.first_groups(view, entry, state, t.Take(rest[1].n, by, rest[1].descending))
         groups = views.state_metrics(view, state, rest[0].metrics)
         for c in left:
             column = F.col(f"`{c.path}`")
             groups = groups.filter(column == literal(c.value, groups.schema[c.path].dataType))
         return _Flow(groups, None, group=group, metrics=rest[0].metrics, kind="groups" if group else "aggregation", limited=True), rest[1:]
 
+    def _routed(self, name: str) -> None:
+        self.routed.append(name)
+        self.used.setdefault(name, []).append(self.clock())
+
+    def _route_records(self, scan: t.Scan, steps: tuple) -> tuple[_Flow, tuple] | None:
+        """A fresh view of whole records that the scan can be read from, unless its key leads to one record or bucket anyway."""
+        pinned, spec = self._pinned(scan.where), self.cluster(scan.dataset)
+        if any(f in pinned for f in self.unique_fields(scan.dataset)) or (spec is not None and all(f in pinned for f in spec.fields)):
+            return None
+        if any(isinstance(s, (t.SetStep, t.DeleteStep)) for s in steps) or scan.dataset in self.cached:
+            return None
+        found = [(view, name, entry) for name, (view, entry) in self._views().items() if not entry["stale"] and views.answers_records(view, scan)]
+        if not found:
+            return None
+        view, name, entry = min(found, key=lambda x: (-views.specificity(x[0]), x[0].order != scan.order, x[1]))
+        self._routed(name)
+        df = managed.conform(views.read_state(self.spark, view, entry), managed.schema_of(self.catalog.entry(scan.dataset)))
+        df = df.filter(Predicates(df.schema, self.strict).compile(scan.where)) if scan.where is not None else df
+        if scan.order:
+            df = self._ordered(df, scan.dataset, scan.order, scan.descending).limit(scan.limit)
+        elif scan.limit is not None:
+            df = df.limit(scan.limit)
+        return _Flow(df, scan.dataset, scan.where, limited=scan.limit is not None, plain_scan=True), steps
+
     def _scan_view(self, step: t.ScanView) -> _Flow:
         if step.view not in self.catalog.content["views"]:
             raise QueryError(f"view {step.view} not found")
         view, entry = self._views()[step.view]
         state = views.read_state(self.spark, view, entry)
         if views.is_aggregate(view):
+            if step.where is None and step.limit is not None and views.order_metric(view):
+                state = views.first_groups(view, entry, state, t.Take(step.limit, views.order_metric(view).label, view.descending))
             df = views.state_metrics(view, state, view.metrics)
             allowed, dataset = set(df.columns), None
         else:
@@ -410,25 +477,31 @@ class Session:
                 content["views"][view_name] = {**entry, "stale": True}
             elif not entry["stale"]:
                 content["views"][view_name] = self._maintain(content, view_name, view, entry, came, left)
+        content["datasets"][name] = managed.merge_tail(self.spark, self.root, name, content["datasets"][name])
         self.catalog.commit(content)
         if name in self.cached:  # what is cached follows the write
             self.cached.pop(name).unpersist()
             self.cached[name] = managed.read(self.spark, content["datasets"][name]).persist()
 
-    def _new_part(self, df: DataFrame, name: str, gone: bool = False) -> dict:
+    def _new_part(self, df: DataFrame, name: str, view: t.CreateView | None = None, gone: bool = False, merged: bool = False) -> dict:
+        """Write rows of a view. Covering rows stand in the view's order, and so do the groups of a ``merged`` state."""
         path = f"{self.root}/views/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return {"path": path, "gone": gone}
+        part = {"path": path, "gone": gone}
+        if merged and views.order_metric(view):
+            views.with_metric(view, df).write.parquet(path)
+            return part | {"ranks": views.rank_values(view, self.spark.read.parquet(path))}
+        (views.in_order(view, df) if view is not None and not gone and not views.is_aggregate(view) else df).write.parquet(path)
+        return part
 
     def _maintain(self, content: dict, name: str, view: t.CreateView, entry: dict, came: DataFrame | None, left: DataFrame | None) -> dict:
         parts = list(entry["parts"])
         if not views.is_aggregate(view):
             matches = lambda df: df.filter(Predicates(df.schema).compile(view.where))
             if left is not None:
-                parts.append(self._new_part(matches(left).select("_lid"), name, gone=True))
+                parts.append(self._new_part(matches(left).select("_lid"), name, view, gone=True))
             if came is not None:
                 fields = views.covering_fields(view, content["datasets"][view.dataset]["pins"], came.columns)
-                parts.append(self._new_part(matches(came).select(*fields), name))
+                parts.append(self._new_part(matches(came).select(*[F.col(f"`{c}`") for c in fields]), name, view))
         elif left is not None and views.has_extremes(view):
             # Extremes of the groups that lost a row are computed anew; other groups keep theirs.
             base = managed.read(self.spark, content["datasets"][view.dataset])
@@ -447,17 +520,17 @@ class Session:
                 state = rest.unionByName(fresh)
             else:
                 state = views.state_rows(view, base)
-            return {**entry, "parts": [self._new_part(state, name)]}
+            return {**entry, "parts": [self._new_part(state, name, view, merged=True)]}
         else:
             delta = views.state_rows(view, came) if came is not None else None
             if left is not None:
                 gone = views.state_rows(view, left, -1)
                 delta = gone if delta is None else delta.unionByName(gone)
             if delta is not None:
-                parts.append(self._new_part(views.merge_states(view, delta), name))
+                parts.append(self._new_part(views.merge_states(view, delta), name, view))
         entry = {**entry, "parts": parts}
         if len(parts) > views.MERGE_AT:
-            entry["parts"] = [self._new_part(views.read_state(self.spark, view, entry), name)]
+            entry["parts"] = [self._new_part(views.read_state(self.spark, view, entry), name, view, merged=True)]
         return entry
 
     def _put(self, put: t.Put) -> Result:
@@ -514,8 +587,9 @@ class Session:
                     at[a, first[a]] = first
         return out
 
-    def append(self, name: str, df: DataFrame, batch: str | None = None, upsert: bool = False) -> Result:
-        """Add the rows of a DataFrame to a managed dataset as one write. A ``batch`` that was written before is not written again."""
+    def append(self, name: str, df: DataFrame, batch: str | None = None, upsert: bool = False, stream: tuple[str, int] | None = None) -> Result:
+        """Add the rows of a DataFrame to a managed dataset as one write. A ``batch`` that was written before is not written again;
+        of a ``stream`` (its name and the batch's number, which grows) the catalog keeps the last number alone."""
         if self.read_only:
             raise QueryError("this session is read-only")
         content = self.catalog.draft()
@@ -523,50 +597,70 @@ class Session:
         if batch is not None:
             if batch in entry["batches"]:
                 return Result("ok", info={"count": 0, "batch": batch, "repeated": True})
-            entry["batches"] = [*entry["batches"], batch][-1000:]
+            entry["batches"] = [*entry["batches"], batch]
+        if stream is not None:
+            source, number = stream
+            if number <= entry["streams"].get(source, -1):
+                return Result("ok", info={"count": 0, "batch": number, "repeated": True})
+            entry["streams"] = {**entry["streams"], source: number}
         return self._insert(content, name, entry, df.drop(*[c for c in managed.SYSTEM if c in df.columns and c not in ("_type", "_nulls")]), upsert, None)
 
     def _insert(self, content: dict, name: str, entry: dict, df: DataFrame, upsert: bool, parent_key: str | None) -> Result:
         entry["dim"] = managed.check_vectors(df, entry)
         existing = managed.read(self.spark, entry) if entry["parts"] else None
-        merged = None
         for anchor in entry["anchors"]:
             managed.check_unique(df, None if upsert else existing, anchor)
+        fresh, merged = df, None
         if upsert:
             if not entry["anchors"]:
                 raise QueryError("ON CONFLICT UPDATE needs an anchor")
-            anchor = next((a for a in entry["anchors"] if a in df.columns), None)
-            if anchor and existing is not None and anchor in existing.columns:
-                merged = self._merge(existing, df, anchor, name, entry)
-                key = df[f"`{anchor}`"] == existing[f"`{anchor}`"]
-                fresh = df.join(existing.select(F.col(f"`{anchor}`")), key, "left_anti")
-            else:
-                fresh = df
-        else:
-            fresh = df
+            fresh, merged = self._met(existing, df, entry)
         now = self._now()
         key = F.lit(parent_key) if parent_key is not None else None
         fresh = managed.stamp(fresh, name, entry, now, key)
-        if parent_key is not None:
-            entry["rooted"] = True
         if merged is None:
             path_entry = managed.write_part(self.spark, self.root, name, entry, fresh)
             content["datasets"][name] = path_entry
             came = self._last_part(path_entry)
+            if parent_key is not None:
+                at = {r[0] for r in came.select("_bucket").distinct().collect()}  # one: they share the parent's key
+                content["datasets"][name] = {**path_entry, "rooted": sorted({*entry["rooted"], *at})}
             self._commit(content, name, came, None)
             sums = came.agg(F.count(F.lit(1)).alias("n"), F.min("_lid").alias("a"), F.max("_lid").alias("b")).first()
             return Result("ok", info={"count": sums["n"], "first_lid": sums["a"], "last_lid": sums["b"]})
         old, new = merged
         schema = managed.merge_schemas(new.schema, fresh.schema)
         both = managed.conform(new, schema).unionByName(managed.conform(fresh, schema))
-        changed = self._replace(content, name, entry, old, both)
+        twice = old.groupBy("_lid").count().filter("count > 1").limit(1).collect()
+        if twice:
+            raise QueryError("ON CONFLICT UPDATE: two rows of the batch meet the same record")
+        rest = existing.join(old.select("_lid"), "_lid", "left_anti")
+        for anchor in entry["anchors"]:
+            managed.check_unique(both, rest, anchor)
+        changed, _ = self._replace(content, name, entry, old, both)
         self._commit(content, name, changed, old)
         return Result("ok", info={"count": changed.count(), "first_lid": None, "last_lid": None})
 
+    def _met(self, existing: DataFrame | None, df: DataFrame, entry: dict) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+        """(rows that meet no record, records that the others meet and the same after it). A row meets a record by the first of the
+        anchors, in the order of their declaration, that any record shares with it."""
+        fresh, merged = df, None
+        for anchor in entry["anchors"]:
+            if existing is None or anchor not in df.columns or anchor not in existing.columns:
+                continue
+            found = self._merge(existing, fresh, anchor, entry)
+            if merged is None:
+                merged = found
+            else:
+                merged = tuple(managed.conform(a, b.schema).unionByName(b) for a, b in zip(merged, found, strict=True))
+            have = existing.filter(F.col(f"`{anchor}`").isNotNull()).select(F.col(f"`{anchor}`").alias("_have"))
+            fresh = fresh.join(have, fresh[f"`{anchor}`"] == have["_have"], "left_anti")
+        return fresh, merged
+
     def _last_part(self, entry: dict) -> DataFrame:
         return managed.conform(managed.read_part(self.spark, entry["parts"][-1]), managed.schema_of(entry))
 
-    def _merge(self, existing: DataFrame, df: DataFrame, anchor: str, name: str, entry: dict) -> tuple[DataFrame, DataFrame]:
+    def _merge(self, existing: DataFrame, df: DataFrame, anchor: str, entry: dict) -> tuple[DataFrame, DataFrame]:
         """(records that an upsert meets, the same after it): named fields win, others are kept."""
         schema = managed.merge_schemas(managed.schema_of(entry), df.schema)
         left = managed.conform(existing, schema).alias("l")
@@ -592,26 +686,29 @@ class Session:
                 out.append(F.col(f"l.`{c}`").alias(c))
         return old, managed.place(met.select(*out), entry)
 
-    def _replace(self, content: dict, name: str, entry: dict, old: DataFrame, new: DataFrame) -> DataFrame:
-        """Rewrite the buckets of ``old`` with ``new`` in their place. Returns the new rows as they were written."""
+    def _replace(self, content: dict, name: str, entry: dict, old: DataFrame, new: DataFrame, keep: Column | None = None) -> tuple[DataFrame | None, int]:
+        """Rewrite the buckets of ``old`` with ``new`` in their place. Returns the new rows as they were written, and how many
+        ``old`` has; nothing is written if it has none.  ``keep`` is true for the records that are not in ``old``."""
         existing = managed.read(self.spark, entry)
         mark = uuid.uuid4().hex
         schema = managed.merge_schemas(existing.schema, new.schema)
         new = managed.conform(new, schema).withColumn("_write", F.lit(mark))
+        # At most one row per bucket of the dataset; each names a directory.
+        counts = {r["_bucket"]: r["count"] for r in old.groupBy("_bucket").count().collect()}
+        if not counts and keep is not None:
+            return None, 0
+        touched, kept = [], existing
         if entry["gravity"]:
-            # At most one value per bucket of the dataset; each names a directory.
-            touched = sorted(r[0] for r in old.select("_bucket").distinct().collect())
+            touched = sorted(counts)
             kept = existing.filter(F.col("_bucket").isin(touched)) if touched else existing.limit(0)
-        else:
-            touched, kept = [], existing
-        kept = kept.join(old.select("_lid"), "_lid", "left_anti")
+        kept = kept.filter(keep) if keep is not None else kept.join(old.select("_lid"), "_lid", "left_anti")
         kept = managed.conform(kept, schema).withColumn("_write", F.lit(None).cast("string"))
         both = kept.unionByName(new)
         written = managed.write_part(self.spark, self.root, name, {**entry, "schema": None}, both, drop=touched, replace=not entry["gravity"])
         written["schema"] = schema.jsonValue()
         content["datasets"][name] = written
         rows = managed.read_part(self.spark, written["parts"][-1])
-        return managed.conform(rows.filter(F.col("_write") == mark), schema)
+        return managed.conform(rows.filter(F.col("_write") == mark), schema), sum(counts.values())
 
     def _set_where(self, step: t.SetWhere) -> Result:
         return self._change(step.dataset, step.where, dict(step.values), None)
@@ -619,13 +716,15 @@ class Session:
     def _delete_where(self, step: t.DeleteWhere) -> Result:
         return self._remove(step.dataset, step.where, None)
 
-    def _matching(self, entry: dict, name: str, where: Any, lids: DataFrame | None) -> DataFrame:
+    def _matching(self, entry: dict, name: str, where: Any, lids: DataFrame | None) -> tuple[DataFrame, Column | None]:
+        """The records that a change is about, and a test that is true for all others where there is one."""
         df = managed.read(self.spark, entry)
         if lids is not None:
-            return df.join(lids.distinct(), "_lid", "left_semi").select(*df.columns)
+            return df.join(lids.distinct(), "_lid", "left_semi").select(*df.columns), None
         bucket = self._bucket_filter(name, df, where)
-        df = df.filter(bucket) if bucket is not None else df
-        return df.filter(Predicates(df.schema, self.strict).compile(where)) if where is not None else df
+        test = Predicates(df.schema, self.strict).compile(where) if where is not None else F.lit(True)
+        matching = df.filter(bucket) if bucket is not None else df
+        return matching.filter(test), ~F.coalesce(test, F.lit(False))
 
     def _change(self, name: str, where: Any, values: dict, lids: DataFrame | None) -> Result:
         content = self.catalog.draft()
@@ -634,7 +733,7 @@ class Session:
         frozen = set(values) & set(entry["anchors"])
         if frozen:
             raise QueryError(f"anchor {sorted(frozen)[0]} cannot be changed by SET")
-        old = self._matching(entry, name, where, lids)
+        old, keep = self._matching(entry, name, where, lids)
         incoming = managed.from_records(self.spark, [values])
         schema = managed.merge_schemas(managed.schema_of(entry), incoming.drop("_nulls").schema)
         new = managed.conform(old, schema)
@@ -647,32 +746,29 @@ class Session:
         marks = F.array_union(F.array_except(have, F.array(*[F.lit(n) for n in values])), F.array(*[F.lit(n) for n in nulls]).cast("array<string>"))
         new = new.withColumns({n: F.col(f"`_r_{n}`") for n in values} | {"_updated_at": F.timestamp_micros(F.lit(self._now())), "_nulls": marks})
         new = managed.place(new.select(*schema.names), entry)
-        if not old.take(1):
-            return Result("ok", info={"count": 0})
         entry["dim"] = managed.check_vectors(new, entry)
-        written = self._replace(content, name, entry, old, new)
-        self._commit(content, name, written, old)
-        return Result("ok", info={"count": written.count()})
+        written, count = self._replace(content, name, entry, old, new, keep)
+        if count:
+            self._commit(content, name, written, old)
+        return Result("ok", info={"count": count})
 
     def _remove(self, name: str, where: Any, lids: DataFrame | None) -> Result:
         content = self.catalog.draft()
         entry = self.catalog.entry(name, content)
-        old = self._matching(entry, name, where, lids)
-        count = old.count()
-        if not count:
-            return Result("ok", info={"count": 0})
-        self._replace(content, name, entry, old, old.limit(0))
-        self._commit(content, name, None, old)
+        old, keep = self._matching(entry, name, where, lids)
+        _, count = self._replace(content, name, entry, old, old.limit(0), keep)
+        if count:
+            self._commit(content, name, None, old)
         return Result("ok", info={"count": count})
 
     def _link(self, step: t.Link) -> Result:
         """Write ``_link_<relation>`` on every source: the ids of all targets, joined by commas."""
-        targets = self.filtered(step.target, step.target_where).agg(F.array_join(F.sort_array(F.collect_list("_lid")), ",").alias("ids")).first()["ids"]
-        if not targets:
+        found = self.filtered(step.target, step.target_where).select("_lid").limit(HARD_LIMIT + 1).collect()
+        if not found:
             raise QueryError("LINK: no target matches")
-        if targets.count(",") >= HARD_LIMIT:
+        if len(found) > HARD_LIMIT:
             raise QueryError(f"LINK: more than {HARD_LIMIT} targets")
-        return self._change(step.source, step.source_where, {f"_link_{step.relation}": targets}, None)
+        return self._change(step.source, step.source_where, {f"_link_{step.relation}": ",".join(sorted(r["_lid"] for r in found))}, None)
 
     # --- declarations ---
 
@@ -720,7 +816,7 @@ class Session:
         elif kind == "purge":
             old = managed.read(self.spark, entry)
             count = old.count() if entry["parts"] else 0
-            content["datasets"][name] = {**entry, "parts": [], "rooted": False}
+            content["datasets"][name] = {**entry, "parts": [], "rooted": []}
             self._commit(content, name, None, old if count else None)
             return Result("ok", info={"count": count})
         self.catalog.commit(content)
@@ -754,15 +850,21 @@ class Session:
         return Result("ok", info="parts are read in any earlier form; there is nothing to migrate")
 
     def _analyze(self, name: str, _: Any = None) -> Result:
-        """Per field: type, exact distinct count, share of distinct values and length range, in one pass and one row."""
+        """Per field: type, exact distinct count, share of distinct values and length range.
+
+        Figures that add up are one aggregation; distinct values are counted field by field, each in two phases over its own
+        column, so that no row is repeated for every field.
+        """
         df = self._visible(self.dataset(name))
         fields = [f for f in df.schema.fields if not isinstance(f.dataType, (T.VariantType, T.MapType))]
-        columns = [F.count(F.lit(1)).alias("rows")]
+        columns, counts = [F.count(F.lit(1)).alias("rows")], []
         for i, f in enumerate(fields):
             c = F.col(f"`{f.name}`")
             size = F.length(c) if isinstance(f.dataType, T.StringType) else F.lit(None).cast("int")
-            columns += [F.countDistinct(c).alias(f"d{i}"), F.count(c).alias(f"n{i}"), F.min(size).alias(f"lo{i}"), F.max(size).alias(f"hi{i}")]
-        row = df.agg(*columns).first()
+            columns += [F.count(c).alias(f"n{i}"), F.min(size).alias(f"lo{i}"), F.max(size).alias(f"hi{i}")]
+            counts.append(df.select(c.alias("v")).distinct().agg(F.lit(i).alias("i"), F.count("v").alias("n")))
+        row = df.agg(*columns).first().asDict()
+        row |= {f"d{r['i']}": r["n"] for r in reduce(DataFrame.unionAll, counts).collect()} if counts else {}
         out = []
         for i, f in enumerate(fields):
             distinct, some = row[f"d{i}"], row[f"n{i}"]
@@ -791,7 +893,7 @@ class Session:
         if step.what == "cache":
             return Result("info", info=sorted(self.cached))
         if step.what == "scan stats":
-            rows = [(k[0], k[1], len(v), sum(x for _, x in v) / len(v) * 1000) for k, v in sorted(self.patterns.items())]
+            rows = [(k[0], k[1], len(v), _mean_ms(v)) for k, v in sorted(self.patterns.items())]
             return Result("info", self.spark.createDataFrame(rows, "dataset string, pattern string, hits int, avg_ms double"), rows)
         if step.what == "profile":
             return Result("info", info=self._profile(step.dataset))
@@ -843,7 +945,7 @@ class Session:
                 merged += 1
         for name, (view, entry) in self._views(content).items():
             if len(entry["parts"]) > 1:
-                content["views"][name] = {**entry, "parts": [self._new_part(views.read_state(self.spark, view, entry), name)]}
+                content["views"][name] = {**entry, "parts": [self._new_part(views.read_state(self.spark, view, entry), name, view, merged=True)]}
         self.catalog.commit(content)
         return Result("ok", info=f"{merged} datasets compacted")
 
@@ -862,14 +964,35 @@ class Session:
         stored = self.spark.read.parquet(content["views"][view.name]["parts"][0]["path"])
         return Result("ok", info={"view": view.name, "rows": stored.count(), "fields": stored.columns})
 
+    @contextmanager
+    def _shared_scans(self, statements: list):
+        """While several views of one dataset are made one after the other, its records are read once and kept."""
+        counts = Counter(s.dataset for s in statements if isinstance(s, t.CreateView))
+        self._keep = {name: None for name, n in counts.items() if n > 1}
+        try:
+            yield
+        finally:
+            for df in self._keep.values():
+                if df is not None:
+                    df.unpersist()
+            self._keep = {}
+
+    def _base(self, content: dict, name: str) -> DataFrame:
+        """The records that a view of ``name`` is made from."""
+        if name not in self._keep:
+            return managed.read(self.spark, content["datasets"][name])
+        if self._keep[name] is None:  # views come last in a batch, so nothing is written while it is kept
+            self._keep[name] = managed.read(self.spark, content["datasets"][name]).persist()
+        return self._keep[name]
+
     def _build(self, content: dict, view: t.CreateView) -> dict:
-        base = managed.read(self.spark, content["datasets"][view.dataset])
+        base = self._base(content, view.dataset)
         if views.is_aggregate(view):
             df = views.state_rows(view, base)
         else:
             fields = views.covering_fields(view, content["datasets"][view.dataset]["pins"], base.columns)
-            df = base.filter(Predicates(base.schema).compile(view.where)).select(*fields)
-        return {"definition": views.encode(view), "parts": [self._new_part(df, view.name)], "stale": False}
+            df = base.filter(Predicates(base.schema).compile(view.where)).select(*[F.col(f"`{c}`") for c in fields])
+        return {"definition": views.encode(view), "parts": [self._new_part(df, view.name, view, merged=views.is_aggregate(view))], "stale": False}
 
     def _view_action(self, step: t.ViewAction) -> Result:
         content = self.catalog.draft()
@@ -909,43 +1032,66 @@ class Session:
 
     # --- advice ---
 
-    def _note(self, scan: t.Scan, seconds: float) -> None:
-        flat = all(isinstance(c, t.Leaf) for c in forms.conjuncts(scan.where))
-        if scan.where is not None and flat:
-            pattern = " AND ".join(sorted(f"{c.path} {c.op}" for c in forms.conjuncts(scan.where)))
-            self.patterns.setdefault((scan.dataset, pattern), []).append((self.clock(), seconds))
-            self.latest[scan.dataset, pattern] = scan.where
-
-    def advise(self, min_hits: int = 5, window_seconds: float = 600) -> list[tuple[str, str, int]]:
-        """Patterns scanned often enough to deserve a view: (dataset, pattern, hits within the window)."""
-        now = self.clock()
-        found = [(d, p, sum(1 for when, _ in v if now - when <= window_seconds)) for (d, p), v in sorted(self.patterns.items())]
-        return [x for x in found if x[2] >= min_hits]
-
-    def adopt(self, min_hits: int = 5, window_seconds: float = 600, most: int = 20, keep_seconds: float = 86_400) -> list[str]:
+    def _note(self, scan: t.Scan) -> Callable[[float], None] | None:
+        """Count a scan's pattern; what is returned takes the seconds that it ran, when the engine itself runs it."""
+        if scan.where is None or not all(isinstance(c, t.Leaf) for c in forms.conjuncts(scan.where)):
+            return None
+        pattern = " AND ".join(sorted(f"{c.path} {c.op}" for c in forms.conjuncts(scan.where)))
+        hit = [self.clock(), None]
+        self.patterns.setdefault((scan.dataset, pattern), []).append(hit)
+        self.latest[scan.dataset, pattern] = scan.where
+        return lambda seconds: hit.__setitem__(1, seconds)
+
+    def advise(self, min_hits: int = 5, window_seconds: float = 600, min_ms: float = 20.0) -> list[tuple[str, str, int]]:
+        """Patterns that deserve a view: (dataset, pattern, hits within the window), asked often enough and, on the average of
+        the runs that were timed, slow enough. Runs of lazy results that the caller executes are not timed."""
+        now, found = self.clock(), []
+        for (dataset, pattern), hits in sorted(self.patterns.items()):
+            recent = [h for h in hits if now - h[0] <= window_seconds]
+            if len(recent) >= min_hits and (_mean_ms(recent) is None or _mean_ms(recent) >= min_ms):
+                found.append((dataset, pattern, len(recent)))
+        return found
+
+    def adopt(
+        self, min_hits: int = 5, window_seconds: float = 600, most: int = 20, keep_seconds: float = 86_400, min_ms: float = 20.0, promote_hits: int = 100, promoted_seconds: float = 30 * 86_400
+    ) -> list[str]:
         """Create a view of counts and sums for each advised pattern of a managed dataset, as it was last asked.
 
-        Such views last ``keep_seconds``, at most ``most`` per dataset; those past their time are dropped first.
+        Such views last ``keep_seconds``, or ``promoted_seconds`` once they have answered ``promote_hits`` times. There are at most
+        ``most`` per dataset: the one that answered longest ago goes first. A pattern has one view at a time.
         """
         self.expire()
         made = []
-        for dataset, pattern, _ in self.advise(min_hits, window_seconds):
+        self._promote(promote_hits, promoted_seconds)
+        for dataset, pattern, _ in self.advise(min_hits, window_seconds, min_ms):
             if dataset not in self.catalog.content["datasets"]:
                 continue
             where = self.latest[dataset, pattern]
             name = f"auto-{dataset}-{forms.fingerprint(where)}"
-            own = [n for n, e in self.catalog.content["views"].items() if e.get("expires") and views.decode(e["definition"]).dataset == dataset]
-            if name in self.catalog.content["views"] or len(own) >= most:
+            own = {n: e for n, e in self.catalog.content["views"].items() if e.get("expires") and views.decode(e["definition"]).dataset == dataset}
+            if name in own or any(e.get("pattern") == pattern for e in own.values()):
                 continue
+            if len(own) >= most:
+                oldest = min(own, key=lambda n: (self.used.get(n, [own[n]["made"]])[-1], n))
+                self._view_action(t.ViewAction("drop", oldest))
             numbers = [f.name for f in self.dataset(dataset).schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in managed.SYSTEM]
             metrics = (t.Metric("count"), *(t.Metric("sum", n) for n in numbers))
             self._create_view(t.CreateView(name, dataset, where, (), metrics, "count", True))
             content = self.catalog.draft()
-            content["views"][name]["expires"] = self.clock() + keep_seconds
+            content["views"][name] |= {"expires": self.clock() + keep_seconds, "made": self.clock(), "pattern": pattern}
             self.catalog.commit(content)
             made.append(name)
         return made
 
+    def _promote(self, hits: int, seconds: float) -> None:
+        """Views that have answered often enough are kept longer."""
+        content = self.catalog.draft()
+        chosen = [n for n, e in content["views"].items() if e.get("expires") and not e.get("promoted") and len(self.used.get(n, [])) >= hits]
+        for name in chosen:
+            content["views"][name] |= {"expires": content["views"][name]["made"] + seconds, "promoted": True}
+        if chosen:
+            self.catalog.commit(content)
+
     def expire(self) -> list[str]:
         """Drop adopted views that are past their time."""
         gone = [n for n, e in self.catalog.content["views"].items() if e.get("expires") and e["expires"] < self.clock()]

@@ -38,20 +38,21 @@ class VersionedFile:
 
     def read(self) -> tuple[int, dict]:
         """(version, content) of the newest whole version; version 0 is empty."""
-        fs = self._fs()
         for version in reversed(self.versions()):
-            path = self._path(f"{self.root}/{self.name}-{version}.json")
-            stream = fs.open(path)
-            try:
-                text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-            finally:
-                stream.close()
             try:
-                return version, json.loads(text)
+                return version, self.at(version)
             except ValueError:  # its writer died while it was being written
                 continue
         return 0, {}
 
+    def at(self, version: int) -> dict:
+        """The content of one version."""
+        stream = self._fs().open(self._path(f"{self.root}/{self.name}-{version}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def commit(self, version: int, content: dict) -> None:
         """Create version ``version``; fails if it exists."""
         fs = self._fs()

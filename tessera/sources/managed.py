@@ -8,6 +8,7 @@ with.  Every record has ``_lid``, ``_type``, ``_created_at``, ``_updated_at``, `
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 from typing import Any
@@ -33,10 +34,13 @@ SYSTEM = {
     "_bucket": T.IntegerType(),
 }
 BATCH_MAX = 10_000
+#: So many parts of one level at the end of a dataset are merged into one of the next level.
+MERGE_AT = 16
+_PART = "_part"
 
 
 def new_entry(buckets: int = BUCKETS) -> dict:
-    return {"buckets": buckets, "hint": None, "anchors": [], "gravity": None, "satellite": None, "vector": None, "dim": None, "pins": [], "parts": [], "schema": None, "rooted": False, "batches": []}
+    return {"buckets": buckets, "hint": None, "anchors": [], "gravity": None, "satellite": None, "vector": None, "dim": None, "pins": [], "parts": [], "schema": None, "rooted": [], "batches": [], "streams": {}}
 
 
 def gravity_of(entry: dict) -> Gravity | None:
@@ -90,18 +94,28 @@ def merge_schemas(a: T.StructType, b: T.StructType) -> T.StructType:
 
 def read_part(spark: SparkSession, part: dict) -> DataFrame:
     """One part, with the schema that it was written with; a part may hold no file."""
-    return spark.read.schema(T.StructType.fromJson(part["schema"])).parquet(part["path"])
+    return _read_parts(spark, [part])
+
+
+def _read_parts(spark: SparkSession, parts: list[dict]) -> DataFrame:
+    """Parts of one schema in one scan.  Each is a partition directory of its dataset, so that the buckets of it that count
+    no more are pruned as partitions."""
+    schema = T.StructType.fromJson(parts[0]["schema"])
+    base = parts[0]["path"].rpartition("/")[0]
+    df = spark.read.schema(T.StructType([*schema.fields, T.StructField(_PART, T.StringType())])).option("basePath", base).parquet(*[p["path"] for p in parts])
+    for part in parts:
+        if part["drop"]:
+            df = df.filter((F.col(_PART) != part["path"].rpartition("=")[2]) | ~F.col("_bucket").isin(part["drop"]))
+    return df.select(*[F.col(f"`{c}`") for c in schema.names])
 
 
 def read(spark: SparkSession, entry: dict) -> DataFrame:
-    """All records as of the catalog's entry."""
+    """All records as of the catalog's entry: one scan for each schema that parts were written with."""
     schema = schema_of(entry)
-    frames = []
+    alike: dict[tuple, list[dict]] = {}
     for part in entry["parts"]:
-        df = read_part(spark, part)
-        if part["drop"]:
-            df = df.filter(~F.col("_bucket").isin(part["drop"]))
-        frames.append(conform(df, schema))
+        alike.setdefault((json.dumps(part["schema"], sort_keys=True), part["path"].rpartition("/")[0]), []).append(part)
+    frames = [conform(_read_parts(spark, parts), schema) for parts in alike.values()]
     if not frames:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, frames)
@@ -158,7 +172,7 @@ def write_part(spark: SparkSession, root: str, name: str, entry: dict, df: DataF
     """The entry after ``df`` was written as a new part.  ``drop`` buckets of older parts count no more; ``replace`` drops all."""
     schema = merge_schemas(schema_of(entry), df.schema)
     df = conform(df, T.StructType([schema[c] for c in df.columns]))  # a field that was only set to null has no type yet
-    path = f"{root}/data/{name}/{uuid.uuid4().hex}"
+    path = f"{root}/data/{name}/{_PART}=p{uuid.uuid4().hex}"
     order = ["_bucket", "_key"] + ([entry["satellite"]] if entry["satellite"] in df.columns else [])
     if entry["gravity"]:
         # Buckets together, so that files are whole, but a bucket that one key fills is split over several writers.
@@ -168,7 +182,22 @@ def write_part(spark: SparkSession, root: str, name: str, entry: dict, df: DataF
     writer = df.write.partitionBy("_bucket") if entry["gravity"] else df.write
     writer.parquet(path)
     parts = [] if replace else [{**p, "drop": sorted({*p["drop"], *(drop or [])})} for p in entry["parts"]]
-    return {**entry, "schema": schema.jsonValue(), "parts": [*parts, {"path": path, "drop": [], "schema": df.schema.jsonValue()}]}
+    return {**entry, "schema": schema.jsonValue(), "parts": [*parts, {"path": path, "drop": [], "schema": df.schema.jsonValue(), "level": 0}]}
+
+
+def merge_tail(spark: SparkSession, root: str, name: str, entry: dict) -> dict:
+    """The entry with its newest parts merged where ``MERGE_AT`` of a level have come together, so that a dataset of n writes has
+    about log n parts and a record is rewritten as often."""
+    while True:
+        parts = entry["parts"]
+        level = parts[-1]["level"] if parts else 0
+        tail = 0
+        while tail < len(parts) and parts[-1 - tail]["level"] == level:
+            tail += 1
+        if tail < MERGE_AT:
+            return entry
+        written = write_part(spark, root, name, entry, read(spark, {**entry, "parts": parts[-tail:]}), replace=True)
+        entry = {**written, "parts": [*parts[:-tail], {**written["parts"][0], "level": level + 1}]}
 
 
 def check_unique(df: DataFrame, existing: DataFrame | None, field: str) -> None:

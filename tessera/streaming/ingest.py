@@ -12,16 +12,15 @@ from tessera.session import Session
 def drain(session: Session, stream: DataFrame, dataset: str, checkpoint: str, upsert: bool = False, available_now: bool = True) -> StreamingQuery:
     """Write every micro-batch of ``stream`` to a managed dataset as one write; its views follow.
 
-    The batch's number is committed with the data, so a batch that is run again after a failure
-    changes nothing.
+    The stream's last batch number is committed with the data, so a batch that is run again after a failure
+    changes nothing, however long ago it was.
     """
-    name = f"{dataset}@{checkpoint}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             if not batch.isEmpty():
-                session.append(dataset, batch, batch=f"{name}:{number}", upsert=upsert)
+                session.append(dataset, batch, stream=(checkpoint, number), upsert=upsert)
         finally:
             batch.unpersist()
 

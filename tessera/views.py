@@ -13,12 +13,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.lang import forms
 from tessera.lang import tree as t
 from tessera.lang.parser import QueryError
 from tessera.plans.aggregates import group_columns, number
-from tessera.plans.predicates import Predicates
+from tessera.plans.predicates import Predicates, resolve
 
 #: A view with so many parts is merged into one by the next write.
 MERGE_AT = 8
@@ -86,10 +87,10 @@ def live_groups(view: t.CreateView, state: DataFrame) -> DataFrame:
     return state.filter("_n > 0") if view.group else state
 
 
-def state_metrics(view: t.CreateView, state: DataFrame, wanted: tuple) -> DataFrame:
-    """The wanted metrics, under their own labels, from a merged state."""
+def state_metrics(view: t.CreateView, state: DataFrame, wanted: tuple, keep: list[str] | None = None) -> DataFrame:
+    """The wanted metrics, under their own labels, from a merged state, beside its groups or the columns to keep."""
     have = {_signature(m): i for i, m in enumerate(view.metrics)}
-    columns = [F.col(f"`{g}`") for g in view.group]
+    columns = [F.col(f"`{g}`") for g in (view.group if keep is None else keep)]
     for m in wanted:
         i = have[_signature(m)]
         if m.func == "count":
@@ -113,17 +114,59 @@ def _signature(m: t.Metric) -> tuple:
 
 
 def covering_fields(view: t.CreateView, pins: list[str], schema_names: list[str]) -> list[str]:
-    """Top-level columns that a covering view stores."""
-    if view.embed:
-        wanted = [*view.embed, *pins]
-    else:
-        wanted = [p.split(".")[0] for p in forms.paths(view.where)] + list(pins)
-    if view.order:
-        wanted.append(view.order.split(".")[0])
-    wanted += ["_lid", "_type", "_nulls"]
+    """Top-level columns that a covering view stores: whole records, or with EMBED the named fields and what the view itself needs."""
+    if not view.embed:
+        return list(schema_names)
+    wanted = [*view.embed, *pins, *([view.order.split(".")[0]] if view.order else []), "_lid", "_type", "_nulls"]
     return [n for n in dict.fromkeys(wanted) if n in schema_names]
 
 
+def in_order(view: t.CreateView, df: DataFrame) -> DataFrame:
+    """Rows of a part in the view's order, so that a test of the order field skips files, row groups and pages."""
+    found = resolve(df.schema, view.order) if view.order else None
+    if found is None or not isinstance(found[1], T.AtomicType):
+        return df
+    return df.orderBy(found[0].desc_nulls_last() if view.descending else found[0].asc_nulls_last())
+
+
+# --- states in the order of a metric ---
+
+#: For a take of so many groups at most, the metric's value that its groups reach is noted when the state is written.
+RANKS = (64, 512, 4096, 10_000)
+METRIC = "_metric"
+
+
+def order_metric(view: t.CreateView) -> t.Metric | None:
+    """The metric that an aggregate view is ordered by."""
+    return next((m for m in view.metrics if view.group and view.order in (m.label, m.canonical)), None)
+
+
+def with_metric(view: t.CreateView, state: DataFrame) -> DataFrame:
+    """A merged state with the value of the metric that the view is ordered by, in that order."""
+    m = order_metric(view)
+    value = state_metrics(view, state.select("*"), (m,), keep=state.columns).withColumnRenamed(m.label, METRIC)
+    key = F.col(METRIC).cast("double")
+    return value.withColumn(METRIC, key).orderBy(key.desc_nulls_last() if view.descending else key.asc_nulls_last())
+
+
+def rank_values(view: t.CreateView, ordered: DataFrame) -> list[list]:
+    """(rank, value): the metric of the group at each of ``RANKS``; as many rows are read as the greatest of them."""
+    key = F.col(METRIC)
+    top = ordered.filter(key.isNotNull()).select(key).orderBy(key.desc() if view.descending else key.asc()).limit(RANKS[-1]).collect()
+    return [[n, top[n - 1][0]] for n in RANKS if n <= len(top)]
+
+
+def first_groups(view: t.CreateView, entry: dict, state: DataFrame, take: Any) -> DataFrame:
+    """The groups that a take can need, if the view is one state in the order of the same metric: the others are skipped by statistics."""
+    m, parts = order_metric(view), entry["parts"]
+    if m is None or len(parts) != 1 or take.by not in (m.label, m.canonical) or bool(take.descending) != bool(view.descending):
+        return state
+    value = next((v for n, v in parts[0].get("ranks", []) if n >= take.n), None)
+    if value is None:
+        return state
+    return state.filter(F.col(METRIC) >= value if view.descending else F.col(METRIC) <= value)
+
+
 # --- routing ---
 
 
@@ -141,6 +184,15 @@ def answers_aggregate(view: t.CreateView, dataset: str, where: Any, group: tuple
     return left if fits else None
 
 
+def answers_records(view: t.CreateView, scan: t.Scan) -> bool:
+    """Whether a covering view holds whole records of all that a scan can return, and serves it better than the base: by its
+    own conditions, which the scan must repeat, or by its order, which the scan must ask for or test."""
+    if view.dataset != scan.dataset or is_aggregate(view) or view.embed or _rest(view.where, scan.where) is None:
+        return False
+    tested = any(isinstance(c, t.Leaf) and c.path == view.order and c.op in ("=", "<", "<=", ">", ">=") for c in forms.conjuncts(scan.where))
+    return view.where is not None or tested or (scan.order is not None and scan.order == view.order)
+
+
 def _rest(inner: Any, outer: Any) -> list | None:
     """Conjuncts of ``outer`` beyond those of ``inner``, if it has all of them in the same form."""
     need = [forms.canonical(c) for c in forms.conjuncts(inner)]
@@ -165,7 +217,10 @@ def describe(name: str, entry: dict) -> dict:
 def read_state(spark: SparkSession, view: t.CreateView, entry: dict) -> DataFrame:
     """The merged state of an aggregate view, or the live rows of a covering one."""
     if is_aggregate(view):
-        return live_groups(view, merge_states(view, spark.read.parquet(*[p["path"] for p in entry["parts"]])))
+        parts = spark.read.parquet(*[p["path"] for p in entry["parts"]])
+        if len(entry["parts"]) == 1:
+            return live_groups(view, parts)  # one part is merged already
+        return live_groups(view, merge_states(view, parts))
     kept, gone = None, None
     for i, part in enumerate(entry["parts"]):
         df = spark.read.parquet(part["path"])
