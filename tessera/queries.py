@@ -14,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lang import QueryError
 from tessera.lang import tree as t
 from tessera.operators import nearest as vectors
 from tessera.session import Session
-from tessera.sources.sinks import tree_json
+from tessera.sources.sinks import flat_json, tree_json
 from tessera.streaming import drain, event_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,9 +61,15 @@ def entity(spark: SparkSession, sf_dir: str) -> Session:
     return s.register("entity", both.withColumn("eid", F.concat("_type", F.lit(":"), F.coalesce("c_custkey", "o_orderkey").cast("string"))), unique="eid", cluster="custkey")
 
 
+def _local_root(spark: SparkSession) -> str:
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp()
+
+
 def store(spark: SparkSession) -> Session:
     """A session with an empty store in the shared folder; a temporary one where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _local_root(spark)
     session = Session(spark, f"{root.rstrip('/')}/tessera/store-{uuid.uuid4().hex[:12]}")
     _stores.append(session)
     return session
@@ -77,7 +84,20 @@ def _sweep() -> None:
         try:
             session.catalog.file.remove(session.root)
         except Exception:  # Spark may have stopped before
-            return
+            continue
+
+
+def _plan(df: DataFrame) -> str:
+    """The physical plan, for queries that must read a part of a dataset only."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _entity_store(spark: SparkSession, sf_dir: str) -> Session:
+    """The same records in a managed dataset, clustered by customer."""
+    s = store(spark)
+    s.run('LOBE "entity"; GRAVITY BY custkey IN "entity"')
+    s.append("entity", entity(spark, sf_dir).dataset("entity"))
+    return s
 
 
 _ENTITY = """(SELECT *, 'Customer' AS _type, c_custkey AS custkey, NULL AS o_orderkey, NULL AS o_custkey, NULL AS o_orderstatus, NULL AS o_totalprice,
@@ -88,9 +108,25 @@ _ENTITY = """(SELECT *, 'Customer' AS _type, c_custkey AS custkey, NULL AS o_ord
 # --- scans and predicates ---
 
 
-@_query("SELECT count(*) AS n, CAST(sum(o_custkey) AS DOUBLE) AS s FROM orders")
+@_query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
 def scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir).scan("orders").df().agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_custkey").cast("double")).alias("s"))
+    return tables(spark, sf_dir).scan("orders").df().select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderkey LIMIT 2000")
+def scan_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    first = s.run('SCAN "orders" WHERE o_totalprice > 1000')
+    assert first.has_more and first.cursor and s.run('SCAN "orders" WHERE o_totalprice > 1000 | SHAPE {o_orderkey}').has_more
+    assert not s.run('SCAN "nation" | SHAPE {n_name}').has_more
+    second = s.run(f'SCAN "orders" WHERE o_totalprice > 1000 LIMIT 1000 CURSOR "{first.cursor}"')
+    return first.df.select("o_orderkey").unionAll(second.df.select("o_orderkey"))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = flat_json(tables(spark, sf_dir).scan("orders").where('o_orderstatus = "O"').df())
+    return rows.select(F.from_json("json", "o_orderkey long, o_totalprice double").alias("r")).select("r.*")
 
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' OR o_orderpriority = '3-MEDIUM') AND o_totalprice > 100000")
@@ -171,7 +207,9 @@ def find_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 AND o_totalprice > 1000")
 def find_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir).run('FIND "orders" WHERE o_custkey = $key AND o_totalprice > 1000 | SHAPE {o_orderkey, o_totalprice}', {"key": 7}).df
+    df = _orders_store(spark, sf_dir).run('FIND "o" WHERE o_custkey = $key AND o_totalprice > 1000 | SHAPE {o_orderkey, o_totalprice}', {"key": 7}).df
+    assert "PartitionFilters: [isnotnull(_bucket" in _plan(df)
+    return df.drop("_lid")
 
 
 @_query("SELECT n_name AS name FROM nation WHERE n_nationkey = 3")
@@ -201,10 +239,12 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_totalprice, o_orderkey LIMIT 5")
 def top_k_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir).run('SCAN "orders" WHERE o_custkey = 7 ORDER BY o_totalprice LIMIT 5 | SHAPE {o_orderkey, o_totalprice}').df
+    df = _orders_store(spark, sf_dir).run('SCAN "o" WHERE o_custkey = 7 ORDER BY o_totalprice LIMIT 5 | SHAPE {o_orderkey, o_totalprice}').df
+    assert "PartitionFilters: [isnotnull(_bucket" in _plan(df)
+    return df.drop("_lid")
 
 
-@_query("SELECT CAST(17 AS BIGINT) AS n")
+@_query("SELECT count(*) AS n FROM (SELECT 1 FROM lineitem LIMIT 17)")
 def limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir).run('SCAN "lineitem" LIMIT 17').df.agg(F.count(F.lit(1)).alias("n"))
 
@@ -275,7 +315,7 @@ def take_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir).run(text).df.withColumn("exposure", F.round("exposure", 2))
 
 
-@_query("SELECT CAST(9 AS BIGINT) AS n")
+@_query("SELECT count(*) AS n FROM (SELECT 1 FROM orders WHERE o_totalprice > 0 LIMIT 9)")
 def take_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir).run('SCAN "orders" WHERE o_totalprice > 0 | TAKE 9').df.agg(F.count(F.lit(1)).alias("n"))
 
@@ -296,13 +336,48 @@ def follow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT _type, CAST(custkey AS BIGINT) AS custkey, count(*) AS n FROM {_ENTITY} WHERE custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) GROUP BY _type, custkey")
 def pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = entity(spark, sf_dir)
-    return s.scan("entity").where("o_totalprice > 250000").pull().df().groupBy("_type", "custkey").agg(F.count(F.lit(1)).alias("n"))
+    s = _entity_store(spark, sf_dir)
+    df = s.scan("entity").where("o_totalprice > 250000").pull().df()
+    assert "dynamicpruning" in _plan(df)  # buckets without a wanted key are not read
+    return df.groupBy("_type", "custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def pull_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity(spark, sf_dir).run('SCAN "entity" WHERE o_totalprice > 250000 | PULL depth=1 only=Customer | SHAPE {c_custkey, c_name}').df
+    return _entity_store(spark, sf_dir).scan("entity").where("o_totalprice > 250000").pull(1, "Customer").shape("c_custkey", "c_name").df().drop("_lid")
+
+
+@_query("SELECT c_custkey FROM customer")
+def pull_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity(spark, sf_dir).run('PULL FROM "entity" only=Customer').df.select("c_custkey")
+
+
+@_query("SELECT n_nationkey FROM nation WHERE n_regionkey = 1 OR n_nationkey IN (0, 3) OR n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)")
+def pull_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "n"; GRAVITY BY n_nationkey IN "n"')
+    s.append("n", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    near = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey = 3").first()["n_regionkey"]
+    s.run('LINK "n" WHERE n_regionkey = 1 AND n_nationkey != 3 TO "n" WHERE n_nationkey = 0 AS "near"; LINK "n" WHERE n_nationkey = 0 TO "n" WHERE n_nationkey = 3 AS "next"')
+    s.run('LINK "n" WHERE n_regionkey = $r AND n_nationkey != 3 AND n_nationkey != 0 TO "n" WHERE n_nationkey = 3 AS "of"', {"r": near})
+    return s.run('FIND "n" WHERE n_nationkey = 0 | PULL depth=3').df.select("n_nationkey")
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_custkey = 7")
+def follow_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    s.append("o", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    s.run('LINK "c" WHERE c_custkey = 7 TO "o" WHERE o_custkey = 7 AS "placed"')
+    return s.run('FIND "c" WHERE c_custkey = 7 | FOLLOW _link_placed TO "o" ON _lid | SHAPE {o_orderkey}').df.drop("_lid")
+
+
+@_query("""SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders
+   WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tables(spark, sf_dir)
+    s.register("buyers", s.scan("orders").where('o_orderstatus = "F"').follow("o_custkey", "customer", "c_custkey").df(), unique="c_custkey")
+    df = s.run('SCAN "buyers" WHERE c_acctbal > 5000 | FOLLOW c_custkey TO "orders" ON o_custkey | AGGREGATE count() AS n, sum(o_totalprice) AS s').df
+    return df.withColumn("s", F.round("s", 2))
 
 
 @_query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
@@ -387,6 +462,37 @@ def nearest_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables(spark, sf_dir).run('SCAN "embeddings" | NEAREST(embedding, REF "0", 10, cosine)').df.select("vec_id", "label")
 
 
+@_query(f"""SELECT vec_id, label FROM embeddings WHERE label NOT IN (1, 2)
+   ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id LIMIT 25""")
+def nearest_nonfinite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.when(F.col("label") == 1, float("nan")).when(F.col("label") == 2, float("inf"))
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i == 3, F.coalesce(odd, x)).otherwise(x)))
+    s = Session(spark).register("embeddings", df, unique="vec_id")
+    return s.run('SCAN "embeddings" | NEAREST 25 BY embedding TO $q', {"q": _probe(spark, sf_dir)}).df.select("vec_id", "label")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> Session:
+    s = store(spark)
+    s.run('LOBE "v"; VECTOR embedding IN "v"; GRAVITY BY label IN "v"')
+    s.append("v", spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return s
+
+
+@_query(f"SELECT vec_id, label FROM embeddings ORDER BY list_distance(CAST(embedding AS DOUBLE[]), {_PROBE}), vec_id LIMIT 40")
+def nearest_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).run('SCAN "v" | NEAREST 40 BY embedding TO $q USING l2', {"q": _probe(spark, sf_dir)}).df.select("vec_id", "label")
+
+
+@_query("SELECT CAST(max(len(embedding)) AS INTEGER) AS dim FROM embeddings")
+def vector_declare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _vectors(spark, sf_dir)
+    try:
+        s.run('PUT {vec_id: -1, embedding: [1.0, 2.0]} IN "v"')
+    except QueryError:  # another dimension
+        return spark.createDataFrame([(int(line.split("dim ")[1]),) for line in s.run('SHOW PROFILE "v"').info if "dim " in line], "dim int")
+    raise AssertionError("a vector of another dimension was taken")
+
+
 @_query(f"""SELECT label, vec_id, rank FROM (SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label
    ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_PROBE}) DESC, vec_id) AS INTEGER) AS rank FROM embeddings) WHERE rank <= 3""")
 def nearest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -427,6 +533,64 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.scan("c").df().select("c_custkey", "c_name", "c_acctbal")
 
 
+@_query("""SELECT CASE WHEN c_custkey = 3 THEN -5 ELSE c_custkey END AS c_custkey, c_name,
+   CASE WHEN c_custkey = 3 THEN 1.5 WHEN c_custkey = 4 THEN 2.5 ELSE c_acctbal END AS c_acctbal FROM customer""")
+def upsert_two_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "c"; ANCHOR "c_custkey" UNIQUE IN "c"; ANCHOR "c_name" UNIQUE IN "c"; GRAVITY BY c_nationkey IN "c"')
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    s.append("c", customers)
+    third = customers.filter("c_custkey = 3").first()["c_name"]
+    s.run('PUT BATCH IN "c" [{c_custkey: -5, c_name: $n, c_acctbal: 1.5}, {c_custkey: 4, c_acctbal: 2.5}] ON CONFLICT UPDATE', {"n": third})
+    try:
+        s.run('PUT {c_custkey: 5, c_name: $n} IN "c" ON CONFLICT UPDATE', {"n": third})
+    except QueryError:  # it meets customer 5 and would take the other's name
+        return s.scan("c").df().select("c_custkey", "c_name", "c_acctbal")
+    raise AssertionError("a second record took the same name")
+
+
+@_query("SELECT count(DISTINCT c_nationkey) AS indexed, count(*) - count(DISTINCT c_nationkey) AS duplicates FROM customer")
+def autoanchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = _customers(spark, sf_dir).run('AUTOANCHOR APPLY "c_nationkey" IN "c"').info
+    return spark.createDataFrame([(info["indexed"], info["duplicates"])], "indexed long, duplicates long")
+
+
+@_query("SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = 3")
+def pin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir, '; PIN c_acctbal IN "c"; PIN c_name IN "c"; UNPIN c_name IN "c"')
+    s.run('CREATE GHOST "p" FROM "c" WHERE c_nationkey = 3 | TAKE BY c_custkey | EMBED c_custkey')
+    df = s.run('SCAN GHOST "p"').df
+    assert "c_name" not in df.columns
+    return df.select("c_custkey", "c_acctbal")
+
+
+@_query("SELECT count(*) AS cached, count(*) + 1 AS later FROM customer")
+def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    cached = s.run('INCACHE "c"').info["cached"]
+    assert s.run("SHOW CACHE").info == ["c"]
+    s.run('PUT {c_custkey: -7, c_nationkey: 1} IN "c"')
+    later = s.run('SCAN "c" | AGGREGATE count() AS n').rows()[0]["n"]
+    s.run('OUTCACHE "c"')
+    return spark.createDataFrame([(cached, later)], "cached long, later long")
+
+
+@_query("""SELECT 'c' AS name, count(*) AS n_records, true AS managed FROM customer UNION ALL SELECT 'nation', count(*), false FROM nation""")
+def show(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _customers(spark, sf_dir)
+    s.register("nation", f"{sf_dir}/nation.parquet", unique="n_nationkey")
+    assert s.run('SHOW ANCHORS IN "c"').info == ["c_custkey"] and "  Gravity: c_nationkey" in s.run('SHOW PROFILE "c"').info
+    return s.run("SHOW LOBES").df
+
+
+@_query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE lower(c_mktsegment) = (SELECT lower(c_mktsegment) FROM customer WHERE c_custkey = 1) GROUP BY c_mktsegment")
+def key_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark)
+    s.run('LOBE "c"; ANCHOR "c_custkey" UNIQUE IN "c"; GRAVITY BY lower(c_mktsegment) IN "c"')
+    s.append("c", spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return s.run('FIND "c" WHERE c_custkey = 1 | PULL').df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment,
    CASE WHEN c_mktsegment = 'BUILDING' OR c_acctbal < 0 THEN 24 ELSE c_nationkey END AS c_nationkey FROM customer""")
 def set_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,9 +621,9 @@ def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.append("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
     s.append("region", spark.read.parquet(f"{sf_dir}/region.parquet"))
     s.run('LINK "nation" WHERE n_regionkey = 2 TO "region" WHERE r_regionkey = 2 AS "lies_in"')
-    return s.run('SCAN "nation" WHERE _link_lies_in IS NOT NULL | FOLLOW _link_lies_in TO "region" ON _lid').df.select(F.col("r_name").alias("region")).crossJoin(
-        s.scan("nation").where("_link_lies_in IS NOT NULL").df().select(F.col("n_name").alias("name"))
-    )
+    found = s.run('SCAN "nation" WHERE _link_lies_in IS NOT NULL | FOLLOW _link_lies_in TO "region" ON _lid').df
+    linked = s.scan("nation").where("_link_lies_in IS NOT NULL").df().withColumnRenamed("_lid", "own")
+    return linked.join(found, linked["_link_lies_in"] == found["_lid"]).select(F.col("n_name").alias("name"), F.col("r_name").alias("region"))
 
 
 # --- views ---
@@ -532,6 +696,57 @@ def view_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("s", F.round("s", 2))
 
 
+@_query(f"""SELECT o_orderkey, o_custkey, o_totalprice FROM {_AFTER} WHERE o_orderstatus = 'F' AND o_totalprice < 250000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 60""")
+def view_route_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _changed(spark, sf_dir, 'CREATE GHOST "done" FROM "o" WHERE o_orderstatus = "F" | TAKE BY o_totalprice DESC')
+    urgent = s.scan("o").where('o_orderstatus = "F" AND o_orderpriority = "1-URGENT"')
+    counted, read = urgent.aggregate("count() AS n").df().first()["n"], urgent.df().count()  # by the base, by the view
+    df = s.run('SCAN "o" WHERE o_totalprice < 250000 AND o_orderstatus = "F" ORDER BY o_totalprice DESC LIMIT 60 | SHAPE {o_orderkey, o_custkey, o_totalprice}').df
+    assert list(s.routed) == ["done", "done"] and counted == read
+    return df.drop("_lid")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 20000")
+def view_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run('CREATE GHOST "by_price" FROM "o" | TAKE BY o_totalprice')
+    df = s.run('SCAN GHOST "by_price" WHERE o_totalprice >= 1000 AND o_totalprice < 20000 LIMIT 10000').df
+    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThanOrEqual(o_totalprice" in _plan(df)
+    routed = s.scan("o").where("o_totalprice >= 1000 AND o_totalprice < 20000").df()
+    assert list(s.routed) == ["by_price"]
+    return routed.select("o_orderkey", "o_totalprice")
+
+
+@_query("SELECT o_custkey, o_orderpriority, round(sum(o_totalprice), 2) AS s, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL ORDER BY sum(o_totalprice) DESC, o_custkey, o_orderpriority LIMIT 25")
+def view_metric_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run(_TOTALS)
+    df = s.run('SCAN "o" WHERE o_orderstatus = "F" | GROUP BY o_custkey, o_orderpriority | AGGREGATE sum(o_totalprice) AS s, count() AS n | TAKE 25 BY s').df
+    assert list(s.routed) == ["totals"] and "GreaterThanOrEqual(_metric" in _plan(df)  # groups below the 64th are skipped
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders WHERE o_orderstatus = 'F'")
+def view_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run('CREATE GHOST "f" FROM "o" WHERE o_orderstatus = "F" | AGGREGATE count(), sum(o_totalprice) | TAKE BY count()')
+    s.run('DROP GHOST "f"')
+    df = s.run('SCAN "o" WHERE o_orderstatus = "F" | AGGREGATE count() AS n, sum(o_totalprice) AS s').df
+    assert not s.routed
+    return df.withColumn("s", F.round("s", 2))
+
+
+@_query("""SELECT 'F' AS kind, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'all', count(*) FROM orders""")
+def batch_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _orders_store(spark, sf_dir)
+    s.run("""CREATE GHOST "f" FROM "o" WHERE o_orderstatus = "F" | AGGREGATE count() | TAKE BY count();
+             CREATE GHOST "all" FROM "o" | AGGREGATE count() | TAKE BY count()""")
+    one = lambda kind, where: s.run(f'SCAN "o"{where} | AGGREGATE count() AS n').df.select(F.lit(kind).alias("kind"), "n")
+    out = one("F", ' WHERE o_orderstatus = "F"').unionAll(one("all", ""))
+    assert list(s.routed) == ["f", "all"]
+    return out
+
+
 @_query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7 GROUP BY o_custkey, o_orderpriority")
 def view_route_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _orders_store(spark, sf_dir)
@@ -596,6 +811,20 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+@_query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = f"{sf_dir}/events.parquet", f"{store(spark).root}/windows"
+    schema = spark.read.parquet(path).schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    plain = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(folder).isFile()
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet" if plain else path)
+    counts = event_counts(stream, "ts", "event_type")
+    # Every batch leaves the whole result so far; the last one stays.
+    writer = counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    writer.option("checkpointLocation", f"{out}-checkpoints").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
 @_query("SELECT 'o_custkey >' AS pattern, 5 AS hits")
 def advise(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables(spark, sf_dir)
