@@ -692,7 +692,7 @@ class Session:
         existing = managed.read(self.spark, entry)
         mark = uuid.uuid4().hex
         schema = managed.merge_schemas(existing.schema, new.schema)
-        new = managed.conform(new, schema).withColumn("_write", F.lit(mark))
+        new = managed.conform(new, schema).withColumn(managed.MARK, F.lit(mark))
         # At most one row per bucket of the dataset; each names a directory.
         counts = {r["_bucket"]: r["count"] for r in old.groupBy("_bucket").count().collect()}
         if not counts and keep is not None:
@@ -702,13 +702,13 @@ class Session:
             touched = sorted(counts)
             kept = existing.filter(F.col("_bucket").isin(touched)) if touched else existing.limit(0)
         kept = kept.filter(keep) if keep is not None else kept.join(old.select("_lid"), "_lid", "left_anti")
-        kept = managed.conform(kept, schema).withColumn("_write", F.lit(None).cast("string"))
+        kept = managed.conform(kept, schema).withColumn(managed.MARK, F.lit(None).cast("string"))
         both = kept.unionByName(new)
         written = managed.write_part(self.spark, self.root, name, {**entry, "schema": None}, both, drop=touched, replace=not entry["gravity"])
         written["schema"] = schema.jsonValue()
         content["datasets"][name] = written
-        rows = managed.read_part(self.spark, written["parts"][-1])
-        return managed.conform(rows.filter(F.col("_write") == mark), schema), sum(counts.values())
+        rows = managed.read_part(self.spark, written["parts"][-1], mark=True)
+        return managed.conform(rows.filter(F.col(managed.MARK) == mark), schema), sum(counts.values())
 
     def _set_where(self, step: t.SetWhere) -> Result:
         return self._change(step.dataset, step.where, dict(step.values), None)

@@ -37,6 +37,8 @@ BATCH_MAX = 10_000
 #: So many parts of one level at the end of a dataset are merged into one of the next level.
 MERGE_AT = 16
 _PART = "_part"
+#: Tells the new rows of a rewritten part from those that were kept.
+MARK = "_write"
 
 
 def new_entry(buckets: int = BUCKETS) -> dict:
@@ -92,15 +94,17 @@ def merge_schemas(a: T.StructType, b: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(n, fields[n]) for n in order])
 
 
-def read_part(spark: SparkSession, part: dict) -> DataFrame:
-    """One part, with the schema that it was written with; a part may hold no file."""
-    return _read_parts(spark, [part])
+def read_part(spark: SparkSession, part: dict, mark: bool = False) -> DataFrame:
+    """One part, with the schema that it was written with; a part may hold no file.  ``mark`` adds the rewriting's own column."""
+    return _read_parts(spark, [part], mark)
 
 
-def _read_parts(spark: SparkSession, parts: list[dict]) -> DataFrame:
+def _read_parts(spark: SparkSession, parts: list[dict], mark: bool = False) -> DataFrame:
     """Parts of one schema in one scan.  Each is a partition directory of its dataset, so that the buckets of it that count
     no more are pruned as partitions."""
     schema = T.StructType.fromJson(parts[0]["schema"])
+    if mark:
+        schema = schema.add(MARK, T.StringType())
     base = parts[0]["path"].rpartition("/")[0]
     df = spark.read.schema(T.StructType([*schema.fields, T.StructField(_PART, T.StringType())])).option("basePath", base).parquet(*[p["path"] for p in parts])
     for part in parts:
@@ -182,7 +186,12 @@ def write_part(spark: SparkSession, root: str, name: str, entry: dict, df: DataF
     writer = df.write.partitionBy("_bucket") if entry["gravity"] else df.write
     writer.parquet(path)
     parts = [] if replace else [{**p, "drop": sorted({*p["drop"], *(drop or [])})} for p in entry["parts"]]
-    return {**entry, "schema": schema.jsonValue(), "parts": [*parts, {"path": path, "drop": [], "schema": df.schema.jsonValue(), "level": 0}]}
+    return {**entry, "schema": schema.jsonValue(), "parts": [*parts, {"path": path, "drop": [], "schema": _plain_schema(df.schema).jsonValue(), "level": 0}]}
+
+
+def _plain_schema(schema: T.StructType) -> T.StructType:
+    """What parts are alike by: their fields by name, whatever their order."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in sorted(schema.fields, key=lambda f: f.name) if f.name != MARK])
 
 
 def merge_tail(spark: SparkSession, root: str, name: str, entry: dict) -> dict:

@@ -268,3 +268,150 @@ def test_number_of_buckets(spark, tmp_path):
     later = Session(spark, s.root)  # a dataset keeps the number it was made with
     later.run('PUT {id: 80, rfc: "A"} IN "c"')
     assert rows(later.run('SCAN "c" WHERE rfc = "A"'), "id") == [(1,), (2,), (80,)]
+
+
+def many(s, n, name="m"):
+    s.append(name, s.spark.range(n).selectExpr("id AS k", "CAST(id % 7 AS STRING) AS conv", "CAST(id AS DOUBLE) AS x"))
+    return s
+
+
+def test_no_result_is_cut_in_silence(s):
+    s.run('LOBE "m"; GRAVITY BY conv IN "m"; LOBE "few"')
+    many(s, 7100)
+    for text in ('SCAN "m"', 'SCAN "m" WHERE conv = "1"', 'SCAN "m" | SHAPE {k}', 'SCAN "m" WHERE conv = "1" | PULL'):
+        result = s.run(text)
+        assert result.has_more and result.df.count() == 1000, text
+    many(s, 10, "few")
+    assert not s.run('SCAN "few" WHERE x >= 0').has_more and s.run('SCAN "few"').df.count() == 10
+    s.run('CREATE GHOST "v" FROM "m" WHERE x >= 0 | TAKE BY x')
+    routed = s.run('SCAN "m" WHERE x >= 0')
+    assert routed.has_more and list(s.routed) == ["v"] and routed.df.count() == 1000
+    assert s.run('SCAN "m" WHERE x < 50 | AGGREGATE count() AS n').rows() == [{"n": 50}]
+    assert s.run('SCAN "m" WHERE x < 50 ORDER BY x LIMIT 9').df.count() == 9
+
+
+def test_pages_are_of_the_version_they_began_with(s):
+    s.run('LOBE "m"')
+    many(s, 1500)
+    first = s.run('SCAN "m"')
+    s.run('DELETE "m" WHERE k > 100; PUT {k: 9000} IN "m"')
+    rest = s.run(f'SCAN "m" LIMIT 1000 CURSOR "{first.cursor}"')
+    assert sorted(r["k"] for r in first.rows() + rest.rows()) == list(range(1500)) and not rest.has_more
+
+
+def test_fetch_refuses_long_sections(s):
+    many(s, 10_001)
+    with pytest.raises(Exception, match="more than 10000 records"):
+        s.run('FETCH "m", "m" WHERE x >= 0 AS {a, b}').df.collect()
+    assert len(s.run('FETCH "m" WHERE x < 3 AS {a}').df.first()["a"]) == 3
+
+
+def test_a_link_to_several_records_is_followed_to_all(s):
+    s.run('PUT BATCH IN "a" [{n: 1}]; PUT BATCH IN "b" [{n: 1}, {n: 2}, {n: 3}]; LINK "a" WHERE n = 1 TO "b" WHERE n >= 2 AS "to"')
+    assert rows(s.run('SCAN "a" | FOLLOW _link_to TO "b" ON _lid'), "n") == [(2,), (3,)]
+
+
+def test_vectors_that_are_not_finite_are_never_near(s):
+    s.run('LOBE "v"')
+    values = [("a", [1.0, 0.0]), ("nan", [float("nan"), 1.0]), ("b", [0.9, 0.1]), ("inf", [float("inf"), 1.0]), ("null", [None, 1.0])]
+    s.append("v", s.spark.createDataFrame(values, "n string, e array<double>"))
+    for metric in ("cosine", "dot", "l2"):
+        assert [r["n"] for r in s.run(f'SCAN "v" | NEAREST 4 BY e TO [1.0, 0.0] USING {metric}').rows()] == ["a", "b"], metric
+
+
+def test_upserts_keep_every_anchor_unique(s):
+    s.run('LOBE "u"; ANCHOR "k" UNIQUE IN "u"; ANCHOR "m" UNIQUE IN "u"; PUT BATCH IN "u" [{k: 1, m: "x", v: 1}, {k: 2, m: "y", v: 2}]')
+    s.run('PUT {k: 3, m: "x", v: 5} IN "u" ON CONFLICT UPDATE')
+    assert rows(s.run('SCAN "u"'), "k", "m", "v") == [(2, "y", 2), (3, "x", 5)]
+    with pytest.raises(QueryError, match="anchor m is unique"):
+        s.run('PUT {k: 2, m: "x"} IN "u" ON CONFLICT UPDATE')
+    with pytest.raises(QueryError, match="two rows of the batch"):
+        s.run('PUT BATCH IN "u" [{k: 2, v: 8}, {m: "y", v: 9}] ON CONFLICT UPDATE')
+    s.run('PUT BATCH IN "u" [{k: 2, v: 8}, {k: 4, m: "z", v: 9}] ON CONFLICT UPDATE')
+    assert rows(s.run('SCAN "u"'), "k", "m", "v") == [(2, "y", 8), (3, "x", 5), (4, "z", 9)]
+
+
+def test_streams_are_written_once_however_long_ago(s):
+    df = s.spark.createDataFrame([(1,)], "k long")
+    for number in range(3):
+        assert s.append("b", df, stream=("one", number)).info["count"] == 1
+    assert s.append("b", df, stream=("two", 0)).info["count"] == 1
+    assert s.append("b", df, stream=("one", 0)).info["repeated"] and s.append("b", df, stream=("one", 2)).info["repeated"]
+    assert s.scan("b").df().count() == 4 and s.catalog.entry("b")["streams"] == {"one": 2, "two": 0}
+
+
+def test_placed_records_leave_pruning_in_place(s):
+    seed(s)
+    s.run('PUT {id: 20, rfc: "B", _type: "Pay"} IN "c" LINK TO "c" WHERE id = 1 AS "of"')
+    df = s.scan("c").where('rfc = "B"').df()
+    assert "PartitionFilters: [_bucket" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in df.collect()) == [3, 20]  # the placed one stands in another bucket
+    assert rows(s.run('FIND "c" WHERE id = 1 | PULL'), "id") == [(1,), (2,), (20,)]
+
+
+def test_parts_of_one_schema_are_one_scan_and_are_merged(s, monkeypatch):
+    from tessera.sources import managed
+
+    s.run('LOBE "m"; GRAVITY BY conv IN "m"')
+    for _ in range(3):
+        many(s, 20)
+    s.run('DELETE "m" WHERE conv = "3"')
+    plan = s.scan("m").df()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    assert s.scan("m").df().count() == 3 * 17
+    monkeypatch.setattr(managed, "MERGE_AT", 3)
+    for _ in range(4):
+        many(s, 20)
+    assert len(s.catalog.entry("m")["parts"]) <= 4 and s.scan("m").df().count() == 3 * 17 + 80
+    s.run('SET "m" x = -1.0 WHERE conv = "2"')
+    assert s.scan("m").where("x = -1").df().count() == 21
+
+
+def test_views_of_whole_records_serve_scans(s):
+    seed(s)
+    s.run('CREATE GHOST "credits" FROM "c" WHERE _type = "Credit" | TAKE BY amount DESC; CREATE GHOST "part" FROM "c" WHERE _type = "Pay" | TAKE BY id | EMBED id')
+    base = lambda where: sorted(r["id"] for r in s.dataset("c").filter(where).collect())
+
+    def same(text, where, view):
+        s.routed.clear()
+        assert sorted(r["id"] for r in s.run(text).rows()) == base(where) and list(s.routed) == ([view] if view else [])
+
+    for _ in range(2):
+        same('SCAN "c" WHERE _type = "Credit"', "_type = 'Credit'", "credits")
+        same('SCAN "c" WHERE st = "x" AND _type = "Credit"', "_type = 'Credit' AND st = 'x'", "credits")
+        same('SCAN "c" WHERE _type = "Pay"', "_type = 'Pay'", None)  # EMBED holds a part of each record
+        same('SCAN "c" WHERE _type = "Credit" OR amount > 1', "_type = 'Credit' OR amount > 1", None)
+        same('SCAN "c" WHERE rfc = "A" AND _type = "Credit"', "rfc = 'A' AND _type = 'Credit'", None)  # its bucket is enough
+        s.run('SET "c" st = "x", fresh = 4 WHERE id = 3; DELETE "c" WHERE id = 4; PUT {id: 30, rfc: "Q", _type: "Credit", amount: 3.0, st: "x"} IN "c" ON CONFLICT UPDATE')
+
+
+def test_rollups_in_metric_order_skip_groups(s):
+    df = s.spark.range(3000).selectExpr("id % 900 AS g", "CAST(id AS DOUBLE) AS x")
+    s.append("r", df)
+    s.run('CREATE GHOST "v" FROM "r" | GROUP BY g | AGGREGATE sum(x), count() | TAKE BY sum(x) DESC')
+    query = 'SCAN "r" | GROUP BY g | AGGREGATE sum(x) AS t | TAKE 50 BY t'
+    want = lambda: [(r["g"], r["t"]) for r in s.dataset("r").groupBy("g").agg(F.sum("x").alias("t")).orderBy(F.desc("t"), "g").limit(50).collect()]
+    first = s.run(query)
+    assert "_metric" in first.df._jdf.queryExecution().executedPlan().toString()
+    assert [(r["g"], r["t"]) for r in first.rows()] == want()
+    s.run('PUT {g: 5, x: 99999.0} IN "r"')  # a second part: all groups are merged
+    assert [(r["g"], r["t"]) for r in s.run(query).rows()] == want()
+    s.run("COMPACT")
+    assert [(r["g"], r["t"]) for r in s.run(query).rows()] == want() and len(s.routed) == 3
+
+
+def test_adopted_views_are_few_and_the_last_used_stay(s):
+    now = [0.0]
+    s.clock = lambda: now[0]
+    seed(s)
+    for field in ("amount > 1", "amount < 900", "id > 0"):
+        for _ in range(5):
+            now[0] += 1
+            s.run(f'SCAN "c" WHERE {field}')
+        s.adopt(most=2)
+        now[0] += 1
+        s.run(f'SCAN "c" WHERE {field} | AGGREGATE count() AS n')
+    kept = {e["pattern"] for e in s.catalog.content["views"].values()}
+    assert kept == {"amount <", "id >"} and s.advise(min_ms=1e9) == []
+    s.adopt(promote_hits=1)
+    assert {e.get("promoted") for e in s.catalog.content["views"].values() if e["pattern"] == "id >"} == {True}
