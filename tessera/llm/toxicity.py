@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-Features of a token are its word and its first four and five bytes.  How many documents of each class hold a feature is
-counted in the cluster over all labelled rows that may be learnt from; features whose counts differ significantly between
+Features of a token are its word and its first four and five bytes.  Fitting uses a bounded random sample of labelled rows that
+may be learnt from, ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other ones, whatever their texts' lengths.  How many documents of
+each class hold a feature is counted over the sample in the cluster; features whose counts differ significantly between
 the classes are the model's vocabulary (``MOST_FEATURES`` at most), and a token of a toxic document is labelled toxic if
-one of its features speaks for that class.  The field is fitted to a bounded random sample of labelled rows:
-``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` other ones, of any length, give their stretches of up to ``SPAN`` tokens,
-none of which runs over a document's end, and of these ``STRETCHES`` with a toxic token and as many of any kind are drawn by a hash.
+one of its features speaks for that class.  The sample's texts give stretches of up to ``SPAN`` tokens, none of which runs over a
+document's end; of these ``STRETCHES`` with a toxic token and as many of any kind are drawn by a hash.
 The field's weights maximise the regularised likelihood of these labelled tokens by forward-backward gradients.
 The driver holds the chosen features, the drawn stretches and two figures for each row of the sample, whatever the texts' lengths.
 
@@ -293,33 +293,38 @@ def learnable() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Count features over all labelled rows that may be learnt from, and fit the field to the bounded sample of them."""
+def sampled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic) of the bounded sample of the labelled rows that may be learnt from, and the share of toxic ones among all such rows."""
     known = labels.filter(F.col("toxic").isNotNull() & learnable()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    learnt = docs.select("doc_id", text).join(known, "doc_id")
-    learnt = materialize(learnt.withColumn("draw", F.xxhash64(F.lit(11), "doc_id", "text")), "labelled-texts")
-    sums = learnt.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in sums}
-    n1, n0 = n.get(True, 0), n.get(False, 0)
     share = known.agg(F.avg(F.col("toxic").cast("int")).alias("share")).first()["share"] or 0.0
+    draw = F.xxhash64(F.lit(11), "doc_id")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    parts = [known.filter(F.col("toxic") == y).orderBy(draw, "doc_id").limit(n) for y, n in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN))]
+    # At most SAMPLE_TOXIC + SAMPLE_CLEAN ids: a proven bound for the broadcast.
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
+    return materialize(rows, "toxicity-sample"), float(share)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Field:
+    """Fit the field to the bounded sample of labelled rows, whose texts stay in the cluster."""
+    sample, share = sampled(docs, labels)
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n1, n0 = n.get(True, 0), n.get(False, 0)
     model = Field()
     model.calibration = np.array([np.log(max(share, 1e-6) / max(1 - share, 1e-6)), 0.0, 0.0])
     if not n1 or not n0:
         return model
-    keys, speaks = significant_features(feature_counts(learnt.select("text", F.col("toxic").cast("int"))), n1, n0)
+    keys, speaks = significant_features(feature_counts(sample.select("text", F.col("toxic").cast("int"))), n1, n0)
     if not len(keys):
         return model
-    parts = [learnt.filter(F.col("toxic") == y).orderBy("draw", "doc_id").limit(k) for y, k in ((True, SAMPLE_TOXIC), (False, SAMPLE_CLEAN))]
-    sample = materialize(parts[0].unionByName(parts[1]), "toxicity-sample")
     found = materialize(stretches(sample.select("doc_id", "text", "toxic"), keys, speaks), "stretches")
-    drawn = [d.orderBy("draw").limit(STRETCHES) for d in (found.filter("hot"), found.select("draw", "hot", "slots"))]
+    drawn = [d.orderBy("draw").limit(STRETCHES) for d in (found.filter("hot"), found)]
     # At most 2 * STRETCHES rows of SPAN tokens.
     rows = drawn[0].unionByName(drawn[1]).dropDuplicates(["draw"]).orderBy("draw").toArrow()["slots"].to_numpy()
     model = fit_chain(list(rows), keys)
     evidence = _marginals(sample, model).toArrow()  # two figures for each row of the sample
     best, total, toxic = (evidence[c].to_numpy() for c in ("best", "total", "toxic"))
-    model.calibration = calibrate(_evidence(best, total), toxic.astype(bool), float(share))
+    model.calibration = calibrate(_evidence(best, total), toxic.astype(bool), share)
     return model
 
 
