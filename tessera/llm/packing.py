@@ -149,8 +149,8 @@ def _fill(counts: np.ndarray, room: int, lengths: np.ndarray, weights: np.ndarra
     return counts
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: float = 8.0) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how many sequences use each; together they hold every piece exactly once.
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, eta: float = 8.0) -> list[tuple[dict[int, int], int]]:
+    """Configurations (pieces by number of length) and how many sequences use each; together they hold every piece exactly once.
 
     Multiplicative weights over the covering constraints of the configuration program: a length
     is worth its share of a sequence times ``exp(-eta * share of its pieces that have a slot)``, and each round
@@ -160,7 +160,7 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
     that best-fit needs for the last room, so its last rounds are taken back by quarters as long as that saves sequences.
     """
     share, left = lengths / capacity, counts.astype(np.int64).copy()
-    found: list[tuple[np.ndarray, int]] = []
+    found: list[tuple[dict[int, int], int]] = []
     goal = (1 - PLACED) * float(counts @ lengths)
     while len(lengths) and left @ lengths > goal:
         covered = 1 - left / counts
@@ -169,28 +169,32 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
         if config @ lengths < capacity:
             break
         times = max(1, int((left[used] // config[used]).min()) // 4)
-        found.append((config, times))
+        found.append((dict(zip(used.tolist(), config[used].tolist(), strict=True)), times))
         left -= config * times
     best = None
     for quarters in range(4, -1, -1):
-        part = found[: len(found) * quarters // 4]
-        rest = counts - sum((config * times for config, times in part), np.zeros(len(lengths), np.int64))
-        packed = part + best_fit(lengths, rest, capacity)
-        used = sum(times for _, times in packed)
+        cut = len(found) * quarters // 4
+        rest = counts.astype(np.int64).copy()
+        for config, times in found[:cut]:
+            for i, n in config.items():
+                rest[i] -= n * times
+        last = best_fit(lengths, rest, capacity)
+        used = sum(times for _, times in found[:cut]) + sum(times for _, times in last)
         if best is None or used < best[0]:
-            best = used, packed
-    merged: dict[bytes, list] = {}
-    for config, times in best[1]:
-        merged.setdefault(config.tobytes(), [config, 0])[1] += times
-    return [(config, times) for config, times in merged.values()]
+            best = used, cut, last
+    merged: dict[tuple, int] = {}
+    for config, times in found[: best[1]] + best[2]:
+        key = tuple(sorted(config.items()))
+        merged[key] = merged.get(key, 0) + times
+    return [(dict(key), times) for key, times in merged.items()]
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best-fit decreasing over what is left.  Sequences filled alike are handled together: ``open_`` maps
     the room left to the kinds of sequences that have it."""
     open_: dict[int, list[list]] = {}
     rooms = np.zeros(capacity + 1, np.int64)
-    for i in np.argsort(lengths)[::-1]:
+    for i in np.argsort(lengths)[::-1].tolist():
         size, todo = int(lengths[i]), int(counts[i])
         while todo:
             fit = np.flatnonzero(rooms[size:])
@@ -199,7 +203,7 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
                 full, rest = divmod(todo, per)
                 for many, times in ((per, full), (rest, 1 if rest else 0)):
                     if times:
-                        open_.setdefault(capacity - many * size, []).append([{int(i): many}, times])
+                        open_.setdefault(capacity - many * size, []).append([{i: many}, times])
                         rooms[capacity - many * size] += times
                 break
             room = size + int(fit[0])
@@ -209,25 +213,18 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
             if use < times:
                 open_[room].append([kind, times - use])
             rooms[room] -= use
-            open_.setdefault(room - per * size, []).append([{**kind, int(i): kind.get(int(i), 0) + per}, use])
+            open_.setdefault(room - per * size, []).append([{**kind, i: kind.get(i, 0) + per}, use])
             rooms[room - per * size] += use
             todo -= per * use
-    out = []
-    for kinds in open_.values():
-        for kind, times in kinds:
-            config = np.zeros(len(lengths), np.int64)
-            config[list(kind)] = list(kind.values())
-            out.append((config, times))
-    return out
+    return [(kind, times) for kinds in open_.values() for kind, times in kinds]
 
 
-def slot_table(lengths: np.ndarray, configurations: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int, int]]:
+def slot_table(lengths: np.ndarray, configurations: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, one past the last, slots per sequence, first sequence, offset of its first slot)."""
     rows, taken, sequence = [], np.zeros(len(lengths), np.int64), 0
     for config, times in configurations:
         offset = 0
-        for i in np.flatnonzero(config):
-            many = int(config[i])
+        for i, many in sorted(config.items()):
             rows.append((int(lengths[i]), int(taken[i]), int(taken[i] + many * times), many, sequence, offset))
             taken[i] += many * times
             offset += many * int(lengths[i])
