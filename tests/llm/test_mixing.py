@@ -32,11 +32,11 @@ def test_temperature_meets_the_target(spark):
 def test_many_sources_stay_in_the_cluster(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what remains would be forced
     try:
-        rows = spark.range(60_000).selectExpr("id AS doc_id", "concat('a b c ', id) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('site', id) END AS source")
+        rows = spark.range(250_000).selectExpr("id AS doc_id", "concat('a b c ', id) AS text", "CASE WHEN id % 5 = 0 THEN 'hot' ELSE concat('site', id) END AS source")
         out = mixing.mix_sources(rows)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
-        assert out.select("row.doc_id").distinct().count() == 60_000
+        assert out.select("row.doc_id").distinct().count() == 250_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
