@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.store import arrow_map, materialize
-from tessera.llm.words import Words, each_slice, mix, spans
+from tessera.llm.words import Words, each_slice, mix
 
 #: Labelled rows that the field and its calibration are fitted to, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
@@ -48,13 +48,7 @@ DECISION = 0.3
 
 def token_features(words: Words) -> np.ndarray:
     """Hashes of each token's features, tokens by kinds; 0 where a word is too short for the kind."""
-    out = np.zeros((len(words.starts), 1 + len(PREFIXES)), np.uint64)
-    out[:, 0] = words.hashes()
-    for k, size in enumerate(PREFIXES, 1):
-        long = words.starts + size <= words.ends
-        begin = words.starts[long]
-        out[long, k] = mix(spans(words.data, begin, begin + size) + np.uint64(size << 32))
-    return out
+    return words.prefixes(PREFIXES)
 
 
 @dataclass

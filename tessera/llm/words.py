@@ -73,9 +73,10 @@ def windows(values: np.ndarray, size: int, base: int, at: np.ndarray) -> np.ndar
     return out
 
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomials over the bytes of spans that ascend and do not overlap; not mixed yet."""
-    out, a = np.empty(len(starts), np.uint64), 0
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...] = ()) -> np.ndarray:
+    """Polynomials over the bytes of spans that ascend and do not overlap, not mixed yet; with ``sizes`` there is a column for
+    the whole span and one for its first so many bytes, which means nothing where it has fewer."""
+    out, a = np.empty((len(starts), 1 + len(sizes)), np.uint64), 0
     while a < len(starts):
         lo = int(starts[a])
         b = int(np.searchsorted(ends, lo + CHUNK, "right"))
@@ -83,15 +84,21 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             total = 0
             for p in range(lo, int(ends[a]), CHUNK):
                 part = data[p : min(p + CHUNK, int(ends[a]))].astype(np.uint64) + np.uint64(1)
-                total += int(_running(part, _BASE)[-1]) * pow(_BASE, p - lo, 1 << 64)
-            out[a] = total & (2**64 - 1)
+                sums = _running(part, _BASE)
+                if p == lo:
+                    out[a, 1:] = sums[np.minimum(sizes, len(part)).astype(np.int64)]
+                total += int(sums[-1]) * pow(_BASE, p - lo, 1 << 64)
+            out[a, 0] = total & (2**64 - 1)
             a += 1
             continue
         sums = _running(data[lo : int(ends[b - 1])].astype(np.uint64) + np.uint64(1), _BASE)
         begin = starts[a:b] - lo
-        out[a:b] = (sums[ends[a:b] - lo] - sums[begin]) * powers(_INVERSE, CHUNK)[begin]
+        base, scale = sums[begin], powers(_INVERSE, CHUNK)[begin]
+        out[a:b, 0] = (sums[ends[a:b] - lo] - base) * scale
+        for k, size in enumerate(sizes, 1):
+            out[a:b, k] = (sums[np.minimum(begin + size, len(sums) - 1)] - base) * scale
         a = b
-    return out
+    return out if sizes else out[:, 0]
 
 
 @dataclass
@@ -116,7 +123,19 @@ class Words:
     def hashes(self, a: int = 0, b: int | None = None) -> np.ndarray:
         """Hashes of the words a to b, all by default."""
         starts, ends = self.starts[a:b], self.ends[a:b]
-        return mix(spans(self.data, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return self._hash(spans(self.data, starts, ends), starts, ends)
+
+    def _hash(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def prefixes(self, sizes: tuple[int, ...]) -> np.ndarray:
+        """Hashes of the words and of their first so many bytes; 0 for words that have fewer."""
+        out = spans(self.data, self.starts, self.ends, sizes)
+        out[:, 0] = self._hash(out[:, 0], self.starts, self.ends)
+        long = self.ends - self.starts
+        for k, size in enumerate(sizes, 1):
+            out[:, k] = np.where(long >= size, mix(out[:, k] + np.uint64(size << 32)), np.uint64(0))
+        return out
 
 
 def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
