@@ -13,8 +13,8 @@ deep in the tries, and no work is done on the wide nodes above them; a vertex wi
 depth at which planted pairs exactly at the threshold meet with the target probability, as measured (:func:`floor_depth`).
 
 A pair belongs to the first trie of those where it shares the longest prefix, so it is verified and counted
-once.  Large nodes are dealt into blocks and verified a pair of blocks at a time with one matrix product
-over the shingles.  Texts are read once, where a vertex shares a node at all; blocks get the sorted 64-bit hashes of its
+once.  Large nodes are dealt into blocks and verified a pair of blocks at a time over bit maps of the
+shingles that two or more of their texts have.  Texts are read once, where a vertex shares a node at all; blocks get the sorted 64-bit hashes of its
 shingles.  Rows that leave a block are one per vertex, never one per pair.
 
 Defined cases: a null text is an empty one; a text of fewer than five words has one shingle, all its words,
@@ -48,6 +48,8 @@ LEVELS = 8
 TARGET_RECALL = 0.9999
 #: A block of a node holds about so many vertices at most, and about so many shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Pairs whose shingles are compared at a time, as bits.
+PAIRS = 1 << 14
 #: Linked texts that a vertex must have before its own recall is estimated.
 LEAST_LINKS = 64
 _SHINGLE_BASE = 0xA0761D6478BD642F | 1
@@ -151,14 +153,19 @@ def overlaps(values: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     _, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total, step = int(column[-1]) + 1 if len(column) else 0, 8192
-    product = np.zeros((n, n), np.float32)
+    total, step = int(column[-1]) + 1 if len(column) else 0, 4096
+    first, second = np.nonzero(wanted)
+    both = np.zeros(len(first), np.int64)
     for lo in range(0, total, step):
         a, b = np.searchsorted(column, (lo, lo + step))
-        part = np.zeros((n, min(step, total - lo)), np.float32)
-        part[owner[a:b], column[a:b] - lo] = 1
-        product += part @ part.T
-    return np.where(wanted, np.rint(product).astype(np.int64), 0)
+        part = np.zeros((n, -(-min(step, total - lo) // 64) * 64), bool)
+        part[owner[a:b], column[a:b] - lo] = True
+        bits = np.packbits(part, axis=1).view(np.uint64)
+        for at in range(0, len(first), PAIRS):
+            some = slice(at, at + PAIRS)
+            both[some] += np.bitwise_count(bits[first[some]] & bits[second[some]]).sum(axis=1, dtype=np.int64)
+    out[first, second] = both
+    return out
 
 
 def new_pairs(found: np.ndarray, tree: int, depth: int) -> np.ndarray:
@@ -217,7 +224,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = wanted.join(texts, wanted["rep"].eqNullSafe(texts["doc_id"]) & (wanted["k1"] == texts["key"])).select("k1", "text")
     found = materialize(arrow_map(rows, find, "k1 long, hashes binary"), "shingle-sets")
     # Rows with one id and one text come several times.
-    again = materialize(found.groupBy("k1").count().filter("count > 1").select("k1"), "repeated-sets")
+    again = found.groupBy("k1").count().filter("count > 1").select("k1")
     if not again.take(1):
         return found
     return materialize(found.join(again, "k1", "left_anti").unionByName(found.join(again, "k1", "left_semi").dropDuplicates(["k1"])), "shingle-sets")
@@ -235,7 +242,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, threshold: float = THRES
     start = classes.select("k1", "rep", "n", "size", "labels", F.lit(False).alias("done"))
     below = _nodes(start, floor)
     shared = below.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("tree", "prefix")
-    met = materialize(below.join(shared, ["tree", "prefix"]).select("k1").distinct(), "met-texts")
+    met = below.join(shared, ["tree", "prefix"]).select("k1").distinct()
     vertices = materialize(start.drop("done").join(met, "k1"), "met-vertices")
     sets = shingle_sets(docs, vertices.select("k1", "rep"))
     stopped = spark.createDataFrame([], "k1 long, depth int")
