@@ -44,6 +44,8 @@ PREFIXES = (4, 5)
 #: Features that a task holds before it adds them up and sends them on.
 COUNTED = 1 << 20
 DECISION = 0.3
+#: Tokens of a chain that are taken as one while it is walked.
+RUN = 32
 
 
 def token_features(words: Words) -> np.ndarray:
@@ -94,23 +96,11 @@ class Field:
         index = np.arange(n) - np.repeat(begins, many)
         before = np.where(index == 0, position, position - np.roll(position, 1) - 1)
         gap = power(before)
-        potential = np.stack([np.ones(n), np.exp(self.bias + weight)], axis=1)
-        left, right = np.zeros((n, 2)), np.zeros((n, 2))
-        deep = int(many.max())
-        by_depth = np.argsort(-many, kind="stable")
-        alive = np.searchsorted(-many[by_depth], -np.arange(1, deep + 1), "right")
-        for j in range(deep):
-            at = begins[by_depth[: alive[j]]] + j
-            came = np.array([[1.0, 0.0]]) if j == 0 else left[at - 1]
-            now = np.einsum("ni,nij->nj", np.broadcast_to(came, (len(at), 2)), gap[at]) @ move * potential[at]
-            left[at] = now / now.sum(axis=1, keepdims=True)
+        # One step of the chain: the gap before a token, the move into it and its potential.
+        step = gap @ move * np.stack([np.ones(n), np.exp(self.bias + weight)], axis=1)[:, None, :]
         ends = begins + many - 1
-        tail = power(counts[doc[ends]] - position[ends] - 1)
-        right[ends] = tail.sum(axis=2)
-        for j in range(deep - 2, -1, -1):
-            at = begins[by_depth[: alive[j + 1]]] + j
-            now = np.einsum("nij,nj->ni", gap[at + 1], (potential[at + 1] * right[at + 1]) @ move.T)
-            right[at] = now / now.sum(axis=1, keepdims=True)
+        last = power(counts[doc[ends]] - position[ends] - 1).sum(axis=2)
+        left, right = _scan(step, index, np.array([1.0, 0.0]), last)
         both = left * right
         return both[:, 1] / both.sum(axis=1)
 
@@ -119,6 +109,46 @@ class Field:
         return 1 / (1 + np.exp(-(_evidence(best, total) @ self.calibration)))
 
 
+def _scan(step: np.ndarray, index: np.ndarray, start: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward vectors, up to factors, of chains of 2 x 2 matrices; ``index`` is a matrix's place in its chain, ``last``
+    has the vector behind the end of each chain.
+
+    Chains are cut into runs of ``RUN`` matrices. Products inside all runs are taken side by side, then the vectors at their
+    ends chain by chain, so a long chain takes about ``RUN`` steps and one for each of its runs.
+    """
+    n, place = len(step), index % RUN
+    run = np.cumsum(place == 0) - 1
+    first = np.flatnonzero(place == 0)
+    stop = np.append(first[1:], n) - 1
+    level = lambda x: x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+    before, after = level(step), level(step)
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(int(place.max()) + 2))
+    for k in range(1, int(place.max()) + 1):
+        at = order[cuts[k] : cuts[k + 1]]
+        before[at] = level(before[at - 1] @ step[at])
+    back = stop[run] - np.arange(n)  # places to the end of the run
+    order = np.argsort(back, kind="stable")
+    cuts = np.searchsorted(back[order], np.arange(int(back.max()) + 2))
+    for k in range(1, int(back.max()) + 1):
+        at = order[cuts[k] : cuts[k + 1]]
+        after[at] = level(step[at] @ after[at + 1])
+    # Runs of a chain one after the other, all chains side by side.
+    head = np.flatnonzero(index[first] == 0)
+    runs = np.diff(np.append(head, len(first)))
+    enter, leave = np.tile(start, (len(first), 1)), np.zeros((len(first), 2))
+    leave[head + runs - 1] = level(last)
+    for k in range(1, int(runs.max())):
+        at = head[runs > k] + k
+        enter[at] = level(np.einsum("ni,nij->nj", enter[at - 1], before[stop[at - 1]]))
+        at = (head + runs)[runs > k] - 1 - k
+        leave[at] = level(np.einsum("nij,nj->ni", after[first[at + 1]], leave[at + 1]))
+    left = level(np.einsum("ni,nij->nj", enter[run], before))
+    right, inner = leave[run], np.flatnonzero(back > 0)
+    right[inner] = level(np.einsum("nij,nj->ni", after[inner + 1], leave[run[inner]]))
+    return left, right
+
+
 def _evidence(best: np.ndarray, total: np.ndarray) -> np.ndarray:
     clipped = np.clip(best, 1e-4, 1 - 1e-4)
     return np.stack([np.ones(len(best)), np.log(clipped / (1 - clipped)), np.log1p(total)], axis=1)
