@@ -154,8 +154,8 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
 
     Multiplicative weights over the covering constraints of the configuration program: a length
     is worth its share of a sequence times ``exp(-eta * share of its pieces that have a slot)``, and each round
-    adds the configuration that is worth most, for a quarter of what its scarcest length needs, rounded down to whole sequences
-    or up to one.  No length gets more slots than pieces.  The rounds end when ``PLACED`` of all tokens have slots, or no
+    adds the configuration that is worth most, for as many whole sequences as its scarcest length has pieces left for, one at
+    least.  No length gets more slots than pieces.  The rounds end when ``PLACED`` of all tokens have slots, or no
     configuration is full any more; the rest is packed best-fit.  Where lengths are few the program may use up the pieces
     that best-fit needs for the last room, so its last rounds are taken back by quarters as long as that saves sequences.
     """
@@ -168,7 +168,7 @@ def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int,
         used = np.flatnonzero(config)
         if config @ lengths < capacity:
             break
-        times = max(1, int((left[used] // config[used]).min()) // 4)
+        times = int((left[used] // config[used]).min())
         found.append((dict(zip(used.tolist(), config[used].tolist(), strict=True)), times))
         left -= config * times
     best = None
