@@ -325,13 +325,14 @@ def take_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000)")
 def follow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = 'SCAN "orders" WHERE o_orderstatus = "F" AND o_totalprice > 150000 | FOLLOW o_custkey TO "customer" ON c_custkey | SHAPE {c_custkey, c_name}'
-    return tables(spark, sf_dir).run(text).df
+    # The fluent form: records of a SCAN in the language end at its default limit.
+    buyers = tables(spark, sf_dir).scan("orders").where('o_orderstatus = "F" AND o_totalprice > 150000').follow("o_custkey", "customer", "c_custkey")
+    return buyers.shape("c_custkey", "c_name").df()
 
 
 @_query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def follow_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir).run('SCAN "labels" WHERE toxic = 1 | FOLLOW doc_id TO "documents" ON doc_id | SHAPE {doc_id, lang}').df
+    return tables(spark, sf_dir).scan("labels").where("toxic = 1").follow("doc_id", "documents", "doc_id").shape("doc_id", "lang").df()
 
 
 @_query(f"SELECT _type, CAST(custkey AS BIGINT) AS custkey, count(*) AS n FROM {_ENTITY} WHERE custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000) GROUP BY _type, custkey")
@@ -382,7 +383,7 @@ def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def pull_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables(spark, sf_dir).run('SCAN "conversations" WHERE role = "system" | PULL | SHAPE {conv_id, turn}').df
+    return tables(spark, sf_dir).scan("conversations").where('role = "system"').pull().shape("conv_id", "turn").df()
 
 
 @_query("""SELECT CAST(1 AS BIGINT) AS parents, count(*) AS children, CAST(1 + count(*) AS BIGINT) AS pulled FROM nation WHERE n_regionkey = 1""")

@@ -36,3 +36,13 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, larger", [("follow", "sf0.01"), ("pull_sessions", "sf0.1")])
+def test_records_beyond_the_languages_default_limit(spark, sf, name, larger):
+    """Over 1,000 customers and turns: a plan that ends in records through the language gives the first 1,000 of them."""
+    at = sf.replace("sf0.001", larger)
+    con = duckdb.connect()
+    for path in glob.glob(f"{at}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    assert plain(QUERIES[name](spark, at).toPandas()) == plain(con.execute(ORACLE_SQL[name]).df())
