@@ -13,8 +13,10 @@ deep in the tries, and no work is done on the wide nodes above them; a vertex wi
 depth at which planted pairs exactly at the threshold meet with the target probability, as measured (:func:`floor_depth`).
 
 A pair belongs to the first trie of those where it shares the longest prefix, so it is verified and counted
-once.  Large nodes are dealt into blocks and verified a pair of blocks at a time over bit maps of the
-shingles that two or more of their texts have.  Texts are read once, where a vertex shares a node at all; blocks get the sorted 64-bit hashes of its
+once.  A group of near copies is a node of nearly every trie.  Nodes of one depth that hold much the same vertices are united,
+where the union has no more pairs than they have together: its vertices are sent once, not once per trie, and the
+pairs that belong to one of its nodes are verified there.  Large nodes and units are dealt into blocks and verified a pair of
+blocks at a time over bit maps of the shingles that two or more of their texts have.  Texts are read once, where a vertex shares a node at all; blocks get the sorted 64-bit hashes of its
 shingles.  Rows that leave a block are one per vertex, never one per pair.
 
 Defined cases: a null text is an empty one; a text of fewer than five words has one shingle, all its words,
@@ -32,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -48,6 +50,10 @@ LEVELS = 8
 TARGET_RECALL = 0.9999
 #: A block of a node holds about so many vertices at most, and about so many shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Nodes of so many vertices are united with others where that saves rows.
+LARGE = 64
+#: One in so many vertices says which nodes are united.
+SAMPLED = 8
 #: Pairs whose shingles are compared at a time, as bits.
 PAIRS = 1 << 14
 #: Linked texts that a vertex must have before its own recall is estimated.
@@ -168,19 +174,26 @@ def overlaps(values: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def new_pairs(found: np.ndarray, tree: int, depth: int) -> np.ndarray:
-    """Pairs whose longest common prefix over all tries is ``depth`` bytes and is had in ``tree`` first."""
+def new_pairs(found: np.ndarray, tree: int, depth: int, own: np.ndarray | None = None) -> np.ndarray:
+    """Pairs whose longest common prefix over all tries is ``depth`` bytes and is had in ``tree`` first.
+
+    For a unit, whose ``tree`` is ``TREES``, that first trie is one of those in which the vertex's node is the unit's: the bits of ``own``.
+    """
     n, step = len(found), max(1, (1 << 20) // (max(len(found), 1) * TREES))
     out = np.zeros((n, n), bool)
     for lo in range(0, n, step):
         gap = found[lo : lo + step, None, :] ^ found[None, :, :]
-        here = _meet(gap[:, :, tree], depth) & ~_meet(gap[:, :, :tree], depth).any(axis=2)
+        if tree < TREES:
+            here = _meet(gap[:, :, tree], depth) & ~_meet(gap[:, :, :tree], depth).any(axis=2)
+        else:
+            meets = _meet(gap, depth)
+            here = meets.any(axis=2) & (own[lo : lo + step, None] >> meets.argmax(axis=2) & 1).astype(bool)
         out[lo : lo + step] = here & ~_meet(gap, depth + 1).any(axis=2) if depth < LEVELS else here
     return out
 
 
-def verify_block(vertex, weight, side, done, found, values, tree: int, lo: int, hi: int, depth: int, threshold: float):
-    """(vertex, root, links, others, missing) of the vertices with a new link in one pair of blocks of a node of ``tree``.
+def verify_block(vertex, weight, side, done, own, found, values, tree: int, lo: int, hi: int, depth: int, threshold: float):
+    """(vertex, root, links, others, missing) of the vertices with a new link in one pair of blocks of a node of ``tree`` or of a unit.
 
     ``others`` are linked vertices, ``missing`` has for each depth how many more they stand for that are not found there.
     """
@@ -192,7 +205,7 @@ def verify_block(vertex, weight, side, done, found, values, tree: int, lo: int,
     sizes = np.fromiter(map(len, values), np.int64, n)
     wanted &= np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
     if wanted.any():
-        wanted &= new_pairs(found, tree, depth)
+        wanted &= new_pairs(found, tree, depth, own)
     if not wanted.any():
         return None
     both = overlaps(values, wanted)
@@ -213,16 +226,17 @@ _LINKS = "vertex long, root long, links long, others long, missing array<double>
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k1, hashes), one row for each of ``wanted`` (k1, rep): the distinct shingle hashes of its text."""
+    """(k1, n, labels, hashes), one row for each of ``wanted`` (k1, rep, n, labels): the distinct shingle hashes of its text."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words in each_slice(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), distinct_shingles(*shingles(words))], ["k1", "hashes"])
+            for lo, hi, words in each_slice(batch.column(3)):
+                same = [batch.column(i).slice(lo, hi - lo) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, distinct_shingles(*shingles(words))], ["k1", "n", "labels", "hashes"])
 
     texts = maybe_in(_keyed(docs).select(F.col("k1").alias("key"), "doc_id", "text"), wanted.select(F.col("k1").alias("key")), "key")
-    rows = wanted.join(texts, wanted["rep"].eqNullSafe(texts["doc_id"]) & (wanted["k1"] == texts["key"])).select("k1", "text")
-    found = materialize(arrow_map(rows, find, "k1 long, hashes binary"), "shingle-sets")
+    rows = wanted.join(texts, wanted["rep"].eqNullSafe(texts["doc_id"]) & (wanted["k1"] == texts["key"])).select("k1", "n", "labels", "text")
+    found = materialize(arrow_map(rows, find, "k1 long, n long, labels array<long>, hashes binary"), "shingle-sets")
     # Rows with one id and one text come several times.
     again = found.groupBy("k1").count().filter("count > 1").select("k1")
     if not again.take(1):
@@ -236,6 +250,39 @@ def _nodes(vertices: DataFrame, depth: int) -> DataFrame:
     return below.select("tree", F.shiftrightunsigned("label", 8 * (LEVELS - depth)).alias("prefix"), "k1", "size", "done")
 
 
+def _blocks(m: str, size: str, block: int) -> Column:
+    """Blocks of a node or unit of ``m`` vertices with ``size`` shingles."""
+    return F.least(F.greatest(F.ceil(F.col(m) / F.lit(float(block))), F.ceil(F.col(size) / F.lit(float(BLOCK_SHINGLES)))), F.col(m)).cast("int")
+
+
+def _members(below: DataFrame, new: DataFrame, block: int) -> DataFrame:
+    """(tree, prefix, k1, done, own, blocks): the members of the nodes ``new``, and of units of them in place of their nodes.
+
+    A large node goes with the node that is the largest of most of its vertices, as a sample of them says.  Any choice is right, as a
+    pair is verified where the first node that it shares is; a unit of more pairs than its nodes is not made.
+    """
+    columns = ["tree", "prefix", "k1", "done", "own", "blocks"]
+    large = new.filter(F.col("m") >= LARGE).select("m", "tree", "prefix")
+    if not large.take(2)[1:]:
+        return below.join(new, ["tree", "prefix"]).withColumn("own", F.lit(0)).select(*columns)
+    sample = below.filter(F.pmod(F.xxhash64(F.lit(9), "k1"), F.lit(SAMPLED)) == 0).select("tree", "prefix", "k1")
+    # A vertex has one node in each trie, so its list is short.
+    each = sample.join(large, ["tree", "prefix"]).groupBy("k1").agg(F.collect_list(F.struct("m", "tree", "prefix")).alias("nodes"))
+    each = each.select(F.array_max("nodes").alias("hub"), F.explode("nodes").alias("node"))
+    units = each.groupBy("node.tree", "node.prefix").agg(F.mode(F.xxhash64("hub.tree", "hub.prefix")).alias("unit"))
+    nodes = materialize(new.join(units, ["tree", "prefix"], "left").select("tree", "prefix", "m", "blocks", "unit"), "trie-units")
+    members = materialize(below.join(nodes.drop("m"), ["tree", "prefix"]), "members")
+    bit = F.call_function("shiftleft", F.lit(1), F.col("tree"))
+    united = members.filter("unit IS NOT NULL").groupBy("unit", "k1").agg(F.bit_or(bit).alias("own"), F.first("size").alias("size"), F.first("done").alias("done"))
+    parts = nodes.filter("unit IS NOT NULL").groupBy("unit").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    worth = united.groupBy("unit").agg(F.count(F.lit(1)).alias("vertices"), F.sum("size").alias("shingles")).join(parts, "unit")
+    worth = worth.filter("nodes > 1 AND vertices * vertices <= pairs")
+    worth = materialize(worth.select("unit", _blocks("vertices", "shingles", block).alias("all")), "worth")
+    whole = united.join(worth, "unit").select(F.lit(TREES).alias("tree"), F.col("unit").alias("prefix"), "k1", "done", "own", F.col("all").alias("blocks"))
+    alone = members.join(worth, "unit", "left_anti").withColumn("own", F.lit(0)).select(*columns)
+    return alone.unionByName(whole)
+
+
 def verified_links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(vertex, root, links, ...) by blocks, and (k1, depth) of the vertices that stopped above the floor of the forest."""
     spark, floor = docs.sparkSession, floor_depth(threshold, target)
@@ -244,7 +291,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, threshold: float = THRES
     shared = below.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("tree", "prefix")
     met = below.join(shared, ["tree", "prefix"]).select("k1").distinct()
     vertices = materialize(start.drop("done").join(met, "k1"), "met-vertices")
-    sets = shingle_sets(docs, vertices.select("k1", "rep"))
+    sets = shingle_sets(docs, vertices.select("k1", "rep", "n", "labels"))
     stopped = spark.createDataFrame([], "k1 long, depth int")
     links = spark.createDataFrame([], _LINKS)
     seen = None
@@ -258,13 +305,11 @@ def verified_links(docs: DataFrame, classes: DataFrame, threshold: float = THRES
         new = nodes.filter("m > 1 AND NOT done").groupBy("m", "x1", "x2", "size").agg(F.min(F.struct("tree", "prefix")).alias("node"))
         if seen is not None:
             new = new.join(seen, ["m", "x1", "x2"], "left_anti")
-        blocks = F.least(F.greatest(F.ceil(F.col("m") / F.lit(float(block))), F.ceil(F.col("size") / F.lit(float(BLOCK_SHINGLES)))), F.col("m"))
-        new = materialize(new.select("m", "x1", "x2", blocks.cast("int").alias("blocks"), "node.tree", "node.prefix"), "trie-nodes")
+        new = materialize(new.select("m", "x1", "x2", _blocks("m", "size", block).alias("blocks"), "node.tree", "node.prefix"), "trie-nodes")
         if not new.take(1):
             continue
-        members = below.select("tree", "prefix", "k1", "done").join(new.select("tree", "prefix", "blocks"), ["tree", "prefix"])
-        dealt = block_pairs(members, F.col("blocks"), F.xxhash64(F.lit(3), "k1"))
-        rows = dealt.join(vertices.select("k1", "n", "labels"), "k1").join(sets, "k1").select("tree", "prefix", "lo", "hi", "side", "done", "k1", "n", "labels", "hashes")
+        dealt = block_pairs(_members(below, new, block), F.col("blocks"), F.xxhash64(F.lit(3), "k1"))
+        rows = dealt.join(sets, "k1").select("tree", "prefix", "lo", "hi", "side", "done", "own", "k1", "n", "labels", "hashes")
         found = materialize(_verified(rows, depth, threshold), "links")
         links = links.unionByName(found)
         seen = new.select("m", "x1", "x2") if seen is None else seen.unionByName(new.select("m", "x1", "x2"))
@@ -285,7 +330,7 @@ def _verified(rows: DataFrame, depth: int, threshold: float) -> DataFrame:
             if group.num_rows < 2:
                 continue
             tree, lo, hi = (int(group[k][0].as_py()) for k in ("tree", "lo", "hi"))
-            columns = [group[k].to_numpy() for k in ("k1", "n", "side", "done")]
+            columns = [group[k].to_numpy() for k in ("k1", "n", "side", "done", "own")]
             found = group["labels"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, TREES)
             values = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["hashes"]]
             out = verify_block(*columns, found, values, tree, lo, hi, depth, threshold)

@@ -121,3 +121,50 @@ def test_block_pairs_meet_once(spark):
                 if lo == hi or sa != sb:
                     pairs[min(a, b), max(a, b)] += 1
     assert len(pairs) == 40 * 39 // 2 and set(pairs.values()) == {1}
+
+
+def test_every_pair_is_new_in_one_node_or_unit():
+    draw = np.random.default_rng(3)
+    same = draw.integers(0, draw.integers(4, 9, (40, 1)) + 1, (40, jaccard.TREES)).astype(np.uint64) * np.uint64(8)  # low bits that are a vertex's own
+    labels = draw.integers(0, 1 << 63, (40, jaccard.TREES)).astype(np.uint64) & ((np.uint64(1) << np.minimum(np.uint64(64) - same, np.uint64(63))) - np.uint64(1))
+    for depth in (8, 7, 6, 5):
+        want = sum(jaccard.new_pairs(labels, t, depth).astype(int) for t in range(jaccard.TREES))
+        got = np.zeros_like(want)
+        nodes = [(t, p) for t in range(jaccard.TREES) for p in np.unique(labels[:, t] >> np.uint64(8 * (8 - depth)))]
+        unit = draw.integers(-1, 3, len(nodes))
+        for u in range(3):
+            own = np.zeros(40, np.int32)
+            for (t, p), at in zip(nodes, unit, strict=True):
+                if at == u:
+                    own[labels[:, t] >> np.uint64(8 * (8 - depth)) == p] |= 1 << t
+            some = np.flatnonzero(own)
+            got[np.ix_(some, some)] += jaccard.new_pairs(labels[some], jaccard.TREES, depth, own[some])
+        for (t, p), at in zip(nodes, unit, strict=True):
+            if at == -1:
+                some = np.flatnonzero(labels[:, t] >> np.uint64(8 * (8 - depth)) == p)
+                got[np.ix_(some, some)] += jaccard.new_pairs(labels[some], t, depth)
+        assert (got == want).all() and want.max() == 1
+
+
+def test_a_group_of_near_copies_is_sent_once_not_once_per_trie(spark, monkeypatch):
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for k in draw.sample(range(120), draw.choice([1, 1, 2])):
+            words[k] = f"n{i}x{k}"
+        texts.append(" ".join(words))
+    sent, verified = [], jaccard._verified
+
+    def counted(rows, depth, threshold):
+        sent.append(rows.count())
+        return verified(rows, depth, threshold)
+
+    monkeypatch.setattr(jaccard, "_verified", counted)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in run(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: (c, n) for d, c, n in near_brute(rows)}
+    assert {d: v[0] for d, v in got.items()} == {d: v[0] for d, v in want.items()}
+    assert sum(v[1] for v in got.values()) >= 0.9995 * sum(v[1] for v in want.values())
+    assert max(sent) < 8 * len(rows)  # node by node there are 15 times as many
