@@ -1107,6 +1107,9 @@ class Session:
     def find(self, name: str, where: Any = None) -> Query:
         return Query(self, t.Find(name, parse_where(where) if isinstance(where, str) else where))
 
+    def scan_view(self, name: str) -> Query:
+        return Query(self, t.ScanView(name))
+
 
 @dataclass(frozen=True)
 class Query:

@@ -46,3 +46,18 @@ def test_records_beyond_the_languages_default_limit(spark, sf, name, larger):
     for path in glob.glob(f"{at}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
     assert plain(QUERIES[name](spark, at).toPandas()) == plain(con.execute(ORACLE_SQL[name]).df())
+
+
+def repeated_customers(folder, copies):
+    """``customer`` of sf0.1 so many times over, with keys and names of their own, and its SQL's connection."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT c_custkey + 15000 * i AS c_custkey, 'Customer#' || lpad(CAST(c_custkey + 15000 * i AS VARCHAR), 9, '0') AS c_name, c_nationkey, c_acctbal, c_mktsegment
+       FROM '/root/testdata/sf0.1/customer.parquet', range({copies}) t(i)) TO '{folder}/customer.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+    return con
+
+
+def test_views_records_beyond_the_languages_default_limit(spark, tmp_path):
+    """A view of 1,284 records, of which SCAN GHOST in the language gives 1,000."""
+    con = repeated_customers(tmp_path, 2)
+    assert plain(QUERIES["pin"](spark, str(tmp_path)).toPandas()) == plain(con.execute(ORACLE_SQL["pin"]).df())
