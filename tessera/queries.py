@@ -646,7 +646,7 @@ _TOTALS = """CREATE GHOST "totals" FROM "o" WHERE o_orderstatus = "F" | GROUP BY
 def scan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _orders_store(spark, sf_dir)
     s.run('CREATE GHOST "dear" FROM "o" WHERE o_orderstatus = "F" | TAKE BY o_totalprice DESC | EMBED o_orderkey, o_totalprice, o_custkey')
-    df = s.run('SCAN GHOST "dear" WHERE o_totalprice > 200000').df
+    df = s.scan_view("dear").where("o_totalprice > 200000").df()
     return df.orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice", "o_custkey")
 
 

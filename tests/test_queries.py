@@ -61,3 +61,12 @@ def test_views_records_beyond_the_languages_default_limit(spark, tmp_path):
     """A view of 1,284 records, of which SCAN GHOST in the language gives 1,000."""
     con = repeated_customers(tmp_path, 2)
     assert plain(QUERIES["pin"](spark, str(tmp_path)).toPandas()) == plain(con.execute(ORACLE_SQL["pin"]).df())
+
+
+def test_a_views_first_records_are_of_all_its_records(spark, tmp_path):
+    """1,500 orders of one price, the least key last: SCAN GHOST in the language gives the 1,000 that were written first."""
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT CAST(1500 - i AS BIGINT) AS o_orderkey, CAST(7 AS BIGINT) AS o_custkey, 'F' AS o_orderstatus, CAST(250000.5 AS DOUBLE) AS o_totalprice
+       FROM range(1500) t(i)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)""")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    assert plain(QUERIES["scan_view"](spark, str(tmp_path)).toPandas()) == plain(con.execute(ORACLE_SQL["scan_view"]).df())
