@@ -608,13 +608,12 @@ class Session:
     def _insert(self, content: dict, name: str, entry: dict, df: DataFrame, upsert: bool, parent_key: str | None) -> Result:
         entry["dim"] = managed.check_vectors(df, entry)
         existing = managed.read(self.spark, entry) if entry["parts"] else None
-        for anchor in entry["anchors"]:
-            managed.check_unique(df, None if upsert else existing, anchor)
+        counts = {anchor: managed.check_unique(df, None if upsert else existing, anchor) for anchor in entry["anchors"]}
         fresh, merged = df, None
         if upsert:
             if not entry["anchors"]:
                 raise QueryError("ON CONFLICT UPDATE needs an anchor")
-            fresh, merged = self._met(existing, df, entry)
+            fresh, merged = self._met(existing, df, entry, counts)
         now = self._now()
         key = F.lit(parent_key) if parent_key is not None else None
         fresh = managed.stamp(fresh, name, entry, now, key)
@@ -631,30 +630,33 @@ class Session:
         old, new = merged
         schema = managed.merge_schemas(new.schema, fresh.schema)
         both = managed.conform(new, schema).unionByName(managed.conform(fresh, schema))
-        twice = old.groupBy("_lid").count().filter("count > 1").limit(1).collect()
-        if twice:
+        sums = old.groupBy("_lid").count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first()
+        if sums["n"] and sums["most"] > 1:
             raise QueryError("ON CONFLICT UPDATE: two rows of the batch meet the same record")
-        rest = existing.join(old.select("_lid"), "_lid", "left_anti")
+        rest = existing.join(managed.keyed(old.select("_lid"), sums["n"]), "_lid", "left_anti")
         for anchor in entry["anchors"]:
             managed.check_unique(both, rest, anchor)
         changed, _ = self._replace(content, name, entry, old, both)
         self._commit(content, name, changed, old)
         return Result("ok", info={"count": changed.count(), "first_lid": None, "last_lid": None})
 
-    def _met(self, existing: DataFrame | None, df: DataFrame, entry: dict) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    def _met(self, existing: DataFrame | None, df: DataFrame, entry: dict, counts: dict[str, int]) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
         """(rows that meet no record, records that the others meet and the same after it). A row meets a record by the first of the
-        anchors, in the order of their declaration, that any record shares with it."""
+        anchors, in the order of their declaration, that any record shares with it.  ``counts``: the batch's values of each anchor."""
         fresh, merged = df, None
         for anchor in entry["anchors"]:
             if existing is None or anchor not in df.columns or anchor not in existing.columns:
                 continue
-            found = self._merge(existing, fresh, anchor, entry)
+            keys = df.filter(F.col(f"`{anchor}`").isNotNull()).select(F.col(f"`{anchor}`").alias("_have"))
+            # Records that share the anchor with the batch: the joins below are of these, not of the whole dataset.
+            near = existing.join(managed.keyed(keys, counts[anchor]), existing[f"`{anchor}`"] == keys["_have"], "left_semi")
+            found = self._merge(near, fresh, anchor, entry)
             if merged is None:
                 merged = found
             else:
                 merged = tuple(managed.conform(a, b.schema).unionByName(b) for a, b in zip(merged, found, strict=True))
-            have = existing.filter(F.col(f"`{anchor}`").isNotNull()).select(F.col(f"`{anchor}`").alias("_have"))
-            fresh = fresh.join(have, fresh[f"`{anchor}`"] == have["_have"], "left_anti")
+            have = near.select(F.col(f"`{anchor}`").alias("_have")).distinct()
+            fresh = fresh.join(managed.keyed(have, counts[anchor]), fresh[f"`{anchor}`"] == have["_have"], "left_anti")
         return fresh, merged
 
     def _last_part(self, entry: dict) -> DataFrame:
@@ -668,7 +670,7 @@ class Session:
         names = [c for c in given.columns if c not in managed.SYSTEM and c != anchor]
         right = managed.conform(given, T.StructType([schema[c] for c in [anchor, "_nulls", *names]]))
         right = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") for c in right.columns])
-        met = left.join(right, F.col(f"l.`{anchor}`") == F.col(f"`_r_{anchor}`"))
+        met = left.join(right.hint("merge"), F.col(f"l.`{anchor}`") == F.col(f"`_r_{anchor}`"))
         old = met.select("l.*")
         nulls = F.coalesce(F.col("_r__nulls"), F.array().cast("array<string>"))
         out = []
@@ -701,7 +703,7 @@ class Session:
         if entry["gravity"]:
             touched = sorted(counts)
             kept = existing.filter(F.col("_bucket").isin(touched)) if touched else existing.limit(0)
-        kept = kept.filter(keep) if keep is not None else kept.join(old.select("_lid"), "_lid", "left_anti")
+        kept = kept.filter(keep) if keep is not None else kept.join(managed.keyed(old.select("_lid"), sum(counts.values())), "_lid", "left_anti")
         kept = managed.conform(kept, schema).withColumn(managed.MARK, F.lit(None).cast("string"))
         both = kept.unionByName(new)
         written = managed.write_part(self.spark, self.root, name, {**entry, "schema": None}, both, drop=touched, replace=not entry["gravity"])

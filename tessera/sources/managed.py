@@ -209,17 +209,26 @@ def merge_tail(spark: SparkSession, root: str, name: str, entry: dict) -> dict:
         entry = {**written, "parts": [*parts[:-tail], {**written["parts"][0], "level": level + 1}]}
 
 
-def check_unique(df: DataFrame, existing: DataFrame | None, field: str) -> None:
-    """Raise if ``df`` repeats a value of ``field`` or shares one with ``existing``."""
+def keyed(keys: DataFrame, n: int) -> DataFrame:
+    """A side of a join that holds ``n`` keys: broadcast if one batch can hold as many, else merged.  Spark's own estimate of a
+    narrow column is by its share of compressed files and so low that all keys of a dataset would go through the driver."""
+    return keys.hint("broadcast" if n <= BATCH_MAX else "merge")
+
+
+def check_unique(df: DataFrame, existing: DataFrame | None, field: str) -> int:
+    """Raise if ``df`` repeats a value of ``field`` or shares one with ``existing``; returns how many values it has."""
     if field not in df.columns:
-        return
+        return 0
     keys = df.filter(F.col(f"`{field}`").isNotNull()).select(F.col(f"`{field}`").alias("k"))
-    twice = keys.groupBy("k").count().filter("count > 1").limit(1).collect()
-    if not twice and existing is not None and field in existing.columns:
+    counts = keys.groupBy("k").count()
+    sums = counts.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most")).first()
+    twice = counts.filter("count > 1").limit(1).collect() if sums["n"] and sums["most"] > 1 else []
+    if sums["n"] and not twice and existing is not None and field in existing.columns:
         have = existing.filter(F.col(f"`{field}`").isNotNull()).select(F.col(f"`{field}`").alias("k"))
-        twice = have.join(keys, "k", "left_semi").limit(1).collect()
+        twice = have.join(keyed(keys, sums["n"]), "k", "left_semi").limit(1).collect()
     if twice:
         raise QueryError(f"anchor {field} is unique: {twice[0]['k']!r} is there already")
+    return sums["n"]
 
 
 def check_vectors(df: DataFrame, entry: dict) -> int | None:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tessera.lang import QueryError, forms
 from tessera.lang.parser import parse_where
 from tessera.session import Session
+from tessera.sources import managed
 from tessera.sources.files import CommitConflict
 
 
@@ -331,6 +332,51 @@ def test_upserts_keep_every_anchor_unique(s):
     assert rows(s.run('SCAN "u"'), "k", "m", "v") == [(2, "y", 8), (3, "x", 5), (4, "z", 9)]
 
 
+def broadcast_rows(spark, after):
+    """The rows of the largest table that was broadcast by executions later than ``after``, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    executions = store.executionsList()
+    for i in range(executions.size()):
+        number = executions.apply(i).executionId()
+        last = max(last, number)
+        if number <= after:
+            continue
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if node.name().startswith("BroadcastExchange"):
+                metrics = node.metrics()
+                found = [metrics.apply(k) for k in range(metrics.size()) if metrics.apply(k).name() == "number of output rows"]
+                most = max([most, *(int(values.apply(m.accumulatorId()).replace(",", "")) for m in found if values.contains(m.accumulatorId()))])
+    return most, last
+
+
+def test_upserts_broadcast_the_batch_and_not_the_dataset(s):
+    """Keys of 30,000 records are a small table by Spark's estimate; their number grows with the dataset."""
+    s.run('LOBE "u"; ANCHOR "k" UNIQUE IN "u"; ANCHOR "m" UNIQUE IN "u"; GRAVITY BY g IN "u"')
+    s.append("u", s.spark.range(30_000).selectExpr("id AS k", "'m' || id AS m", "id % 5 AS g", "0 AS v"))
+    _, begun = broadcast_rows(s.spark, -1)
+    s.run('PUT BATCH IN "u" [{k: -1, m: "m7", v: 1}, {k: 8, v: 2}, {k: -2, m: "new", g: 1, v: 3}] ON CONFLICT UPDATE')
+    with pytest.raises(QueryError, match="anchor m is unique"):
+        s.run('PUT {k: 9, m: "m8"} IN "u" ON CONFLICT UPDATE')
+    assert 0 < broadcast_rows(s.spark, begun)[0] <= 3
+    assert s.scan("u").df().count() == 30_001
+    assert rows(s.run('SCAN "u" WHERE v > 0'), "k", "m", "v") == [(-2, "new", 3), (-1, "m7", 1), (8, "m8", 2)]
+
+
+def test_upserts_of_more_rows_than_a_batch_merge(s):
+    s.run('LOBE "u"; ANCHOR "k" UNIQUE IN "u"; ANCHOR "m" UNIQUE IN "u"; GRAVITY BY g IN "u"')
+    s.append("u", s.spark.range(30_000).selectExpr("id AS k", "'m' || id AS m", "id % 5 AS g", "0 AS v"))
+    _, begun = broadcast_rows(s.spark, -1)
+    more = s.spark.range(12_000).selectExpr("IF(id < 6000, id, -id) AS k", "IF(id < 6000, NULL, 'm' || (id + 20000)) AS m", "id % 7 AS g", "1 AS v")
+    s.append("u", more, upsert=True)
+    assert broadcast_rows(s.spark, begun)[0] <= managed.BATCH_MAX
+    got = s.scan("u").df()
+    # Rows 6,000 to 9,999 meet records 26,000 to 29,999 by m and give them a new k; 10,000 to 11,999 are new.
+    assert got.count() == 32_000 and got.filter("v = 1").count() == 12_000
+    assert got.select("k").distinct().count() == 32_000 and got.filter("k < 0").count() == 6_000 and got.filter("m IS NULL").count() == 0
+
+
 def test_streams_are_written_once_however_long_ago(s):
     df = s.spark.createDataFrame([(1,)], "k long")
     for number in range(3):
